@@ -28,5 +28,23 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {"op2_packing": op2_packing, "op10_id_files": op10_id_files}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import rules
+
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secretscan
+
+    return secretscan.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op6_rules": op6_rules, "op9_secrets": op9_secrets, "op10_id_files": op10_id_files}
 ORACLES: dict[str, str] = {}
