@@ -34,17 +34,37 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import crf
+
+    return crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rules
 
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm
+
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secretscan
 
     return secretscan.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_packing": op2_packing, "op4_simhash": op4_simhash, "op6_rules": op6_rules, "op9_secrets": op9_secrets, "op10_id_files": op10_id_files}
+QUERIES = {
+    "op2_packing": op2_packing,
+    "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
+    "op6_rules": op6_rules,
+    "op7_lm": op7_lm,
+    "op9_secrets": op9_secrets,
+    "op10_id_files": op10_id_files,
+}
 ORACLES: dict[str, str] = {}
