@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import urlfilter
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +30,12 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wacz
+
+    return wacz.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import simhash
 
@@ -52,6 +60,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import secretscan
 
@@ -60,11 +72,13 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op6_rules": op6_rules,
     "op7_lm": op7_lm,
+    "op8_urls": op8_urls,
     "op9_secrets": op9_secrets,
     "op10_id_files": op10_id_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_urls": urlfilter.oracle()}
