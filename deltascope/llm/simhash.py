@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, gather_runs, spans_of
 from .components import components
-from .textarrays import slices
+from .textarrays import mix, slices
 
 BITS = 64
 #: Fingerprints of a bucket that one group holds of each block.
@@ -265,17 +265,17 @@ class Forest:
 def close_pairs(fp: np.ndarray, probe: np.ndarray, k: int):
     """Row pairs of a group within k bits, closest first; one of a pair at least stands
     in the bucket with its own value."""
-    n = len(fp)
+    own = np.flatnonzero(~probe)
     xs, ys, ds = [], [], []
-    for i in range(0, n, 256):
-        d = np.bitwise_count(fp[i : i + 256, None] ^ fp[None, :])
-        ok = d <= k
-        ok &= ~(probe[i : i + 256, None] & probe[None, :])
-        x, y = np.nonzero(ok)
-        keep = x + i < y
-        xs.append(x[keep] + i)
+    for i in range(0, len(own), 256):
+        rows = own[i : i + 256]
+        d = np.bitwise_count(fp[rows, None] ^ fp[None, :])
+        x, y = np.nonzero(d <= k)
+        d, x = d[x, y], rows[x]
+        keep = probe[y] | (x < y)
+        xs.append(x[keep])
         ys.append(y[keep])
-        ds.append(d[x[keep], y[keep]])
+        ds.append(d[keep])
     x, y, d = np.concatenate(xs), np.concatenate(ys), np.concatenate(ds)
     order = np.argsort(d, kind="stable")
     return x[order], y[order]
@@ -354,6 +354,106 @@ def link(rows: DataFrame, parts: int, k: int, similarity: float | None = None) -
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def partners(rows: DataFrame, parts: int, k: int) -> DataFrame:
+    """The rows of `blocked` that have another within k bits in their group."""
+    order = ["part", "value", "left", "right"]
+    names = [*order, "key", "fp", "probe"]
+
+    def run(batches):
+        for t in _groups(batches, names):
+            edges = spans_of(np.diff(np.concatenate([[-1], np.flatnonzero(_changes(t)), [t.num_rows - 1]])))
+            fp, probe = t["fp"].to_numpy().view(np.uint64), t["probe"].to_numpy()
+            hit = np.zeros(t.num_rows, dtype=bool)
+            for g in np.flatnonzero(np.diff(edges) > 1).tolist():
+                a, b = int(edges[g]), int(edges[g + 1])
+                if not probe[a:b].all():
+                    x, y = close_pairs(fp[a:b], probe[a:b], k)
+                    hit[a + x] = hit[a + y] = True
+            if hit.any():
+                yield from t.filter(pa.array(hit)).to_batches()
+
+    schema = "part int, value long, left int, right int, key long, fp long, probe boolean"
+    return rows.select(*names).repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def set_prints(docs: DataFrame) -> DataFrame:
+    """doc_id, key (a hash of the text's words in order) and fp (of its distinct words,
+    A-Z in lower case)."""
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, t in slices(batch["text"], lower=True):
+                words, n = t.word_hashes(), np.diff(t.words)
+                of = np.repeat(np.arange(t.n), n)
+                order = np.lexsort((words, of))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (words[order][1:] != words[order][:-1]) | (of[order][1:] != of[order][:-1])
+                distinct = words[order][new]
+                fp = majority(distinct, spans_of(np.bincount(of[order][new], minlength=t.n)))
+                key = np.zeros(t.n, dtype=np.uint64)
+                if len(words):
+                    place = (np.arange(len(words)) - np.repeat(t.words[:-1], n)).astype(np.uint64)
+                    full = np.flatnonzero(n)
+                    key[full] = np.add.reduceat(mix(words ^ mix(place + np.uint64(1))), t.words[:-1][full]) + n[full].astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
+
+    return docs.mapInArrow(run, "doc_id long, key long, fp long")
+
+
+def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
+    """key and sketch: the distinct shingles' hashes, of all words if they are fewer."""
+    factors = np.random.default_rng(17).integers(0, 1 << 63, shingle, dtype=np.uint64) | ONE
+
+    def of(words: np.ndarray) -> bytes:
+        size = min(shingle, len(words))
+        n = len(words) - size + 1 if size else 0
+        hashes = sum(mix(words[j : j + n] * factors[j]) for j in range(size)) if n else words
+        return np.unique(hashes).tobytes()
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, t in slices(batch["text"], lower=True):
+                words = t.word_hashes()
+                found = [of(words[a:b]) for a, b in zip(t.words[:-1], t.words[1:])]
+                yield pa.RecordBatch.from_arrays([batch["key"].slice(lo, hi - lo), pa.array(found, pa.binary())], names=["key", "sketch"])
+
+    return rows.select("key", "text").mapInArrow(run, "key long, sketch binary")
+
+
+def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id; all
+    columns. Texts with the same words in order are copies; others are linked if their
+    fingerprints over distinct words differ in at most k bits and their sets of shingles
+    of five words have a Jaccard similarity of at least 0.8, checked on whole texts.
+
+    Links are made among distinct texts only, first by fingerprint; only texts that have
+    a partner there bring their shingles, once for each bucket in which they have one.
+    Nulls are empty texts; texts without words are copies of each other; rows that share
+    a doc_id stay or go together; rows whose doc_id is null stay.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = cut(set_prints(slim), "copies")
+    classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "copies-classes")
+    nodes = classes.select("key", "fp")
+    n, both = bit_statistics(nodes)
+    p = plan(n, both, k)
+    spread = shuffle_parts(n * sum(1 + len(flips(len(b), t)) for b, t in p))
+    near = cut(partners(blocked(buckets(nodes, p), "key"), spread, k), "copies-partners")
+    texts_of = classes.join(near.select("key").distinct(), "key", "left_semi").where("first is not null").select("key", F.col("first").alias("doc_id"))
+    held = slim.join(texts_of, "doc_id")
+    # a doc_id may stand for several texts: the key decides which is meant
+    marked = held.select("doc_id", "text", "key")
+    sketched = sketches(marked, shingle).groupBy("key").agg(F.max_by("sketch", F.octet_length("sketch")).alias("sketch"))
+    edges = cut(link(near.join(sketched, "key"), spread, k, similarity), "copies-edges")
+    tree = components(edges)
+    named = tree.join(classes.select(F.col("key").alias("node"), "first"), "node")
+    best = named.groupBy("root").agg(F.min("first").alias("winner"))
+    winners = named.join(best, "root").select(F.col("node").alias("key"), "winner")
+    final = cut(classes.join(winners, "key", "left").select("key", F.coalesce("winner", "first").alias("winner")), "copies-winners")
+    gone = prints.join(final, "key").where("doc_id <> winner").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(cut(gone, "copies-gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+
+
 def shuffle_parts(rows: int) -> int:
     return max(8, math.ceil(rows / 200_000))
 

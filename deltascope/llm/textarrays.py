@@ -13,9 +13,11 @@ from .common import spans_of
 _RANDOM = np.random.default_rng(7)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
-_WORD_BYTE = np.where(_SPACE, np.uint64(0), _BYTE)
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, *range(9, 14)]] = True
+#: All bytes but ASCII letters, digits and those of other characters.
+NO_WORD = np.ones(256, dtype=bool)
+NO_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,10 +49,11 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.
 class Texts:
     """Word k of text i is word number words[i] + k."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = SPACE):
         self.raw, self.offsets, self.n = raw, offsets, len(offsets) - 1
         self.text = raw + (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5) if lower else raw
-        space = _SPACE[raw]
+        space = breaks[raw]
+        self.breaks = breaks
         before = np.ones(len(raw), dtype=bool)
         before[1:] = space[:-1]
         before[offsets[:-1][offsets[:-1] < len(raw)]] = True
@@ -68,7 +71,7 @@ class Texts:
         if not len(self.starts):
             return np.zeros(0, dtype=np.uint64)
         sizes = np.diff(self.starts, append=len(self.text))
-        return run_hashes(_WORD_BYTE[self.text], self.starts, sizes)
+        return run_hashes(np.where(self.breaks, np.uint64(0), _BYTE)[self.text], self.starts, sizes)
 
     def count(self, hit: np.ndarray) -> np.ndarray:
         """For each text, how many of its bytes are hit (a mask over all bytes)."""
@@ -91,7 +94,7 @@ class Texts:
         return starts, ends, of, hashes
 
 
-def slices(column: pa.Array, lower: bool = False, size: int = 2 << 20) -> Iterator[tuple[int, int, Texts]]:
+def slices(column: pa.Array, lower: bool = False, size: int = 2 << 20, breaks: np.ndarray = SPACE) -> Iterator[tuple[int, int, Texts]]:
     """First and last row, and texts, of slices of about so many bytes; null is empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())
     _, offsets, data = column.buffers()
@@ -102,7 +105,7 @@ def slices(column: pa.Array, lower: bool = False, size: int = 2 << 20) -> Iterat
     a = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1)
-        yield a, b, Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower)
+        yield a, b, Texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower, breaks)
         a = b
 
 

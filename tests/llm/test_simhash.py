@@ -103,3 +103,59 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 1), 90: 90, 95: 90, 100: 90}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def near_corpus():
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(25):
+        base = [r.choice(words) for _ in range(r.randrange(40, 200))]
+        for edits in (0, 0, 1, 2, 4, 8, 20):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = r.choice(words)
+            rows.append(" ".join(w))
+    rows += ["", None, " \n", "Short text", "short  TEXT", "short text more"]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_one_of_each_group_stays(spark, monkeypatch, block):
+    import pyarrow as pa
+
+    from deltascope.llm.textarrays import slices
+
+    monkeypatch.setattr(simhash.blocked, "__defaults__", (block,))
+    texts = near_corpus()
+    lower = [WORD.findall((t or "").lower()) for t in texts]
+    (_, _, t), = slices(pa.array([x or "" for x in texts]), lower=True)
+    hashes = t.word_hashes()
+    fps = [int(simhash.majority(np.unique(hashes[a:b]), np.array([0, len(np.unique(hashes[a:b]))]))[0]) for a, b in zip(t.words, t.words[1:])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in lower]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        common = len(sets[a] & sets[b])
+        if lower[a] == lower[b] or (fps[a] ^ fps[b]).bit_count() <= 6 and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    want = {i for i in range(len(texts)) if root(i) == i}
+    docs = spark.createDataFrame([(t, i, "c", "c", "c", "c") for i, t in enumerate(texts)], SCHEMA)
+    out = simhash.drop_near_copies(docs)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == want
+    # links of similarity 0.8 that the fingerprints miss are few
+    close = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and (c := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - c)]
+    assert sum(root(a) == root(b) for a, b in close) >= 0.9 * len(close)
+
+
+def test_near_copies_of_odd_tables(spark):
+    assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+    docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "a b c d"), (5, None)], "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect()) == ["4", "4", "5", "None"]
