@@ -28,9 +28,9 @@ from .common import crc_mod, cut, id_crc, spans_of
 from .textarrays import mix, slices
 
 FOLDS, HELD_OUT, DEV = 5, 1, 20
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Keys that one part of the key range adds up, about.
-PART_KEYS = 2_000_000
+PART_KEYS = 1_000_000
 BUCKETS, ROUNDS = 24, 12
 END = np.uint64(0x656E64206F662061)
 _C1, _C2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
