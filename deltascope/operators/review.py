@@ -143,17 +143,21 @@ def apply_edits(rows: DataFrame, edits: DataFrame, kinds: dict[str, str]) -> Dat
     issues = F.when(has("restore"), F.filter("issues", lambda i: i["type"] != "exact-duplicate")).otherwise(F.col("issues"))
     issues = F.when(has("keep"), F.filter(issues, lambda i: i["type"] != "possible-duplicate")).otherwise(issues)
     changes = F.col("changes")
+    given, last = {}, {}
     for c, kind in kinds.items():
-        cell, given = F.col(c), value_of(c)
-        parsed = parse_number(given) if kind == "number" else parse_date(given) if kind == "date" else F.trim(given)
-        last = F.try_element_at(F.filter("changes", partial(of_column, c)), F.lit(-1))
-        old = F.try_to_number(last["from"], F.lit("999999999999999999D999999999")).cast("double") if kind == "number" else F.try_to_date(last["from"]) if kind == "date" else last["from"]
-        undone = has("undo", c) & last.isNotNull()
+        text = value_of(c)
+        given[f"_new_{c}"] = parse_number(text) if kind == "number" else parse_date(text) if kind == "date" else F.trim(text)
+        last[f"_last_{c}"] = F.try_element_at(F.filter("changes", partial(of_column, c)), F.lit(-1))
+    out = out.withColumns({**given, **last})
+    for c, kind in kinds.items():
+        parsed, last_ = F.col(f"_new_{c}"), F.col(f"_last_{c}")
+        old = last_["from"].try_cast("double") if kind == "number" else F.try_to_date(last_["from"]) if kind == "date" else last_["from"]
+        undone = has("undo", c) & last_.isNotNull()
         edited = has("edit", c) & parsed.isNotNull()
-        new[c] = F.when(edited, parsed).when(undone, old).otherwise(cell)
-        changes = F.when(undone, F.filter(changes, partial(ne, last))).otherwise(changes)
-        changes = F.when(edited, F.array_append(changes, change(c, cell, parsed, "Edited by hand"))).otherwise(changes)
-        issues = add_issue(issues, issue("invalid-edit", c, "The new value could not be read"), has("edit", c) & parsed.isNull())
+        new[c] = F.when(edited, parsed).when(undone, old).otherwise(F.col(c))
+        changes = F.when(undone, F.filter(changes, partial(ne, last_))).otherwise(changes)
+        changes = F.when(edited, F.array_append(changes, change(c, F.col(c), parsed, "Edited by hand"))).otherwise(changes)
+        issues = F.concat(issues, F.when(has("edit", c) & parsed.isNull(), F.array(issue("invalid-edit", c, "The new value could not be read"))).otherwise(F.array().cast(f"array<{ISSUE}>")))
     return out.withColumns({**new, "issues": issues, "changes": changes}).select(*rows.columns)
 
 

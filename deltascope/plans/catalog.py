@@ -361,3 +361,126 @@ def category_keys(spark, sf_dir):
     dirty = F.element_at(F.array(F.concat(F.lit("  "), F.lower("p_type")), F.concat(F.col("p_type"), F.lit(".")), F.concat(F.lit("“"), F.col("p_type"), F.lit("”"))), (F.col("p_partkey") % 3 + 1).cast("int"))
     spaced = F.concat(F.lit(" "), F.col("p_type"), F.lit("  "))
     return p.select("p_partkey", match_key(dirty).alias("key"), category_text(spaced).alias("label"))
+
+
+# whole imports --------------------------------------------------------------------
+
+
+def _dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a raw table of strings: amounts in several notations, one in fifty
+    missing and one in fifty unreadable, dates in four forms, categories with spaces."""
+    o = table(spark, sf_dir, "orders")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    amount = F.when(k % 50 == 7, "N/A").when(k % 50 == 9, "unclear").otherwise(_dirty_amount(k, F.col("o_totalprice")))
+    dates = F.element_at(F.array(F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d MMM yyyy"), F.date_format(d, "yyyyMMdd")), (k % 4 + 1).cast("int"))
+    status = F.when(k % 3 == 0, F.concat(F.lit("  "), F.col("o_orderstatus"))).otherwise(F.col("o_orderstatus"))
+    return o.select(k.alias("row_number"), F.concat(F.lit("ORD-"), k.cast("string")).alias("Order ID"), dates.alias("Order Date"), amount.alias("Net Sales"), status.alias("Type"), F.col("o_orderpriority").alias("Segment"))
+
+
+def _profiles(raw: DataFrame):
+    from ..operators import profile as pr
+
+    from ..sources.readers import profile_sample
+
+    return pr.profile(profile_sample(raw).drop("row_number"))
+
+
+@query("""select * from (values ('Order ID', 'identifier', false), ('Order Date', 'date', false), ('Net Sales', 'number', true),
+ ('Type', 'category', false), ('Segment', 'category', false)) t("name", kind, selected)""")
+def profile_columns(spark, sf_dir):
+    from ..operators import profile as pr
+
+    return pr.as_table(spark, _profiles(_dirty_orders(spark, sf_dir))).select("name", "kind", "selected")
+
+
+@query("""select kind, name, n from (
+ select 'change' as kind, 'Standardised numeric or currency value' as name, count(*) filter (o_orderkey % 50 not in (7, 9)) as n from orders
+ union all select 'change', 'Standardised date', count(*) filter (o_orderkey % 4 <> 0) from orders
+ union all select 'change', 'Standardised category whitespace', count(*) filter (o_orderkey % 3 = 0) from orders
+ union all select 'issue', 'missing', count(*) filter (o_orderkey % 50 = 7) from orders
+ union all select 'issue', 'invalid-number', count(*) filter (o_orderkey % 50 = 9) from orders) where n > 0""")
+def cleaning_counts(spark, sf_dir):
+    from ..operators import clean
+
+    raw = _dirty_orders(spark, sf_dir)
+    return clean.cleaning_counts(clean.clean(raw, _profiles(raw)))
+
+
+@query("""select o_orderkey as row_number, o_orderdate::date as "Order Date", case when o_orderkey % 50 in (7, 9) then null when o_orderkey % 6 in (1, 3, 4) then -o_totalprice else o_totalprice end as "Net Sales",
+ o_orderstatus as "Type", o_orderpriority as "Segment", false as excluded from orders""")
+def cleaned_rows(spark, sf_dir):
+    from ..operators import clean
+
+    raw = _dirty_orders(spark, sf_dir)
+    return clean.review_table(raw, _profiles(raw), fuzzy=False).select("row_number", "Order Date", "Net Sales", "Type", "Segment", "excluded")
+
+
+@query()
+def cleaning_log(spark, sf_dir):
+    from ..operators import clean
+
+    raw = _dirty_orders(spark, sf_dir)
+    return clean.cleaning_log(clean.review_table(raw, _profiles(raw)))
+
+
+def _dirty_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    kind = F.when(k % 10 == 3, F.lower("p_type")).when(k % 10 == 6, F.concat(F.col("p_type"), F.lit("."))).otherwise(F.col("p_type"))
+    typo = F.when(k % 40 == 1, F.concat(F.col("p_brand"), F.lit("x manufacturing company"))).otherwise(F.concat(F.col("p_brand"), F.lit(" manufacturing company")))
+    return p.select(k.alias("row_number"), kind.alias("type"), typo.alias("brand"), F.col("p_name").alias("product"))
+
+
+@query("select p_partkey as row_number, p_type as type from part")
+def category_reconcile(spark, sf_dir):
+    from ..operators import categories
+
+    return categories.reconcile(_dirty_types(spark, sf_dir), ["type"], fuzzy=False).select("row_number", "type")
+
+
+@query()
+def fuzzy_merge(spark, sf_dir):
+    from ..operators import categories
+
+    return categories.replacements(_dirty_types(spark, sf_dir), ["type", "brand"])
+
+
+@query("""with v as (select 'product' as "column", p_name as value, count(*) as n from part group by p_name union all select 'word', split_part(p_name, ' ', 2), count(*) from part group by 2),
+w as (select value, sum(n) as n from v group by value)
+select a.value as contained, b.value as containing, cast(a.n as bigint) as contained_n, cast(b.n as bigint) as containing_n from w a join w b on length(b.value) > length(a.value) and contains(' ' || b.value || ' ', ' ' || a.value || ' ')""")
+def containment(spark, sf_dir):
+    from ..operators import categories
+
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.col("p_name").alias("product")).unionByName(p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("product")))
+    return categories.containment(names, ["product"]).select("contained", "containing", "contained_n", "containing_n")
+
+
+@query("""select code, cast(sum(w) as bigint) as score from (select 'USD' as code, 1 as w from orders where o_orderkey % 6 = 0 union all select 'EUR', 5 + 4 from orders where o_orderkey % 6 = 4) group by code""")
+def currency_votes(spark, sf_dir):
+    from ..operators import currency
+
+    o = table(spark, sf_dir, "orders")
+    return currency.votes(o.select(_dirty_amount(F.col("o_orderkey"), F.col("o_totalprice")).alias("value")))
+
+
+@query("select o_orderkey as row_number, o_totalprice as amount from orders order by o_orderkey limit 50 offset 100")
+def preview_page(spark, sf_dir):
+    from ..sources import store
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_number"), F.col("o_totalprice").alias("amount"))
+    return store.preview(o, 2, 50)
+
+
+@query(f"""with {ROWS_SQL} select 'revenue' as metric_column, period, dimension, segment, cast(sum(m) as double) as metric_total, count(*) as record_count
+from ({long_sql()} union all select period, '__total__', '__all__', revenue from rows_) group by period, dimension, segment""")
+def stored_totals(spark, sf_dir):
+    """Totals written in two batches, one of them twice, and read back added up."""
+    from ..sources import store
+    from ..sources.scratch import scratch_path
+
+    path = scratch_path(spark, "totals")
+    rows = revenue_rows(spark, sf_dir)
+    for batch in (0, 1, 0):
+        part = agg.segment_totals(rows.where(F.col("order_key") % 2 == batch), METRIC, DATE, DIMS)
+        store.write_totals(part.withColumn("metric_total", F.col("metric_total").cast("decimal(24,4)")), path, "run", str(batch))
+    return store.read_totals(spark, path, "run").withColumn("metric_total", F.col("metric_total").cast("double"))
