@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import materialise
+
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table by its extension, from any file system that Spark reads. CSV has a header
@@ -26,8 +28,9 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Consecutive numbers from 1 in source order. Partitions are counted first, then each
-    numbers its rows from its base; one number a partition reaches the driver."""
-    base = df.withColumn("_id", F.monotonically_increasing_id())
+    numbers its rows from its base; one number a partition reaches the driver. The rows are
+    written once with their places, as another run may cut partitions otherwise."""
+    base = materialise(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     counted = base.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
     starts, at = {}, 0
     for r in counted:
@@ -57,7 +60,7 @@ def demo_sales(spark: SparkSession) -> DataFrame:
     missing amount."""
     products, regions = ["Shirts", "Shoes", "Hats"], ["East Coast", "West Coast", "Midwest"]
     grid = spark.range(54).select((F.col("id") / 9).cast("int").alias("month"), (F.col("id") / 3 % 3).cast("int").alias("p"), (F.col("id") % 3).cast("int").alias("r"), "id")
-    amount = 4200 + 185 * F.col("month") + 330 * F.col("p") + 240 * F.col("r") - F.when((F.col("month") == 5) & (F.col("p") == 0) & (F.col("r") == 0), 4000).otherwise(0)
+    amount = 4200 + 185 * (F.col("month") + 1) + 330 * F.col("p") + 240 * F.col("r") - F.when((F.col("month") == 5) & (F.col("p") == 0) & (F.col("r") == 0), 4000).otherwise(0)
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), F.col(k) + 1)
     own = grid.select(
         "id", F.format_string("%02d/15/2026", F.col("month") + 1).alias("Order Date"), F.concat(F.lit("$"), F.format_number(amount.cast("double"), 2)).alias("Revenue"),
