@@ -30,6 +30,8 @@ from .textarrays import mix, slices
 BITS = 64
 #: Fingerprints of a bucket that one group holds of each block.
 BLOCK = 1024
+#: Candidate checks (some 5 ns each) that cost as much as one probe row (some 2 us).
+PROBE = 400.0
 ONE = np.uint64(1)
 
 
@@ -171,9 +173,8 @@ def thresholds(costs: list[list[float]], k: int) -> tuple[float, list[int]]:
 
 
 def plan(n: int, both: np.ndarray, k: int, most: int = 7) -> list[tuple[list[int], int]]:
-    """Parts and thresholds of least estimated cost over the numbers of parts: a probe
-    row costs PROBE candidate checks."""
-    probe = 20.0
+    """Parts and thresholds of least estimated cost over the numbers of parts; a row that
+    is shuffled, sorted and read costs about as much as PROBE checks of a candidate."""
     best = None
     for parts in range(1, min(k + 2, most) + 1):
         groups = group_bits(n, both, parts)
@@ -182,7 +183,7 @@ def plan(n: int, both: np.ndarray, k: int, most: int = 7) -> list[tuple[list[int
             own = [0.0]
             for t in range(k + 1):
                 size = reach(len(g), t)
-                own.append(n * (size + (t > 0)) * probe + 0.5 * n * n * closeness(n, both, g, t) if size <= 5000 else math.inf)
+                own.append(n * (size + (t > 0)) * PROBE + 0.5 * n * n * closeness(n, both, g, t) if size <= 5000 else math.inf)
             costs.append(own)
         found = thresholds(costs, k)
         if found and (best is None or found[0] < best[0]):
