@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import urlfilter
+from . import rules, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,6 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import rules
-
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
@@ -88,4 +86,4 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_id_files": op10_id_files,
 }
-ORACLES: dict[str, str] = {"op8_urls": urlfilter.oracle()}
+ORACLES: dict[str, str] = {"op6_rules": rules.ORACLE, "op8_urls": urlfilter.oracle()}

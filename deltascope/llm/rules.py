@@ -175,3 +175,21 @@ def judge(docs: DataFrame, rules: dict = RULES) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), *cols, pa.array(b["base_failed"]), pa.array(kept)], names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
     return docs.mapInArrow(run, RESULT)
+
+
+ORACLE = r"""with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+l as (select rid, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
+w as (select rid, unnest(ws) as word, generate_subscripts(ws, 1) as i from l),
+runs as (select rid, i, word, list(word) over (partition by rid order by i rows between current row and 7 following) as run from w),
+twice as (select rid, run from runs where len(run) = 8 group by rid, run having count(*) > 1),
+marked as (select r.rid, r.i, case when t.rid is not null then 1 end as hit from runs r left join twice t on r.rid = t.rid and r.run = t.run),
+covered as (select rid, count(*) filter (c = 1) as n_repeat_words from (select rid, max(hit) over (partition by rid order by i rows between 7 preceding and current row) as c from marked) group by rid),
+tops as (select rid, max(n) as top from (select rid, word, count(*) as n from w group by rid, word) group by rid),
+ls as (select rid, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select rid, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid),
+b as (select d.doc_id, len(l.ws) as n_words, coalesce(list_sum(list_transform(l.ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(d.text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, coalesce(top, 0) as top,
+  length(regexp_replace(d.text, '[^A-Z]', '', 'g')) as up, length(regexp_replace(d.text, '[^a-z]', '', 'g')) as low, length(d.text) - length(replace(d.text, '!', '')) as bangs
+  from d join l using (rid) left join ls using (rid) left join covered using (rid) left join tops using (rid))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words or n_symbols > 0.1::double * n_words or word_chars::double / greatest(n_words, 1) < 2.5::double or word_chars::double / greatest(n_words, 1) > 12::double
+    or 3 * n_dup_lines > n_lines or 3 * up > up + low or 5 * bangs > n_words or 4 * top > n_words) as kept from b"""
