@@ -61,6 +61,26 @@ def offsetting_causes(factors: DataFrame, head: DataFrame, dims: Sequence[str],
     return _ranked(f, _strength(dims), k)
 
 
+#: Fixed values of the material view: least share of the change, and its confidence.
+MATERIAL, LEAST_IMPACT = 0.08, 0.01
+
+
+def material_causes(factors: DataFrame, head: DataFrame, dims: Sequence[str], k: int = TOP) -> DataFrame:
+    """The view of the interactive mode: causes of at least 8% of the change, in its
+    direction, with the share of at least 1 and a confidence that grows with the rows."""
+    f = factors.join(F.broadcast(head.select("change")))
+    f = f.where((F.abs("impact") >= F.greatest(MATERIAL * F.abs("change"), F.lit(LEAST_IMPACT))) & ((F.col("change") == 0) | (F.signum("impact") == F.signum("change"))))
+    f = f.withColumn("share", F.least(F.lit(1.0), F.abs("impact") / F.greatest(F.abs("change"), F.lit(1.0))))
+    score = F.least(F.lit(96.0), 54 + 34 * F.col("share") + F.least(F.lit(10.0), 1.5 * F.col("records")))
+    return _ranked(f.withColumn("confidence", F.round(score).cast("int")).drop("change"), _strength(dims), k)
+
+
+def overall_confidence(causes: DataFrame) -> DataFrame:
+    """One row: the causes' confidence weighted by their shares, 50 without causes."""
+    weighted = F.sum(F.col("confidence") * F.col("share")) / F.sum("share")
+    return causes.agg(F.coalesce(F.round(weighted), F.lit(50.0)).cast("int").alias("confidence"))
+
+
 def kpi_trend(totals: DataFrame, k: int = TREND) -> DataFrame:
     """period and total of the last k periods."""
     t = totals.where(F.col("dimension") == TOTAL).groupBy("period").agg(F.sum("metric_total").cast("double").alias("total"))

@@ -484,3 +484,58 @@ def stored_totals(spark, sf_dir):
         part = agg.segment_totals(rows.where(F.col("order_key") % 2 == batch), METRIC, DATE, DIMS)
         store.write_totals(part.withColumn("metric_total", F.col("metric_total").cast("decimal(24,4)")), path, "run", str(batch))
     return store.read_totals(spark, path, "run").withColumn("metric_total", F.col("metric_total").cast("double"))
+
+
+# more of the same operators --------------------------------------------------------
+
+
+@query(f"""{BASE_SQL}, c as (select dimension, segment, previous, current, impact, records, least(1.0::double, abs(impact) / greatest(abs((select change from head)), 1)) as share, counterfactual from factors
+  where abs(impact) >= greatest(0.08::double * abs((select change from head)), 0.01::double) and sign(impact) = sign((select change from head)))
+select dimension, segment, previous, current, impact, records, share, cast(round(least(96, 54 + 34 * share + least(10, 1.5::double * records))) as int) as confidence, counterfactual,
+  row_number() over (order by {STRENGTH}) as rank from c order by {STRENGTH} limit 5""")
+def material_causes(spark, sf_dir):
+    e = _explained(spark, sf_dir)
+    return ex.material_causes(e["factors"], e["headline"], DIMS)
+
+
+@query(f"{BASE_SQL} select coalesce(sum(impact), 0) as impact from factors where dimension = 'region' and segment = 'EUROPE'")
+def cause_impact(spark, sf_dir):
+    e = _explained(spark, sf_dir)
+    return ex.cause_impact(e["totals"], e["headline"], "region", "EUROPE")
+
+
+@query("select event_id + 1000000000 as row_number from events where event_id % 10 = 3 and event_type <> 'click'")
+def stored_duplicates(spark, sf_dir):
+    """Rows that are already stored, by signature."""
+    both = _doubled(spark, sf_dir).where("event_type <> 'click'")
+    signed = both.withColumn("row_signature", review.row_signature(["ts", "user_id", "event_type", "value", "props"]))
+    new, stored = signed.where("row_number >= 1000000000"), signed.where("row_number < 1000000000")
+    return new.join(review.novel_rows(new, stored).select("row_number"), "row_number", "left_anti").select("row_number")
+
+
+@query("""select o_orderkey as row_number, o_totalprice as amount, case when o_orderkey % 9 = 0 then 'Excluded' else 'Included' end as __status from orders""")
+def exported_rows(spark, sf_dir):
+    from ..sources import store
+
+    k, no = F.col("o_orderkey"), F.lit(False)
+    rows = table(spark, sf_dir, "orders").select(k.alias("row_number"), F.col("o_totalprice").alias("amount"), no.alias("exact_duplicate"), no.alias("possible_duplicate"), (k % 9 == 0).alias("excluded"))
+    return store.export_rows(rows, ["amount"])
+
+
+@query("""select event_type as segment, count(*) as n, cast(sum(cast(value as decimal(15,2))) as double) as total from events group by event_type""")
+def stream_totals(spark, sf_dir):
+    """Events ingested in micro-batches of files, with the totals of all batches added up."""
+    from ..sources import store
+    from ..sources.scratch import scratch_path
+    from ..streaming import ingest
+
+    events = table(spark, sf_dir, "events")
+    shape = events.select(F.col("event_id").alias("row_number"), "event_type", F.col("value").cast("decimal(15,2)").alias("value"), F.col("ts").cast("date").alias("day"))
+    source = scratch_path(spark, "stream-in")
+    shape.repartition(3, "row_number").write.parquet(source)
+    out, totals = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-totals")
+    stream = ingest.file_stream(spark, source, shape.schema)
+    run = ingest.ingest(stream, out, scratch_path(spark, "stream-check"), ["row_number", "event_type", "value", "day"], totals=totals, metric="value", date="day", dims=["event_type"])
+    run.awaitTermination()
+    got = store.read_totals(spark, totals, "stream").where("dimension = 'event_type'")
+    return got.groupBy("segment").agg(F.sum("record_count").alias("n"), F.sum("metric_total").cast("double").alias("total"))
