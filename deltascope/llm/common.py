@@ -106,3 +106,14 @@ def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
     out += np.arange(total, dtype=kind)
     return out
+
+
+def release() -> None:
+    """Give memory that a worker has freed back to the system: workers are used again by
+    later tasks, and what they keep counts against the executor."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, id_crc, spans_of
+from .common import crc_mod, cut, id_crc, release, spans_of
 from .textarrays import mix, slices
 
 FOLDS, HELD_OUT, DEV = 5, 1, 20
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: Keys that one part of the key range adds up, about.
 PART_KEYS = 1_000_000
 BUCKETS, ROUNDS = 24, 12
@@ -146,7 +146,8 @@ def answers(table: DataFrame, parts: int) -> DataFrame:
 
     def ask(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
                 t = Tokens(row)
                 learns = np.repeat(t.train, t.sizes)
                 out = []
@@ -159,6 +160,8 @@ def answers(table: DataFrame, parts: int) -> DataFrame:
                         for p, (a, b) in enumerate(zip(edges, edges[1:]))
                     ]
                 yield pa.RecordBatch.from_pylist(out, schema=asked)
+                del t, out, row
+            release()
 
     def add(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
@@ -173,6 +176,7 @@ def answers(table: DataFrame, parts: int) -> DataFrame:
         out = []
         for r, a, b in zip(rows, edges, edges[1:]):
             out.append({"level": r["level"], "part": r["part"], "chunk": r["chunk"], "dev": r["dev"], "total": planes(total[at[a:b]]), "held": planes(dev[at[a:b]]), "v": 0, "n": 0, "n_dev": 0})
+        release()
         out[0] |= {"v": int((total > 0).sum()), "n": int(total.sum()), "n_dev": int(dev.sum())}
         return pa.Table.from_pylist(out, schema=told)
 
@@ -249,6 +253,7 @@ def score(docs: DataFrame) -> DataFrame:
         w = weights[bucket(cu)]
         p = w[:, 0] * c2 / np.maximum(cu, 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] / (v + 1)
         base = np.log10((c1 + 0.5) / (n + 0.5 * (v + 1)))
+        release()
         sums = [np.add.reduceat(x, t.edges[:-1]) for x in ((c1 > 0).astype(np.int64), base, np.log10(p))]
         return pa.table({"doc_id": pa.array(t.doc_ids, pa.int64()), "n_tokens": pa.array(t.sizes, pa.int64()), "n_known": sums[0], "base_score": sums[1], "score": sums[2]})
 
