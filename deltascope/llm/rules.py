@@ -118,8 +118,10 @@ RULES = {"symbols": symbol_rule, "word_length": word_length_rule, "lines": line_
 
 def measure(docs: DataFrame, rules: dict = RULES, sample: int = SAMPLE) -> list[tuple[str, int, int, float]]:
     """For each rule: texts seen, rejected and seconds, over the sample (the texts whose
-    ids hash lowest)."""
-    few = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    ids hash lowest). The ids are picked first, so no task gathers texts; they are at most
+    `sample` rows, which bounds what is broadcast."""
+    ids = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    few = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").limit(sample)
 
     def run(batches):
         found = {k: [0, 0, 0.0] for k in rules}
