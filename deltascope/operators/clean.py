@@ -14,6 +14,7 @@ from .categories import reconcile
 from .profile import Column, date_of, dimensions_of, metric_of
 from .review import CHANGE, ISSUE, ENTITY, change, exact_duplicates, issue, outliers, possible_duplicates
 
+#: The reasons that changes are logged with.
 NUMBER, DAY, PARTS, SPACE = "Standardised numeric or currency value", "Standardised date", "Resolved ambiguous date from Year/Month/Day columns", "Standardised category whitespace"
 
 
@@ -97,9 +98,10 @@ def clean(rows: DataFrame, columns: list[Column], order: str = "row_number") ->
     return out.select(order, "raw", *[c.name for c in columns], "changes", "issues")
 
 
-def review_table(rows: DataFrame, columns: list[Column], order: str = "row_number", fuzzy: bool = True, earlier: DataFrame | None = None) -> DataFrame:
+def review_table(rows: DataFrame, columns: list[Column], order: str = "row_number", fuzzy: bool = True, earlier: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """The whole import: clean, exact duplicates (on the cleaned rows before categories are
-    merged), category reconciliation, possible duplicates and outliers."""
+    merged), category reconciliation, possible duplicates and outliers (`approximate` takes
+    their quartiles from a sketch of bounded size, for tables with many distinct numbers)."""
     import re
 
     names = [c.name for c in columns]
@@ -112,7 +114,7 @@ def review_table(rows: DataFrame, columns: list[Column], order: str = "row_numbe
     entity = next((c.name for c in columns if c.kind in ("category", "identifier") and re.search(ENTITY, c.name)), None)
     out = possible_duplicates(out, entity, date.name, metric.name, order) if metric and date and entity else out.withColumn("possible_duplicate", F.lit(False))
     numbers = [c.name for c in columns if c.kind == "number"]
-    return outliers(out, numbers) if numbers else out.withColumns({"is_outlier": F.lit(False), "outlier_columns": F.array().cast("array<string>")})
+    return outliers(out, numbers, approximate) if numbers else out.withColumns({"is_outlier": F.lit(False), "outlier_columns": F.array().cast("array<string>")})
 
 
 def cleaning_counts(review: DataFrame) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import types as T
 from .scratch import materialise
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A table by its extension, from any file system that Spark reads. CSV has a header
     and gives strings as they stand: no type inference, spaces kept, quotes doubled,
-    records over several lines, short rows filled with nulls, blank lines skipped."""
+    records over several lines, short rows filled with nulls, blank lines skipped. Without
+    `multi_line` (no line feeds in cells) Spark splits large files among tasks."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
-        df = spark.read.options(header=True, mode="PERMISSIVE", multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8").csv(path)
+        df = spark.read.options(header=True, mode="PERMISSIVE", multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8").csv(path)
         return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
     if kind in (".json", ".jsonl"):
         return spark.read.json(path, primitivesAsString=True)
@@ -32,13 +33,14 @@ def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
     written once with their places, as another run may cut partitions otherwise."""
     base = materialise(df.withColumn("_id", F.monotonically_increasing_id()), "numbered")
     counted = base.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()
-    starts, at = {}, 0
+    starts, at = [], 0
     for r in counted:
-        starts[r.p] = at
+        starts.append((r.p, at))
         at += r.n
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.shiftright("_id", 33)) if starts else F.lit(0)
-    number = start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return base.withColumn(name, number.cast("long")).drop("_id")
+    table = df.sparkSession.createDataFrame(starts, "_p long, _start long")  # one row a source partition
+    out = base.withColumn("_p", F.shiftright("_id", 33)).join(F.broadcast(table), "_p")
+    number = F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return out.withColumn(name, number.cast("long")).drop("_id", "_p", "_start")
 
 
 def check_source(df: DataFrame, most: int | None = None) -> DataFrame:
