@@ -27,8 +27,8 @@ def parse_number(c: Column) -> Column:
 
     def signed(t: Column) -> Column:
         negative = t.rlike(r"(?i)^\(.*\)$|^\s*-|-\s*$|\bDR\s*$")
-        body = F.regexp_replace(F.regexp_replace(t, r"-\s*$", ""), r"(?i)\b(?:CR|DR)\s*$", "")
-        value = let(F.regexp_replace(body, "[()\\s%’']", ""), scaled)
+        body = F.regexp_replace(t, r"(?i)(?:\b(?:CR|DR)\s*)?(?:-\s*)?$|[()\s%’']", "")
+        value = let(body, scaled)
         return F.when(negative, -F.abs(value)).otherwise(value)
 
     def scaled(t: Column) -> Column:
@@ -55,7 +55,15 @@ def parse_number(c: Column) -> Column:
         )
         return F.regexp_extract(plain, r"^([+-]?(?:\d+\.?\d*|\.\d+))$", 1)
 
-    return let(raw, bare)
+    # plain numbers, and those with a dollar sign and grouped by threes, are most: they
+    # take one test and a cast
+    c = c.cast("string")
+    grouped = c.rlike(r"^\$?-?\d{1,3}(?:,\d{3})+(?:\.\d+)?$|^\$\d+(?:\.\d+)?$")
+    return (
+        F.when(c.rlike(r"^-?\d+(?:\.\d+)?$"), c.try_cast("double"))
+        .when(grouped, F.regexp_replace(c, "[$,]", "").try_cast("double"))
+        .otherwise(let(raw, bare))
+    )
 
 
 def simple_number(c: Column) -> Column:

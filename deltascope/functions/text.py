@@ -42,12 +42,18 @@ def repair_mojibake(c: Column) -> Column:
     return F.when(c.rlike("[ÃÂâ]"), F.coalesce(let(F.translate(c, specials, controls), try_), c)).otherwise(c)
 
 
+#: Printable ASCII without space at either end: base text as it stands.
+PLAIN = r"^[\x21-\x7e](?:[\x20-\x7e]*[\x21-\x7e])?$"
+
+
 def base_text(c: Column) -> Column:
     """Repaired, without invisible format characters, no-break spaces as spaces, trimmed;
-    null as empty. Text is taken as composed (NFC) already."""
-    c = let(F.coalesce(c.cast("string"), F.lit("")), repair_mojibake)
-    c = F.regexp_replace(c, "[\u00ad\u200b-\u200d\u2060\ufeff]", "")
-    return F.regexp_replace(F.regexp_replace(c, "\u00a0", " "), r"^\s+|\s+$", "")
+    null as empty. Text is taken as composed (NFC) already. Plain text takes one test."""
+    c = c.cast("string")
+    t = let(F.coalesce(c, F.lit("")), repair_mojibake)
+    t = F.regexp_replace(t, "[\u00ad\u200b-\u200d\u2060\ufeff]", "")
+    t = F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), r"^\s+|\s+$", "")
+    return F.when(c.rlike(PLAIN), c).otherwise(t)
 
 
 def normalise(c: Column) -> Column:
@@ -56,7 +62,11 @@ def normalise(c: Column) -> Column:
 
 
 def missing(c: Column) -> Column:
-    return normalise(c).isin(*MISSING)
+    """Whether a text is a placeholder for nothing; none of them has a digit, and one of
+    letters alone needs no normalising."""
+    c = c.cast("string")
+    letters = c.rlike("^[A-Za-z]+$")
+    return F.when(c.rlike("[0-9]"), False).when(letters, F.lower(c).isin(*MISSING)).otherwise(normalise(c).isin(*MISSING))
 
 
 #: Accented letters of Latin-1 and Latin Extended-A, and the plain ones.

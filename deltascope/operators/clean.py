@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import is_ambiguous, parse_date, parts_date
 from ..functions.numbers import derived_amount, parse_number
 from ..functions.text import UNKNOWN, base_text, category_text, missing
-from ..sources.scratch import materialise
+from ..sources.scratch import materialise, spread
 from .categories import reconcile
 from .profile import Column, date_of, dimensions_of, metric_of
 from .review import CHANGE, ISSUE, ENTITY, change, exact_duplicates, issue, outliers, possible_duplicates
@@ -105,7 +105,7 @@ def review_table(rows: DataFrame, columns: list[Column], order: str = "row_numbe
     import re
 
     names = [c.name for c in columns]
-    out = exact_duplicates(materialise(clean(rows, columns, order), "cleaned"), names, order, earlier)
+    out = exact_duplicates(materialise(clean(spread(rows), columns, order), "cleaned"), names, order, earlier)
     categories = [c.name for c in columns if c.kind == "category"]
     if categories:
         out = reconcile(materialise(out, "signed"), categories, fuzzy)
@@ -119,9 +119,11 @@ def review_table(rows: DataFrame, columns: list[Column], order: str = "row_numbe
 
 def cleaning_counts(review: DataFrame) -> DataFrame:
     """kind (change or issue), name and n: how often each reason and issue occurs."""
-    changes = review.select(F.explode("changes").alias("c")).select(F.lit("change").alias("kind"), F.col("c.reason").alias("name"))
-    issues = review.select(F.explode("issues").alias("i")).select(F.lit("issue").alias("kind"), F.col("i.type").alias("name"))
-    return changes.unionByName(issues).groupBy("kind", "name").agg(F.count("*").alias("n"))
+    each = F.concat(
+        F.transform("changes", lambda c: F.struct(F.lit("change").alias("kind"), c["reason"].alias("name"))),
+        F.transform("issues", lambda i: F.struct(F.lit("issue").alias("kind"), i["type"].alias("name"))),
+    )
+    return review.select(F.inline(each)).groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
 def cleaning_log(review: DataFrame) -> DataFrame:

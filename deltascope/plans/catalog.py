@@ -12,6 +12,7 @@ from ..operators import aggregate as agg
 from ..operators import explain as ex
 from ..operators import questions as ask
 from ..operators import review
+from ..sources.scratch import spread
 from .star import BASE_SQL, DATE, DIMS, HEAD_SQL, METRIC, RANK_SQL, ROWS_SQL, factors_sql, long_sql, revenue_rows, table
 
 QUERIES: dict = {}
@@ -336,7 +337,7 @@ def _dirty_amount(key, price):
 
 @query("select o_orderkey, case when o_orderkey % 6 in (1, 3, 4) then -o_totalprice else o_totalprice end as amount from orders")
 def parse_numbers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("dirty", _dirty_amount(F.col("o_orderkey"), F.col("o_totalprice")))
+    o = spread(table(spark, sf_dir, "orders")).withColumn("dirty", _dirty_amount(F.col("o_orderkey"), F.col("o_totalprice")))
     return o.select("o_orderkey", parse_number(F.col("dirty")).alias("amount"))
 
 
@@ -344,7 +345,7 @@ def parse_numbers(spark, sf_dir):
 def parse_dates(spark, sf_dir):
     d = F.col("o_orderdate")
     forms = [F.date_format(d, "yyyyMMdd"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d MMM yyyy"), F.date_format(d, "yyyy-MM-dd HH:mm"), F.date_format(d, "MMM yyyy"), F.concat(F.lit("Q"), F.quarter(d), F.lit(" "), F.year(d))]
-    o = table(spark, sf_dir, "orders").withColumn("dirty", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")))
+    o = spread(table(spark, sf_dir, "orders")).withColumn("dirty", F.element_at(F.array(*forms), (F.col("o_orderkey") % 6 + 1).cast("int")))
     return o.select("o_orderkey", parse_date(F.col("dirty"), DatePolicy("day-first")).alias("order_date"))
 
 
@@ -369,7 +370,7 @@ def category_keys(spark, sf_dir):
 def _dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a raw table of strings: amounts in several notations, one in fifty
     missing and one in fifty unreadable, dates in four forms, categories with spaces."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     amount = F.when(k % 50 == 7, "N/A").when(k % 50 == 9, "unclear").otherwise(_dirty_amount(k, F.col("o_totalprice")))
     dates = F.element_at(F.array(F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d MMM yyyy"), F.date_format(d, "yyyyMMdd")), (k % 4 + 1).cast("int"))
