@@ -30,6 +30,9 @@ from .textarrays import mix, slices
 BITS = 64
 #: Fingerprints of a bucket that one group holds of each block.
 BLOCK = 1024
+#: Bands of a text's shingles, and least hashes in each: two texts of Jaccard similarity s
+#: share a band with probability 1 - (1 - s**LEAST)**BANDS, 0.9998 at 0.8.
+BANDS, LEAST = 16, 4
 #: Candidate checks (some 5 ns each) that cost as much as one probe row (some 2 us).
 PROBE = 400.0
 ONE = np.uint64(1)
@@ -377,9 +380,48 @@ def partners(rows: DataFrame, parts: int, k: int) -> DataFrame:
     return rows.select(*names).repartition(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
-def set_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a hash of the text's words in order) and fp (of its distinct words,
-    A-Z in lower case)."""
+def passages(words: np.ndarray, bounds: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each text, text after text, and where each text's begin
+    (and the end); a text of fewer words has one shingle of them all."""
+    n = np.diff(bounds)
+    counts = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
+    at = spans_of(counts)
+    out = np.zeros(int(at[-1]), dtype=np.uint64)
+    factors = np.random.default_rng(17).integers(0, 1 << 63, shingle, dtype=np.uint64) | ONE
+    for size in range(1, shingle + 1):
+        these = np.flatnonzero(n == size if size < shingle else n >= size)
+        if len(these):
+            starts = gather_runs(bounds[:-1][these], counts[these])
+            out[gather_runs(at[:-1][these], counts[these])] = sum(mix(words[starts + j] * factors[j]) for j in range(size))
+    return out, at
+
+
+def band_values(hashes: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    """For each text a list of BANDS values, each a hash of the least of its shingles in
+    LEAST orders; an empty list if it has no words."""
+    full = np.flatnonzero(np.diff(at))
+    factors = np.random.default_rng(23).integers(0, 1 << 63, (BANDS, LEAST), dtype=np.uint64) | ONE
+    out = np.zeros((len(full), BANDS), dtype=np.uint64)
+    for i, j in np.ndindex(factors.shape) if len(full) else ():
+        out[:, i] = mix(out[:, i] ^ np.minimum.reduceat(hashes * factors[i, j], at[:-1][full]))
+    offsets = spans_of(np.where(np.diff(at) > 0, BANDS, 0)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel().view(np.int64)))
+
+
+def text_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each text's words in order, zero if it has none."""
+    n = np.diff(bounds)
+    key = np.zeros(len(n), dtype=np.uint64)
+    if len(words):
+        place = (np.arange(len(words)) - np.repeat(bounds[:-1], n)).astype(np.uint64)
+        full = np.flatnonzero(n)
+        key[full] = np.add.reduceat(mix(words ^ mix(place + np.uint64(1))), bounds[:-1][full]) + n[full].astype(np.uint64)
+    return key
+
+
+def set_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, key (a hash of the text's words in order), fp (of its distinct words, A-Z
+    in lower case) and the bands of its shingles."""
 
     def run(batches):
         for batch in batches:
@@ -391,31 +433,21 @@ def set_prints(docs: DataFrame) -> DataFrame:
                 new[1:] = (words[order][1:] != words[order][:-1]) | (of[order][1:] != of[order][:-1])
                 distinct = words[order][new]
                 fp = majority(distinct, spans_of(np.bincount(of[order][new], minlength=t.n)))
-                key = np.zeros(t.n, dtype=np.uint64)
-                if len(words):
-                    place = (np.arange(len(words)) - np.repeat(t.words[:-1], n)).astype(np.uint64)
-                    full = np.flatnonzero(n)
-                    key[full] = np.add.reduceat(mix(words ^ mix(place + np.uint64(1))), t.words[:-1][full]) + n[full].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["doc_id", "key", "fp"])
+                key = text_keys(words, t.words)
+                bands = band_values(*passages(words, t.words, shingle))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), bands], names=["doc_id", "key", "fp", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, fp long")
+    return docs.mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
 
 
 def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
     """key and sketch: the distinct shingles' hashes, of all words if they are fewer."""
-    factors = np.random.default_rng(17).integers(0, 1 << 63, shingle, dtype=np.uint64) | ONE
-
-    def of(words: np.ndarray) -> bytes:
-        size = min(shingle, len(words))
-        n = len(words) - size + 1 if size else 0
-        hashes = sum(mix(words[j : j + n] * factors[j]) for j in range(size)) if n else words
-        return np.unique(hashes).tobytes()
 
     def run(batches):
         for batch in batches:
             for lo, hi, t in slices(batch["text"], lower=True):
-                words = t.word_hashes()
-                found = [of(words[a:b]) for a, b in zip(t.words[:-1], t.words[1:])]
+                hashes, at = passages(t.word_hashes(), t.words, shingle)
+                found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
                 yield pa.RecordBatch.from_arrays([batch["key"].slice(lo, hi - lo), pa.array(found, pa.binary())], names=["key", "sketch"])
 
     return rows.select("key", "text").mapInArrow(run, "key long, sketch binary")
@@ -424,37 +456,57 @@ def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
 def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id; all
     columns. Texts with the same words in order are copies; others are linked if their
-    fingerprints over distinct words differ in at most k bits and their sets of shingles
-    of five words have a Jaccard similarity of at least 0.8, checked on whole texts.
+    sets of shingles of five words have a Jaccard similarity of at least 0.8, checked on
+    whole texts. Those are looked at whose fingerprints over distinct words differ in at
+    most k bits and, for copies cut short, extended or with a block put in, those that
+    share a band of shingles.
 
     Links are made among distinct texts only, first by fingerprint; only texts that have
     a partner there bring their shingles, once for each bucket in which they have one.
+    Then bands link the groups found so far, and only texts that share a band with one of
+    another group bring their shingles.
     Nulls are empty texts; texts without words are copies of each other; rows that share
     a doc_id stay or go together; rows whose doc_id is null stay.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = cut(set_prints(slim), "copies")
-    classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "copies-classes")
+    prints = cut(set_prints(slim, shingle), "copies")
+    classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "copies-classes")
+
+    def sketched(keys: DataFrame) -> DataFrame:
+        texts_of = classes.join(keys.distinct(), "key", "left_semi").where("first is not null").select("key", F.col("first").alias("doc_id"))
+        held = slim.join(texts_of, "doc_id")
+        # a doc_id may stand for several texts: the key decides which is meant
+        marked = held.select("doc_id", "text", "key")
+        return sketches(marked, shingle).groupBy("key").agg(F.max_by("sketch", F.octet_length("sketch")).alias("sketch"))
+
     nodes = classes.select("key", "fp")
     n, both = bit_statistics(nodes)
     p = plan(n, both, k)
     spread = shuffle_parts(n * sum(1 + len(flips(len(b), t)) for b, t in p))
     near = cut(partners(blocked(buckets(nodes, p), "key"), spread, k), "copies-partners")
-    texts_of = classes.join(near.select("key").distinct(), "key", "left_semi").where("first is not null").select("key", F.col("first").alias("doc_id"))
-    held = slim.join(texts_of, "doc_id")
-    # a doc_id may stand for several texts: the key decides which is meant
-    marked = held.select("doc_id", "text", "key")
-    sketched = sketches(marked, shingle).groupBy("key").agg(F.max_by("sketch", F.octet_length("sketch")).alias("sketch"))
-    edges = cut(link(near.join(sketched, "key"), spread, k, similarity), "copies-edges")
+    edges = cut(link(near.join(sketched(near.select("key")), "key"), spread, k, similarity), "copies-edges")
     tree = components(edges)
-    named = tree.join(classes.select(F.col("key").alias("node"), "first"), "node")
+    rooted = classes.join(tree.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = cut(rooted.select("key", "fp", "first", "root", "bands"), "copies-roots")
+    met = cut(band_partners(rooted), "copies-bands")
+    # the link is between groups: a row counts as its group's, its own shingles are compared
+    held = blocked(met, "key").join(sketched(met.select("key")), "key").withColumn("key", F.col("root"))
+    joined = components(cut(link(held, shuffle_parts(n * BANDS), BITS, similarity), "copies-band-edges"))
+    named = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("key", "first", F.coalesce("whole", "root").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("winner"))
-    winners = named.join(best, "root").select(F.col("node").alias("key"), "winner")
-    final = cut(classes.join(winners, "key", "left").select("key", F.coalesce("winner", "first").alias("winner")), "copies-winners")
+    final = cut(named.join(best, "root").select("key", "winner"), "copies-winners")
     gone = prints.join(final, "key").where("doc_id <> winner").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(cut(gone, "copies-gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
 
 
+def band_partners(rooted: DataFrame) -> DataFrame:
+    """part, value, key, root, fp and probe (false) of the texts that share a band with a
+    text of another root; buckets within one root have nothing to link."""
+    rows = rooted.where("first is not null").select("key", "root", "fp", F.lit(False).alias("probe"), F.posexplode("bands").alias("part", "value"))
+    several = rows.groupBy("part", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+    return rows.join(several.select("part", "value"), ["part", "value"], "left_semi")
+
+
 def shuffle_parts(rows: int) -> int:
     return max(8, math.ceil(rows / 200_000))
 

@@ -159,3 +159,38 @@ def test_near_copies_of_odd_tables(spark):
     assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
     docs = spark.createDataFrame([(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, "a b c d"), (5, None)], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash.drop_near_copies(docs).collect()) == ["4", "4", "5", "None"]
+
+
+def test_cut_extended_and_inserted_copies_are_found(spark):
+    r = random.Random(31)
+    rows = []
+    for i in range(60):
+        w = [f"v{r.randrange(50_000)}" for _ in range(r.randrange(60, 400))]
+        n, more = len(w), [f"v{r.randrange(50_000)}" for _ in range(400)]
+        at = r.randrange(1, n)
+        size = r.randrange(n // 8, n // 5 - 1)
+        copy = (w[: n - size], w[size:], w + more[:size], more[:size] + w, w[:at] + more[:size] + w[at:], w[:at] + w[at + size :])[i % 6]
+        rows += [" ".join(w), " ".join(copy)]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in map(str.split, rows)]
+    up = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        common = len(sets[a] & sets[b])
+        if common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
+            up[b] = min(up[a], up[b])
+    want = {i for i in range(len(rows)) if up[i] == i}
+    assert len(want) < len(rows) - 40
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "text string, doc_id long")
+    assert {x.doc_id for x in simhash.drop_near_copies(docs).collect()} == want
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_a_band_of_many_groups_is_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.blocked, "__defaults__", (block,))
+    r = random.Random(32)
+    w = [f"v{i}" for i in range(300)]
+    rows = [" ".join(w + [f"x{k}-{i}" for i in range(30)]) for k in range(12)] + [" ".join(f"y{i}" for i in range(50))]
+    r.shuffle(rows)
+    docs = spark.createDataFrame([(t, i) for i, t in enumerate(rows)], "text string, doc_id long")
+    alone = next(i for i, t in enumerate(rows) if t.startswith("y"))
+    first = min(i for i in range(len(rows)) if i != alone)
+    assert {x.doc_id for x in simhash.drop_near_copies(docs).collect()} == {alone, first}
