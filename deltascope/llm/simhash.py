@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, gather_runs, spans_of
 from .components import components
@@ -441,16 +442,31 @@ def set_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
-    """key and sketch: the distinct shingles' hashes, of all words if they are fewer."""
+    """key (of set_prints) and sketch: the distinct shingles' hashes, of all words if they
+    are fewer."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, t in slices(batch["text"], lower=True):
-                hashes, at = passages(t.word_hashes(), t.words, shingle)
+            for _, _, t in slices(batch["text"], lower=True):
+                words = t.word_hashes()
+                hashes, at = passages(words, t.words, shingle)
                 found = [np.unique(hashes[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch["key"].slice(lo, hi - lo), pa.array(found, pa.binary())], names=["key", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(text_keys(words, t.words).view(np.int64)), pa.array(found, pa.binary())], names=["key", "sketch"])
+
+    return rows.select("text").mapInArrow(run, "key long, sketch binary")
+
+
+def with_keys(docs: DataFrame, name: str) -> DataFrame:
+    """The rows with the key of set_prints of their text as a last column."""
+
+    def run(batches):
+        for batch in batches:
+            text = batch["text"].cast(pa.string())
+            for lo, hi, t in slices(text, lower=True):
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text_keys(t.word_hashes(), t.words).view(np.int64))], names=[*part.schema.names, name])
 
-    return rows.select("key", "text").mapInArrow(run, "key long, sketch binary")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -466,18 +482,18 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
     Then bands link the groups found so far, and only texts that share a band with one of
     another group bring their shingles.
     Nulls are empty texts; texts without words are copies of each other; rows that share
-    a doc_id stay or go together; rows whose doc_id is null stay.
+    a doc_id but not their text stay or go each by its own text, and rows of a group that
+    have the smallest doc_id stay; rows whose doc_id is null stay.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(set_prints(slim, shingle), "copies")
     classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "copies-classes")
 
     def sketched(keys: DataFrame) -> DataFrame:
-        texts_of = classes.join(keys.distinct(), "key", "left_semi").where("first is not null").select("key", F.col("first").alias("doc_id"))
-        held = slim.join(texts_of, "doc_id")
-        # a doc_id may stand for several texts: the key decides which is meant
-        marked = held.select("doc_id", "text", "key")
-        return sketches(marked, shingle).groupBy("key").agg(F.max_by("sketch", F.octet_length("sketch")).alias("sketch"))
+        ids = classes.join(keys.distinct(), "key", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+        # a doc_id may stand for several texts: each has its own key, and equal keys have equal sketches
+        found = sketches(slim.join(ids, "doc_id", "left_semi"), shingle)
+        return found.groupBy("key").agg(F.max_by("sketch", F.octet_length("sketch")).alias("sketch"))
 
     nodes = classes.select("key", "fp")
     n, both = bit_statistics(nodes)
@@ -495,8 +511,18 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
     named = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("key", "first", F.coalesce("whole", "root").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("winner"))
     final = cut(named.join(best, "root").select("key", "winner"), "copies-winners")
-    gone = prints.join(final, "key").where("doc_id <> winner").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(cut(gone, "copies-gone"), docs["doc_id"] == F.col("_gone"), "left_anti")
+    judged = prints.select("doc_id", "key").join(final, "key").where("doc_id is not null").withColumn("goes", F.col("doc_id") != F.col("winner"))
+    per_id = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("goes").alias("_all"), F.bool_or("goes").alias("_some"))
+    gone = cut(per_id.where("_some"), "copies-gone")
+    whole, mixed = gone.where("_all").select("_id"), gone.where("not _all").select("_id")
+    id_ = docs["doc_id"].cast("long")
+    if mixed.isEmpty():
+        return docs.join(whole, id_ == F.col("_id"), "left_anti")
+    # ids of which one text goes and another stays: the row's own text decides
+    keyed = with_keys(docs.join(mixed, id_ == F.col("_id"), "left_semi"), "_key")
+    texts = judged.where("goes").select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).join(mixed, "_id").distinct()
+    stay = keyed.join(texts, (keyed["doc_id"].cast("long") == F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti").drop("_key")
+    return docs.join(gone.select("_id"), id_ == F.col("_id"), "left_anti").unionByName(stay)
 
 
 def band_partners(rooted: DataFrame) -> DataFrame:

@@ -194,3 +194,15 @@ def test_a_band_of_many_groups_is_linked(spark, monkeypatch, block):
     alone = next(i for i, t in enumerate(rows) if t.startswith("y"))
     first = min(i for i in range(len(rows)) if i != alone)
     assert {x.doc_id for x in simhash.drop_near_copies(docs).collect()} == {alone, first}
+
+
+def test_texts_that_share_a_doc_id_are_judged_each_by_itself(spark):
+    r = random.Random(33)
+    w = [f"v{i}" for i in range(100)]
+    long = " ".join(f"l{r.randrange(50_000)}" for _ in range(300))
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:50], "other", *w[51:]])), (2, long), (3, long + " end"), (4, "one text alone"), (4, " ".join(w)), (None, long)]
+    docs = spark.createDataFrame([(d, t, "c") for d, t in rows], "doc_id long, text string, key string")
+    out = simhash.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    want = [(None, long), (1, rows[0][1]), (2, long), (4, "one text alone")]
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted(want, key=str)
