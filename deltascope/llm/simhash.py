@@ -527,10 +527,13 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
 
 def band_partners(rooted: DataFrame) -> DataFrame:
     """part, value, key, root, fp and probe (false) of the texts that share a band with a
-    text of another root; buckets within one root have nothing to link."""
+    text of another root; buckets within one root have nothing to link, and of buckets that hold
+    the same texts one is enough."""
     rows = rooted.where("first is not null").select("key", "root", "fp", F.lit(False).alias("probe"), F.posexplode("bands").alias("part", "value"))
-    several = rows.groupBy("part", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-    return rows.join(several.select("part", "value"), ["part", "value"], "left_semi")
+    held = [F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("texts")]
+    several = rows.groupBy("part", "value").agg(F.min("root").alias("a"), F.max("root").alias("b"), *held).where("a < b")
+    one = several.groupBy("a", "b", "n", "texts").agg(F.min(F.struct("part", "value")).alias("one")).select("one.*")
+    return rows.join(one, ["part", "value"], "left_semi")
 
 
 def shuffle_parts(rows: int) -> int:
