@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import uuid
 import zlib
@@ -24,8 +25,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in
-    spark.checkpoint.dir; where that is unset (local tests), /tmp/checkpoints."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    spark.checkpoint.dir; where that is unset, a local one if all of Spark is on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -37,16 +41,32 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     after a lost executor) start from those files."""
     spark = df.sparkSession
     path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression="zstd")
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder of this run."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+def drop_dir(table: DataFrame) -> None:
+    """Delete the files of a table that `cut` wrote, when nothing will read it again."""
+    spark = table.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.scratch)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files when the query is done; every table
+    that is read twice must have been written by `cut`."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def store(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a shared-folder URI, usable inside tasks."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from deltascope.llm import crf, lm
+from deltascope.llm import crf, keycounts, lm
 from deltascope.llm.textarrays import slices
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -83,9 +83,11 @@ def lm_corpus():
     return texts + ["", None, "\n \t", "UPPER upper Upper", texts[0], texts[0], "long word " * 5000]
 
 
-@pytest.mark.parametrize("chunk", [8 << 20, 400])
-def test_lm_equals_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, part_keys, fan", [(8 << 20, 6_000_000, 4096), (400, 6_000_000, 4096), (400, 300, 4096), (400, 300, 3)])
+def test_lm_equals_brute_force(spark, monkeypatch, chunk, part_keys, fan):
     monkeypatch.setattr(lm, "CHUNK", chunk)
+    monkeypatch.setattr(keycounts, "PART_KEYS", part_keys)
+    monkeypatch.setattr(keycounts, "FAN", fan)
     texts = lm_corpus()
     rows = {r.doc_id: r for r in lm.score(spark.createDataFrame([(t, i, "", "", "") for i, t in enumerate(texts)], SCHEMA)).collect()}
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -93,41 +95,81 @@ def test_lm_equals_brute_force(spark, monkeypatch, chunk):
     crc = {i: zlib.crc32(str(i).encode()) for i in tokens}
     train = [i for i in tokens if crc[i] % 5 != 1]
 
+    def grams(t):
+        """(u, v, w) of each token; a text's first has two ends before it."""
+        return zip(["\n", "\n", *t], ["\n", *t], t)
+
     def counts(ids):
-        return Counter(w for i in ids for w in tokens[i]), Counter(p for i in ids for p in zip(["\n", *tokens[i]], tokens[i]))
+        c1, c2, c3 = Counter(), Counter(), Counter()
+        for i in ids:
+            for k, (u, v, w) in enumerate(grams(tokens[i])):
+                c1[w] += 1
+                c2[v, w] += 1
+                c3[u, v, w] += 1
+        context = Counter()
+        for (u, v, _), k in c3.items():
+            context[u, v] += k
+        return c1, c2, c3, context
 
     def bucket(c):
         return min(c.bit_length(), lm.BUCKETS - 1)
 
+    def parts(c, total, low, high, u, v, w):
+        c1, c2, c3, context = c
+        b2, b3 = bucket(c1[v]), bucket(context[u, v])
+        p = low[b2] * [c2[v, w] / c1[v] if c1[v] else 0.0, c1[w] / total, 1 / (size + 1)]
+        return b2, b3, np.append((1 - high[b3]) * p, high[b3] * c3[u, v, w] / context[u, v] if context[u, v] else 0.0)
+
     dev = [i for i in train if crc[i] // 5 % 20 == 0]
-    c1, c2 = counts(set(train) - set(dev))
-    full1, full2 = counts(train)
-    n, v, kept = sum(full1.values()), len(full1), sum(c1.values())
-    weights = np.tile([0.5, 0.4, 0.1], (lm.BUCKETS, 1))
+    held, full = counts(set(train) - set(dev)), counts(train)
+    n, size, kept = sum(full[0].values()), len(full[0]), sum(held[0].values())
+    low, high = np.tile([0.5, 0.4, 0.1], (lm.BUCKETS, 1)), np.full(lm.BUCKETS, 0.5)
+    high[0] = 0.0
     for _ in range(lm.ROUNDS):
-        sums = {}
+        s2, s3 = {}, {}
         for i in dev:
-            for u, w in zip(["\n", *tokens[i]], tokens[i]):
-                b = bucket(c1[u])
-                part = weights[b] * [c2[u, w] / c1[u] if c1[u] else 0.0, c1[w] / kept, 1 / (v + 1)]
-                sums[b] = sums.get(b, 0) + part / part.sum()
-        for b, s in sums.items():
-            s = s + [0, 0, 1e-3]
-            weights[b] = s / s.sum()
-        for b in range(1, lm.BUCKETS):
-            if b not in sums:
-                weights[b] = weights[b - 1]
-    weights[0] = [0.0, weights[0][0] + weights[0][1], weights[0][2]]
+            for u, v, w in grams(tokens[i]):
+                b2, b3, x = parts(held, kept, low, high, u, v, w)
+                x = x / x.sum()
+                s2[b2], s3[b3] = s2.get(b2, 0) + x[:3], s3.get(b3, 0) + np.array([x[:3].sum(), x[3]])
+        for b in range(lm.BUCKETS):
+            if b in s2:
+                s = s2[b] + [0, 0, 1e-3]
+                low[b] = s / s.sum()
+            elif b:
+                low[b] = low[b - 1]
+            if b in s3 and b:
+                high[b] = s3[b][1] / s3[b].sum()
+            elif b > 1:
+                high[b] = high[b - 1]
+    low[0] = [0.0, low[0][0] + low[0][1], low[0][2]]
     held_score = held_base = 0.0
     for i, t in tokens.items():
         r = rows[i]
-        base = sum(math.log10((full1[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t)
-        score = sum(math.log10(weights[bucket(full1[u])] @ [full2[u, w] / max(full1[u], 1), full1[w] / n, 1 / (v + 1)]) for u, w in zip(["\n", *t], t))
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc[i] % 5 == 1, len(t), sum(full1[w] > 0 for w in t), n)
+        base = sum(math.log10((full[0][w] + 0.5) / (n + 0.5 * (size + 1))) for w in t)
+        score = sum(math.log10(parts(full, n, low, high, u, v, w)[2].sum()) for u, v, w in grams(t))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (crc[i] % 5 == 1, len(t), sum(full[0][w] > 0 for w in t), n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6, abs_tol=1e-6)
         if r.held_out:
             held_score, held_base = held_score + score, held_base + base
     assert held_score > held_base - 1
+    whole = sum(parts(full, n, low, high, "w1", "w2", w)[2].sum() for w in full[0])
+    assert abs(whole + low[bucket(full[0]["w2"])][2] * (1 - high[bucket(full[3]["w1", "w2"])]) / (size + 1) - 1) < 1e-9
+
+
+def test_counts_of_keys_are_rows_linear_in_the_units():
+    fan, depth = keycounts.levels(10**15)
+    assert fan <= keycounts.FAN and fan**depth >= 10**15 / keycounts.PART_KEYS
+    assert keycounts.levels(100) == (1, 1)
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64))
+    rows = keycounts.ask(7, False, keys, np.ones(len(keys), dtype=np.int64), fan).to_pylist()
+    assert len(rows) <= fan and np.array_equal(np.concatenate([keycounts.unpack_keys(r["keys"]) for r in rows]), keys)
+
+
+def test_lm_leaves_no_scratch(spark):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false")
+    lm.score(spark.createDataFrame([("a b", 1, "", "", "")], SCHEMA)).collect()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == before
 
 
 def test_lm_empty_table(spark):
