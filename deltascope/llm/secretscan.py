@@ -3,9 +3,15 @@ run anchored at its hits only, and tokens with an embedded checksum must pass it
 
 Kinds: assign, access and hex are always reported as matched; github and npm tokens
 carry the CRC-32 of their first thirty places, in base 62, as the last six; a jwt must
-have a header that decodes to JSON with "alg"; a pem is the header of a private key.
-Nulls are empty texts; an empty text has no spans; each row of repeated rows is
-scanned by itself; an empty table gives no rows.
+have a header that decodes to JSON with "alg"; a pem is a private key from its BEGIN line
+to its END line over all lines between, or, where the next dashed line is no such END, over
+the lines of base 64 and headers that follow BEGIN.
+
+Nulls are empty texts; an empty text has no spans; a text is scanned whole, however long;
+each row of repeated rows is scanned by itself; spans that begin at the same place are
+listed in the order of KINDS; an empty table gives no rows. `find` and `digests` read only
+doc_id and text; `redact` keeps all columns whatever their names, and changes text and, if
+there is one, n_chars.
 """
 
 from __future__ import annotations
@@ -34,7 +40,10 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 GITHUB = re.compile("gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 NPM = re.compile("npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile("-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
+PEM = re.compile("-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+PEM_END = re.compile("-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: Lines of a key whose END is missing.
+PEM_BODY = re.compile(r"(?:\s+(?:[A-Za-z-]+:\x20[^\n]*|[A-Za-z0-9+/]{16,}={0,2}(?![A-Za-z0-9+/])))*(?:\s+[A-Za-z0-9+/]{2,}={1,2}(?![A-Za-z0-9+/=]))?")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 #: Characters of text that are scanned at a time.
 SLICE = 1 << 20
@@ -65,23 +74,29 @@ def automaton():
     return a
 
 
-def matches(text: str, kind: str, at: int):
-    """The regular expression of a keyword's kind, anchored at the hit: its match, and
-    whether that is a secret."""
+def key_end(text: str, begin: int, stop: int) -> int:
+    """Where a private key ends whose BEGIN line ends at `begin`."""
+    dashes = text.find("-----", begin, stop)
+    end = PEM_END.match(text, dashes, stop) if dashes >= 0 else None
+    return end.end() if end else PEM_BODY.match(text, begin, stop).end()
+
+
+def matches(text: str, kind: str, at: int, stop: int) -> tuple[int, bool]:
+    """The regular expression of a keyword's kind, anchored at the hit, within its text: the
+    end of its match (-1 if none), and whether that is a secret."""
+    pattern = {"assign": ASSIGN, "access": ACCESS, "github": GITHUB, "npm": NPM, "jwt": JWT, "pem": PEM}[kind]
+    m = pattern.match(text, at, stop)
+    if not m:
+        return -1, False
     if kind == "assign":
-        m = ASSIGN.match(text, at)
-        return m, bool(m) and len(m[2]) >= LEAST["assign"]
+        return m.end(), len(m[2]) >= LEAST["assign"]
     if kind == "access":
-        m = ACCESS.match(text, at)
-        return m, bool(m) and len(m[0]) >= LEAST["access"]
-    if kind in ("github", "npm"):
-        m = (GITHUB if kind == "github" else NPM).match(text, at)
-        return m, bool(m) and (at == 0 or not text[at - 1].isalnum()) and checksum_holds(m[0])
+        return m.end(), len(m[0]) >= LEAST["access"]
     if kind == "jwt":
-        m = JWT.match(text, at)
-        return m, bool(m) and header_holds(m[1])
-    m = PEM.match(text, at)
-    return m, bool(m)
+        return m.end(), header_holds(m[1])
+    if kind == "pem":
+        return key_end(text, m.end(), stop), True
+    return m.end(), (at == 0 or not text[at - 1].isalnum()) and checksum_holds(m[0])
 
 
 def hex_runs(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -97,24 +112,25 @@ def hex_runs(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def scan(texts: list[str], a) -> list[list[tuple[int, int, int]]]:
     """Spans (start, place of the kind in KINDS, end) of each text, in order. The texts
-    are scanned joined by line feeds, which no kind can match across."""
+    are scanned joined by line feeds; a match ends at its text's end at the latest."""
     joined = "\n".join(texts)
     lower = joined.encode().lower().decode()  # A-Z only, so places stay
     found = []
     ends = dict.fromkeys(KINDS, 0)
     hits = [(end + 1 - n, kind) for end, (kind, n) in a.iter(lower)]
     hits.sort()
-    for at, kind in hits:
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    stops = (starts[np.searchsorted(starts, [at for at, _ in hits], side="right")] - 1).tolist()
+    for (at, kind), stop in zip(hits, stops):
         if at >= ends[kind]:  # matches of a kind do not overlap
-            m, good = matches(joined, kind, at)
-            if m and (good or kind in LEAST):
-                ends[kind] = m.end()
+            end, good = matches(joined, kind, at, stop)
+            if end >= 0 and (good or kind in LEAST):
+                ends[kind] = end
             if good:
-                found.append((at, KINDS.index(kind), m.end()))
+                found.append((at, KINDS.index(kind), end))
     x, y = hex_runs(joined)
     found += zip(x.tolist(), [KINDS.index("hex")] * len(x), y.tolist())
     found.sort()
-    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     for (s, k, e), i in zip(found, (np.searchsorted(starts, [f[0] for f in found], side="right") - 1).tolist()):
         base = int(starts[i])
@@ -169,17 +185,19 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with their secrets masked; all rows and columns stay, n_chars
-    follows the new text."""
+    """The documents with their secrets masked; all rows and columns stay. If there is a
+    column n_chars, it follows the new text. A null text stays null."""
     schema = docs.schema
 
     def run(batches):
         for part, found, spans in _column_scans(batches):
             new = [masked(t, x) if x else t for t, x in zip(found, spans)]
-            null = part["text"].is_null().to_pylist()
-            for name, values in (("text", [None if z and not x else t for t, z, x in zip(new, null, spans)]), ("n_chars", [len(t) if x else n for t, x, n in zip(new, spans, part["n_chars"].to_pylist())])):
+            values = {"text": [None if z else t for t, z in zip(new, part["text"].is_null().to_pylist())]}
+            if "n_chars" in schema.names:
+                values["n_chars"] = [len(t) if x else n for t, x, n in zip(new, spans, part["n_chars"].to_pylist())]
+            for name, column in values.items():
                 k = part.schema.get_field_index(name)
-                part = part.set_column(k, part.schema.field(k), pa.array(values, part.schema.field(k).type))
+                part = part.set_column(k, part.schema.field(k), pa.array(column, part.schema.field(k).type))
             yield part
 
     return docs.mapInArrow(run, schema)

@@ -1,8 +1,11 @@
+import base64
 import hashlib
 import random
 import re
 import zlib
 
+import pytest
+
 from deltascope.llm import rules, secretscan
 from deltascope.llm.textarrays import slices
 
@@ -111,3 +114,38 @@ def test_redact_keeps_rows_and_columns(spark):
     assert len(out) == len(SECRETS) and out[1].text is None and out[0].text == ""
     assert out[2].text == 'é [SECRET]"; [SECRET]'
     assert all(r.n_chars == len(r.text or "") for r in out.values())
+
+
+BODY = "\n".join(base64.b64encode(bytes(range(k, k + 48))).decode() for k in range(12))
+
+
+@pytest.mark.parametrize("text,left", [
+    (f"a\n-----BEGIN RSA PRIVATE KEY-----\n{BODY}\nQUJD\n-----END RSA PRIVATE KEY-----\nb", "a\n[SECRET]\nb"),
+    (f"-----BEGIN ENCRYPTED PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00\n\n{BODY}\n-----END ENCRYPTED PRIVATE KEY-----", "[SECRET]"),
+    (f"k: -----BEGIN PRIVATE KEY-----\\n{BODY[:64]}\\n-----END PRIVATE KEY----- z", "k: [SECRET] z"),
+    (f"-----BEGIN PRIVATE KEY-----\n{BODY}\nQUI=\nand then words go on", "[SECRET]\nand then words go on"),
+    (f"-----BEGIN PRIVATE KEY-----\n{BODY}\n-----BEGIN PRIVATE KEY-----\n{BODY}\n-----END PRIVATE KEY-----", "[SECRET]\n[SECRET]"),
+    (f"-----BEGIN CERTIFICATE-----\n{BODY}\n-----END CERTIFICATE-----", None),
+    ("-----BEGIN PRIVATE KEY----- is how a key begins", "[SECRET] is how a key begins"),
+])
+def test_private_keys_go_with_their_bodies(text, left):
+    a = secretscan.automaton()
+    spans = secretscan.scan(["before", text, "-----END PRIVATE KEY-----", text + "x"], a)
+    assert secretscan.masked(text, [s for s in spans[1] if secretscan.KINDS[s[1]] == "pem"]) == (text if left is None else left)
+    assert not spans[0] and not spans[2]
+    rest = secretscan.masked(text, spans[1])
+    assert left is None or not any(line in rest for line in BODY.split("\n"))
+
+
+def test_a_key_ends_with_its_text():
+    a = secretscan.automaton()
+    first, second = secretscan.scan(["-----BEGIN PRIVATE KEY-----", BODY + "\n-----END PRIVATE KEY-----"], a)
+    assert [(s, e) for s, k, e in first if secretscan.KINDS[k] == "pem"] == [(0, 27)] and not [s for s in second if secretscan.KINDS[s[1]] == "pem"]
+
+
+def test_redact_with_other_columns(spark):
+    schema = "text string, spans string, kind string, _gone string"
+    rows = [(SECRETS[2], "s", "k", "g"), (None, None, None, None), (SECRETS[2], "s", "k", "g"), ("", "", "", "")]
+    got = [tuple(r) for r in secretscan.redact(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [('é [SECRET]"; [SECRET]', "s", "k", "g")] * 2 + [(None,) * 4, ("",) * 4]))
+    assert secretscan.redact(spark.createDataFrame([], schema)).count() == 0
