@@ -1,31 +1,41 @@
 """URL filters: listed rules first, then a path-template tree for each host.
 
-Every url's path becomes a template of three segments, in which hexadecimal names and
-digit runs are already wildcards. Level by level, a segment that is one of many and rare
-under its parent becomes `*`, and so does a branch whose share of blocked urls is not
-significantly different from its parent's (or that has no labelled urls): such branches
-are merged. A template is rejected if its purity - the share of blocked among labelled
-urls, smoothed towards its parent's, up to the prior of all hosts - reaches PURITY.
-
-Only DataFrame functions; what is joined back to the urls is one row a template. A null
-url or one without `://` has an empty host and path and is judged by the tree like any
-other; rows of equal urls get equal verdicts; an empty table gives no rows.
+A url's path becomes a template: its segments, in which hexadecimal names and digit runs are
+wildcards already. The tree is built level by level, as deep as the paths are: below a node,
+segments that are many and rare, or that have no labelled url, become the branch `*`. Then
+statistically similar branches are merged: they are put in the order of their share of
+blocked urls, and neighbours whose shares do not differ significantly are one branch, whose
+subtrees grow on together. A branch's purity is its share of blocked among labelled urls,
+smoothed towards its parent's, up to the prior of all hosts. A branch is not divided further
+if it has fewer than LEAST labelled urls or only one kind of label, as nothing below it can
+then differ significantly. A template is rejected if the purity of its last branch reaches
+PURITY.
+
+Only DataFrame functions; what is joined back to the urls is one row a template. Urls that a
+listed rule decides are the labelled ones.
+
+A null url or one without `://` has an empty host and path and is judged by the tree like
+any other; paths may be of any length; rows of equal urls get equal verdicts; branches with
+equal shares are in the order of their names; an empty table gives no rows. Columns besides
+page_id and url are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, drop_dir
 
 #: Fixed values: (rule, verdict); a rule fits its host, all subdomains and paths it begins.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH = 3
 #: A segment is variable if its parent has more than MANY of them and it has less than one in RARE urls.
 MANY, RARE = 20, 50
-#: Normal deviate of the test for similar branches, weight of the parent, least purity to reject.
-DEVIATE, WEIGHT, PURITY = 1.96, 4, 0.8
+#: Normal deviate of the test for similar branches, least labelled urls of a branch that is
+#: divided, weight of the parent, least purity to reject.
+DEVIATE, LEAST, WEIGHT, PURITY = 1.96, 10, 4, 0.8
+#: Levels that the SQL below is written out for; the tree itself has no such limit.
+SQL_LEVELS = 8
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -44,97 +54,129 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def segment(path: Column, k: int) -> Column:
-    s = F.coalesce(F.get(F.split(path, "/"), F.lit(k)), F.lit(""))
-    return F.when(s.rlike("^[0-9a-f-]{16,}$"), "<h>").otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))
+def segments(path: Column) -> Column:
+    """The path's segments after its first slash, generalised."""
+
+    def general(x: Column) -> Column:
+        return F.when(x.rlike("^[0-9a-f-]{16,}$"), "<h>").otherwise(F.regexp_replace(x, "[0-9]+", "<n>"))
+
+    return F.transform(F.slice(F.split(path, "/", -1), 2, F.size(F.split(path, "/", -1))), general)
 
 
 def templates(urls: DataFrame) -> DataFrame:
-    """host, s1..s3, n, labelled and blocked, for each template; urls has host, path and label."""
+    """host, template, n, labelled and blocked; urls has host, template and label."""
     label = F.col("label")
-    return (
-        urls.select("host", *[segment(F.col("path"), k).alias(f"s{k}") for k in range(1, DEPTH + 1)], "label")
-        .groupBy("host", *[f"s{k}" for k in range(1, DEPTH + 1)])
-        .agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label == "block").alias("blocked"))
-    )
+    return urls.groupBy("host", "template").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label == "block").alias("blocked"))
 
 
-def purities(tree: DataFrame, prior: float) -> DataFrame:
-    """host, s1..s3 and purity of each template."""
+def smooth(blocked: Column, labelled: Column, parent: Column) -> Column:
+    return (blocked + WEIGHT * parent) / (labelled + WEIGHT)
+
+
+def divisible(blocked: Column, labelled: Column) -> Column:
+    return (labelled >= LEAST) & (blocked > 0) & (blocked < labelled)
+
+
+def differ(x: str, y: str) -> Column:
+    """Whether the shares of two branches differ significantly (two proportions, pooled)."""
+    b1, l1, b2, l2 = (F.col(f"{p}_{c}") for p in (x, y) for c in ("blocked", "labelled"))
+    p = (b1 + b2) / (l1 + l2)
+    return F.abs(b1 / l1 - b2 / l2) > DEVIATE * F.sqrt(p * (1 - p) * (1 / l1 + 1 / l2))
+
+
+def level(tree: DataFrame, k: int) -> DataFrame:
+    """The templates whose node has been divided by their k-th segment (from 0): node,
+    purity and whether to go on are those of the new branch."""
+    seg = F.coalesce(F.get(F.split("template", "/", -1), F.lit(k)), F.lit(""))
+    open_ = tree.where("open").withColumn("seg", seg)
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+    children = open_.groupBy("host", "node", "seg").agg(*sums, F.first("purity").alias("parent"))
+    all_ = children.groupBy("host", "node").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"))
+    variable = (F.col("kids") > MANY) & (F.col("n") * RARE < F.col("all_n"))
+    named = children.join(all_, ["host", "node"]).withColumn("branch", F.when(variable | (F.col("labelled") == 0), "*").otherwise(F.col("seg")))
+    named = cut(named.select("host", "node", "seg", "branch", "labelled", "blocked", "parent"), "url-children")
+    branches = named.groupBy("host", "node", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.first("parent").alias("parent"))
+    # a node has at most MANY or RARE branches and *, so its window is small
+    w = Window.partitionBy("host", "node").orderBy("none", "share", "branch")
+    ranked = branches.withColumns({"none": F.col("labelled") == 0, "share": F.try_divide("blocked", "labelled")})
+    ranked = ranked.withColumns({f"before_{c}": F.lag(c).over(w) for c in ("labelled", "blocked")} | {"own_labelled": F.col("labelled"), "own_blocked": F.col("blocked")})
+    fresh = F.when(F.col("before_labelled").isNull() | F.col("none") | F.coalesce(differ("own", "before"), F.lit(False)), 1).otherwise(0)
+    ranked = ranked.withColumn("fresh", fresh).withColumn("set", F.sum("fresh").over(w))
+    sets = Window.partitionBy("host", "node", "set")
+    merged = ranked.select("host", "node", "branch", F.min("branch").over(sets).alias("name"), F.sum("labelled").over(sets).alias("labelled"), F.sum("blocked").over(sets).alias("blocked"), "parent")
+    merged = merged.select("host", "node", "branch", "name", smooth(F.col("blocked"), F.col("labelled"), F.col("parent")).alias("pure"), divisible(F.col("blocked"), F.col("labelled")).alias("more"))
+    own = named.select("host", "node", "seg", "branch").join(merged, ["host", "node", "branch"])
+    deeper = F.size(F.split("template", "/", -1)) > k + 1
+    out = open_.drop("purity", "open").join(own, ["host", "node", "seg"])
+    return out.select("host", "template", F.concat("node", F.lit("/"), "name").alias("node"), "n", "labelled", "blocked", F.col("pure").alias("purity"), (F.col("more") & deeper).alias("open"))
 
-    def smooth(blocked: str, labelled: str, parent: Column) -> Column:
-        return (F.col(blocked) + WEIGHT * parent) / (F.col(labelled) + WEIGHT)
-
-    hosts = tree.groupBy("host").agg(*sums)
-    hosts = hosts.select("host", smooth("blocked", "labelled", F.lit(prior)).alias("purity"))
-    t, key = tree.join(hosts, "host"), ["host"]
-    for k in range(1, DEPTH + 1):
-        children = t.groupBy(*key, f"s{k}").agg(*sums)
-        parent = children.groupBy(*key).agg(F.count("*").alias("kids"), *[F.sum(c).alias(f"p_{c}") for c in ("n", "labelled", "blocked")])
-        both = children.join(parent, key)
-        p = F.try_divide(F.col("p_blocked"), F.col("p_labelled"))
-        variable = (F.col("kids") > MANY) & (F.col("n") * RARE < F.col("p_n"))
-        similar = F.abs(F.col("blocked") / F.col("labelled") - p) <= DEVIATE * F.sqrt(p * (1 - p) / F.col("labelled"))
-        merged = F.when(variable | (F.col("labelled") == 0), True).when(similar, True).otherwise(False)
-        named = both.select(*key, f"s{k}", F.when(merged, "*").otherwise(F.col(f"s{k}")).alias(f"m{k}"), "labelled", "blocked")
-        branches = named.groupBy(*key, f"m{k}").agg(F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked"))
-        t = t.join(named.select(*key, f"s{k}", f"m{k}"), [*key, f"s{k}"]).join(branches, [*key, f"m{k}"])
-        t = t.withColumn("purity", smooth("b_blocked", "b_labelled", F.col("purity"))).drop("b_labelled", "b_blocked")
-        t = cut(t, "url-level")  # each level reads the one before three times
-        key = [*key, f"m{k}"]
-    return t.select("host", *[f"s{k}" for k in range(1, DEPTH + 1)], "purity")
+
+def purities(tree: DataFrame, prior: float) -> DataFrame:
+    """host, template and purity."""
+    hosts = tree.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+    hosts = hosts.select("host", smooth(F.col("b"), F.col("l"), F.lit(prior)).alias("purity"), divisible(F.col("b"), F.col("l")).alias("open"))
+    now = cut(tree.join(hosts, "host").select("host", "template", F.lit("").alias("node"), "n", "labelled", "blocked", "purity", (F.col("open") & (F.col("template") != "")).alias("open")), "url-level")
+    done, k = [], 0
+    while True:
+        done.append(now.where("not open").select("host", "template", "purity"))
+        if now.where("open").isEmpty():
+            break
+        now, k = cut(level(now, k), "url-level"), k + 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule and verdict. Urls that a rule decides are the labelled ones."""
+    """page_id, host, path, rule and verdict."""
     host, path = parts(F.col("url"))
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    urls = urls.withColumns({"rule": rule, "label": verdict})
+    urls = urls.withColumns({"rule": rule, "label": verdict, "template": F.array_join(segments(F.col("path")), "/")})
     tree = cut(templates(urls), "url-templates")
     all_ = tree.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
     prior = ((all_.b or 0) + 1.0) / ((all_.l or 0) + 2.0)
-    found = purities(tree, prior)
-    names = [f"s{k}" for k in range(1, DEPTH + 1)]
-    out = urls.withColumns({f"s{k}": segment(F.col("path"), k) for k in range(1, DEPTH + 1)}).join(found, ["host", *names], "left")
+    found = cut(purities(tree, prior), "url-purities")
+    drop_dir(tree)
+    out = urls.join(found, ["host", "template"], "left")
     by_tree = F.when(F.col("purity") >= PURITY, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("label", by_tree).alias("verdict"))
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, for paths of at most SQL_LEVELS divided segments."""
     fits = "(host = '{h}' or host like '%.{h}') and starts_with(path, '/{p}')"
     cases = {"rule": "", "label": ""}
     for rule, v in sorted(RULES, key=lambda r: (-len(r[0]), r[0])):
         h, _, p = rule.partition("/")
         cases["rule"] += f" when {fits.format(h=h, p=p)} then '{rule}'"
         cases["label"] += f" when {fits.format(h=h, p=p)} then '{v}'"
-    seg = "coalesce(string_split(path, '/')[{k}], '')"
-    segs = ", ".join(
-        f"case when regexp_matches({seg.format(k=k + 1)}, '^[0-9a-f-]{{16,}}$') then '<h>' else regexp_replace({seg.format(k=k + 1)}, '[0-9]+', '<n>', 'g') end as s{k}" for k in range(1, DEPTH + 1)
-    )
-    names = ", ".join(f"s{k}" for k in range(1, DEPTH + 1))
+    general = "case when regexp_matches(x, '^[0-9a-f-]{16,}$') then '<h>' else regexp_replace(x, '[0-9]+', '<n>', 'g') end"
+    template = f"coalesce(array_to_string(list_transform(string_split(path, '/')[2:], lambda x: {general}), '/'), '')"
+    more = f"l >= {LEAST} and b > 0 and b < l"
     sql = f"""with parsed as (
   select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host,
          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
-urls as (select *, case{cases["rule"]} end as rule, case{cases["label"]} end as label, {segs} from parsed),
-tree as (select host, {names}, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from urls group by all),
+urls as (select *, case{cases["rule"]} end as rule, case{cases["label"]} end as label, {template} as template from parsed),
+tree as (select host, template, count(*) as n, count(label) as labelled, count(*) filter (label = 'block') as blocked from urls group by all),
 prior as (select (coalesce(sum(blocked), 0) + 1.0::double) / (coalesce(sum(labelled), 0) + 2.0::double) as v from tree),
-t0 as (select tree.*, h.purity from tree join (
-  select host, (sum(blocked) + {WEIGHT} * (select v from prior)) / (sum(labelled) + {WEIGHT}) as purity from tree group by host) h using (host))"""
-    key = "host"
-    for k in range(1, DEPTH + 1):
+hosts as (select host, sum(labelled) as l, sum(blocked) as b from tree group by host),
+t0 as (select host, template, '' as node, n, labelled, blocked, (b + {WEIGHT} * (select v from prior)) / (l + {WEIGHT}) as purity, {more} and template <> '' as open from tree join hosts using (host))"""
+    for k in range(SQL_LEVELS):
         sql += f""",
-c{k} as (select {key}, s{k}, sum(n) as n, sum(labelled) as labelled, sum(blocked) as blocked from t{k - 1} group by all),
-p{k} as (select {key}, count(*) as kids, sum(n) as p_n, sum(labelled) as p_labelled, sum(blocked) as p_blocked from c{k} group by all),
-n{k} as (select {key}, s{k}, labelled, blocked, case when (kids > {MANY} and n * {RARE} < p_n) or labelled = 0
-    or abs(blocked / labelled - p_blocked / p_labelled) <= {DEVIATE} * sqrt(p_blocked / p_labelled * (1 - p_blocked / p_labelled) / labelled)
-    then '*' else s{k} end as m{k} from c{k} join p{k} using ({key})),
-b{k} as (select {key}, m{k}, sum(labelled) as b_labelled, sum(blocked) as b_blocked from n{k} group by all),
-t{k} as (select t{k - 1}.* exclude (purity), m{k}, (b_blocked + {WEIGHT} * purity) / (b_labelled + {WEIGHT}) as purity
-  from t{k - 1} join (select {key}, s{k}, m{k} from n{k}) using ({key}, s{k}) join b{k} using ({key}, m{k}))"""
-        key += f", m{k}"
+o{k} as (select *, coalesce(string_split(template, '/')[{k + 1}], '') as seg from t{k} where open),
+c{k} as (select host, node, seg, sum(n) as n, sum(labelled) as l, sum(blocked) as b, any_value(purity) as parent from o{k} group by all),
+n{k} as (select *, case when (count(*) over w > {MANY} and n * {RARE} < sum(n) over w) or l = 0 then '*' else seg end as branch from c{k} window w as (partition by host, node)),
+b{k} as (select host, node, branch, sum(l) as l, sum(b) as b, any_value(parent) as parent from n{k} group by all),
+r{k} as (select *, lag(l) over w as l0, lag(b) over w as b0 from b{k} window w as (partition by host, node order by l = 0, b / l nulls first, branch)),
+f{k} as (select *, case when l0 is null or l = 0 or abs(b / l - b0 / l0) > {DEVIATE} * sqrt((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1 / l + 1 / l0)) then 1 else 0 end as fresh from r{k}),
+s{k} as (select *, sum(fresh) over (partition by host, node order by l = 0, b / l nulls first, branch rows unbounded preceding) as set_ from f{k}),
+m{k} as (select host, node, branch, min(branch) over w as name, sum(l) over w as l, sum(b) over w as b, parent from s{k} window w as (partition by host, node, set_)),
+t{k + 1} as (select host, template, node || '/' || name as node, o{k}.n, labelled, blocked, (m{k}.b + {WEIGHT} * m{k}.parent) / (m{k}.l + {WEIGHT}) as purity,
+  m{k}.l >= {LEAST} and m{k}.b > 0 and m{k}.b < m{k}.l and len(string_split(template, '/')) > {k + 1} as open
+  from o{k} join n{k} using (host, node, seg) join m{k} using (host, node, branch))"""
+    done = " union all ".join(f"select host, template, purity from t{k}" + (" where not open" if k < SQL_LEVELS else "") for k in range(SQL_LEVELS + 1))
     return sql + f"""
 select page_id, host, path, rule, coalesce(label, case when purity >= {PURITY} then 'block' else 'allow' end) as verdict
-from urls left join (select host, {names}, purity from t{DEPTH}) using (host, {names})"""
+from urls left join ({done}) using (host, template)"""

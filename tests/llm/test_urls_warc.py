@@ -19,6 +19,8 @@ HTML = ["<p>same</p>", "", None, "<p>é日本</p>", "<p>same</p>", "x" * 300_000
 def test_urls_equal_sql(spark, tmp_path):
     more = [f"http://h{i % 3}.shop.com/{['de', 'fr', 'en', 'it'][i % 4]}/{'item' if i % 5 else 'x' + str(i)}/{i}.html" for i in range(900)]
     more += [f"http://b.example.org/{['es', 'en/1'][i % 2]}{i}/z" for i in range(200)] + [f"http://b.example.org/en/{hashlib.md5(str(i).encode()).hexdigest()}" for i in range(80)]
+    more += [f"http://deep.com/{['de', 'fr'][i % 7 == 0]}/a/b{i % 2}/c/{['spam', 'ok'][i % 7 == 0]}/{i}" for i in range(300)] + [f"http://deep.com/it/a/b1/c/{x}/{i}" for i, x in enumerate(["spam", "ok"] * 20)]
+    more += [f"http://s{i % 2}.x.com/{['de', 'fr'][(i // 3) % 3 // 2]}/{i % 3}{'abc'[i % 3]}/q//{i}" for i in range(400)]
     pages = spark.createDataFrame([(u, i, "c", "c", "c", "c") for i, u in enumerate(URLS + more + URLS[5:8])], "url string, page_id long, host string, label string, s1 string, purity string")
     got = sorted(map(tuple, urlfilter.judge(pages).collect()), key=str)
     con = duckdb.connect()
@@ -38,6 +40,39 @@ def test_tree_rejects_pure_templates(spark):
     assert all(got[1000 + i] == "block" and got[2000 + i] == "allow" for i in range(5))
 
 
+def test_branches_differ_in_the_fifth_segment(spark):
+    rules = (("com/", "allow"), ("com/shop/a/b/c/spam/", "block"))
+    rows = [(f"http://x.com/shop/a/b/c/{['spam', 'news'][i % 2]}/{'pqrs'[i % 4]}", i) for i in range(400)]
+    rows += [(f"http://x.net/shop/a/b/c/{['spam', 'news'][i % 2]}/{'pqrs'[i % 4]}", 1000 + i) for i in range(8)]
+    pages = spark.createDataFrame([(u.replace("x.net", "x.com:80"), i) for u, i in rows], "url string, page_id long")
+    host, path = urlfilter.parts(urlfilter.F.col("url"))
+    # the same host, half of it without a rule
+    urls = pages.select(urlfilter.F.regexp_replace(host, ":80", "").alias("host"), path.alias("path"), urlfilter.F.when(~urlfilter.F.contains("url", urlfilter.F.lit(":80")), urlfilter.rule_of(host, path, rules)[1]).alias("label"))
+    tree = urlfilter.templates(urls.withColumn("template", urlfilter.F.array_join(urlfilter.segments(urlfilter.F.col("path")), "/")))
+    got = {r.template: r.purity for r in urlfilter.purities(tree, 0.5).collect()}
+    assert len(got) == 4 and all((p > 0.9) == ("spam" in t) and (p < 0.1) == ("news" in t) for t, p in got.items())
+
+
+def test_similar_branches_are_one(spark):
+    """Two branches of 40 % and 50 % blocked are merged, one of 95 % stays apart; what is
+    below the merged ones is judged together."""
+    rows = []
+    for seg, n, blocked in (("a", 40, 16), ("b", 40, 20), ("c", 40, 38)):
+        rows += [("h", f"{seg}/z{k}", 1, 1, int(k < blocked)) for k in range(n)]
+    schema = "host string, template string, n long, labelled long, blocked long"
+    first = urlfilter.level(spark.createDataFrame([(*r, "", 0.5, True) for r in rows], schema + ", node string, purity double, open boolean"), 0)
+    nodes = {(r.template[0], r.node) for r in first.select("template", "node").collect()}
+    assert nodes == {("a", "/a"), ("b", "/a"), ("c", "/c")}
+    assert all(r.open for r in first.collect())
+
+
+def test_a_long_path_stops_early(spark):
+    long = "/x" * 3000
+    rows = [(f"http://bad.com/de{long}/{i}", i) for i in range(30)] + [(f"http://bad.com/it{long}", 99)]
+    got = {r.page_id: r.verdict for r in urlfilter.judge(spark.createDataFrame(rows, "url string, page_id long")).collect()}
+    assert len(got) == 31
+
+
 @pytest.mark.parametrize("package,split", [(24 << 20, 8 << 20), (1000, 300)])
 def test_warc_round_trip(spark, monkeypatch, package, split):
     monkeypatch.setattr(wacz, "PACKAGE", package)
