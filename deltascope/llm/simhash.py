@@ -286,6 +286,16 @@ def close_pairs(fp: np.ndarray, probe: np.ndarray, k: int):
     return x[order], y[order]
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a) or len(a) < similarity * len(b):
+        return len(a) == len(b)
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common >= similarity * (len(a) + len(b) - common)
+
+
 def group_edges(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, k: int, sets=None, similarity: float = 0.0) -> list[tuple[int, int]]:
     """A spanning forest of the links among a group's rows. With sets, a link also needs
     that Jaccard similarity; pairs already connected need no look."""
@@ -294,10 +304,8 @@ def group_edges(key: np.ndarray, fp: np.ndarray, probe: np.ndarray, k: int, sets
     for a, b in zip(x.tolist(), y.tolist()):
         if forest.root(a) == forest.root(b):
             continue
-        if sets is not None and key[a] != key[b]:
-            common = len(sets[a] & sets[b])
-            if common < similarity * (len(sets[a]) + len(sets[b]) - common):
-                continue
+        if sets is not None and key[a] != key[b] and not similar(sets[a], sets[b], similarity):
+            continue
         forest.join(a, b)
         if key[a] != key[b]:
             out.append((int(key[a]), int(key[b])))
@@ -348,7 +356,7 @@ def link(rows: DataFrame, parts: int, k: int, similarity: float | None = None) -
                     continue
                 sets = None
                 if similarity is not None:
-                    sets = [frozenset(np.frombuffer(x, dtype=np.uint64).tolist()) for x in t["sketch"].slice(a, b - a).to_pylist()]
+                    sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in t["sketch"].slice(a, b - a)]
                 out += group_edges(key[a:b], fp[a:b], probe[a:b], k, sets, similarity or 0.0)
             if out:
                 cols = np.array(out, dtype=np.int64)
@@ -422,7 +430,7 @@ def text_keys(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def set_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, key (a hash of the text's words in order), fp (of its distinct words, A-Z
-    in lower case) and the bands of its shingles."""
+    in lower case), the bands of its shingles and how many it has."""
 
     def run(batches):
         for batch in batches:
@@ -435,10 +443,10 @@ def set_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 distinct = words[order][new]
                 fp = majority(distinct, spans_of(np.bincount(of[order][new], minlength=t.n)))
                 key = text_keys(words, t.words)
-                bands = band_values(*passages(words, t.words, shingle))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), bands], names=["doc_id", "key", "fp", "bands"])
+                hashes, at = passages(words, t.words, shingle)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), band_values(hashes, at), pa.array(np.diff(at))], names=["doc_id", "key", "fp", "bands", "shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, fp long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key long, fp long, bands array<long>, shingles long")
 
 
 def sketches(rows: DataFrame, shingle: int = 5) -> DataFrame:
@@ -487,7 +495,12 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(set_prints(slim, shingle), "copies")
-    classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands")), "copies-classes")
+    classes = cut(prints.groupBy("key").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.max("shingles").alias("shingles")), "copies-classes")
+
+    def dealt(rows: DataFrame) -> int:
+        """Partitions for rows that bring their shingles."""
+        all_ = rows.select("key").join(classes.select("key", "shingles"), "key").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")).first()
+        return shuffle_parts(all_.n, 8 * (all_.shingles or 0))
 
     def sketched(keys: DataFrame) -> DataFrame:
         ids = classes.join(keys.distinct(), "key", "left_semi").select(F.col("first").alias("doc_id")).distinct()
@@ -500,14 +513,15 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
     p = plan(n, both, k)
     spread = shuffle_parts(n * sum(1 + len(flips(len(b), t)) for b, t in p))
     near = cut(partners(blocked(buckets(nodes, p), "key"), spread, k), "copies-partners")
-    edges = cut(link(near.join(sketched(near.select("key")), "key"), spread, k, similarity), "copies-edges")
+    edges = cut(link(near.join(sketched(near.select("key")), "key"), dealt(near), k, similarity), "copies-edges")
     tree = components(edges)
     rooted = classes.join(tree.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     rooted = cut(rooted.select("key", "fp", "first", "root", "bands"), "copies-roots")
     met = cut(band_partners(rooted), "copies-bands")
     # the link is between groups: a row counts as its group's, its own shingles are compared
-    held = blocked(met, "key").join(sketched(met.select("key")), "key").withColumn("key", F.col("root"))
-    joined = components(cut(link(held, shuffle_parts(n * BANDS), BITS, similarity), "copies-band-edges"))
+    looked = cut(blocked(met, "key"), "copies-met")
+    held = looked.join(sketched(met.select("key")), "key").withColumn("key", F.col("root"))
+    joined = components(cut(link(held, dealt(looked), BITS, similarity), "copies-band-edges"))
     named = rooted.join(joined.select(F.col("node").alias("root"), F.col("root").alias("whole")), "root", "left").select("key", "first", F.coalesce("whole", "root").alias("root"))
     best = named.groupBy("root").agg(F.min("first").alias("winner"))
     final = cut(named.join(best, "root").select("key", "winner"), "copies-winners")
@@ -536,8 +550,9 @@ def band_partners(rooted: DataFrame) -> DataFrame:
     return rows.join(one, ["part", "value"], "left_semi")
 
 
-def shuffle_parts(rows: int) -> int:
-    return max(8, math.ceil(rows / 200_000))
+def shuffle_parts(rows: int, size: int = 0) -> int:
+    """Partitions of at most about 200,000 rows and 16 MB."""
+    return max(8, math.ceil(rows / 200_000), math.ceil(size / (16 << 20)))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 3) -> DataFrame:
