@@ -9,51 +9,48 @@ from .text import base_text, let, missing
 
 #: Currency codes and symbols that may stand beside a number.
 CODES = (
-    "NGN USD EUR GBP CAD AUD ZAR KES GHS AED INR JPY CNY RMB CHF BRL MXN NZD SGD HKD KRW TRY ILS SEK NOK DKK PLN CZK HUF THB IDR MYR PHP VND"
-).split()
+    "NGN", "USD", "EUR", "GBP", "CAD", "AUD", "ZAR", "KES", "GHS", "AED", "INR", "JPY", "CNY", "RMB", "CHF", "BRL", "MXN", "NZD", "SGD", "HKD",
+    "KRW", "TRY", "ILS", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF", "THB", "IDR", "MYR", "PHP", "VND",
+)
 SYMBOLS = "$€£¥₦₹₩₺₪₫₱฿"
+#: What stands beside the digits: currency marks, and on either side signs of a negative.
+CURRENCY = rf"(?i)R\$|\b(?:{'|'.join(CODES)})\b|[{SYMBOLS}]"
+NEGATIVE = r"(?i)^\(.*\)$|^-|-$|\bDR$"
+FILLING = r"(?i)\b(?:CR|DR)$|^[-+](?=[^-+])|-$|[()\s%’']"
+#: Digits with their marks, an exponent and a scale.
+PARTS = r"^([0-9.,]*[0-9][0-9.,]*)([eE][-+]?[0-9]+)?([KMBkmb]?)$"
 
 
 def parse_number(c: Column) -> Column:
     """A double from text with currency marks, parentheses or a minus at either end for
     negative, CR or DR, a per cent sign (dropped), K, M or B, an exponent, and either
-    grouping; null if it is none. A comma is decimal if it is the last of both marks, or
-    alone with one or two digits after it."""
-    raw = F.regexp_replace(base_text(c), "^'", "")
+    grouping; null if it is none.
+
+    The order of the marks among the digits says what they are. One mark that differs from
+    all before it is decimal, and so is a lone dot, or a lone comma before one or two
+    digits. Marks of one kind only group, but several commas before one or two digits are
+    no number, nor are marks in any other order."""
 
     def bare(raw: Column) -> Column:
-        marks = rf"(?i)R\$|\b(?:{'|'.join(CODES)})\b|[{SYMBOLS}]"
-        return F.when(~missing(raw), let(F.trim(F.regexp_replace(raw, marks, "")), signed))
+        return F.when(~missing(raw), let(F.trim(F.regexp_replace(raw, CURRENCY, "")), signed))
 
     def signed(t: Column) -> Column:
-        negative = t.rlike(r"(?i)^\(.*\)$|^\s*-|-\s*$|\bDR\s*$")
-        body = F.regexp_replace(t, r"(?i)(?:\b(?:CR|DR)\s*)?(?:-\s*)?$|[()\s%’']", "")
-        value = let(body, scaled)
-        return F.when(negative, -F.abs(value)).otherwise(value)
-
-    def scaled(t: Column) -> Column:
-        unit = F.upper(F.regexp_extract(t, "([KMBkmb])$", 1))
-        scale = F.when(unit == "K", 1e3).when(unit == "M", 1e6).when(unit == "B", 1e9).otherwise(1.0)
-        value = let(F.regexp_replace(t, "[KMBkmb]$", ""), number) * scale
-        return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
-
-    def number(t: Column) -> Column:
-        exponent = F.regexp_extract(t, r"^[+-]?(?:\d+(?:[.,]\d*)?|[.,]\d+)([eE][+-]?\d+)$", 1)
-        plain = let(F.regexp_replace(t, r"(?<=[\d.,])[eE][+-]?\d+$", ""), decimal)
-        return F.when(plain != "", F.concat(plain, exponent).try_cast("double"))
-
-    def decimal(t: Column) -> Column:
-        comma, dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
-        comma_last = F.length(F.substring_index(t, ",", -1)) < F.length(F.substring_index(t, ".", -1))
-        plain = (
-            F.when(comma & dot & comma_last, F.regexp_replace(F.regexp_replace(t, r"\.", ""), ",", "."))
-            .when(comma & dot, F.regexp_replace(t, ",", ""))
-            .when(comma & t.rlike(r"^[^,]*,\d{1,2}$"), F.regexp_replace(t, ",", "."))
-            .when(comma, F.regexp_replace(t, ",", ""))
-            .when(t.rlike(r"\..*\."), F.regexp_replace(t, r"\.", ""))
-            .otherwise(t)
-        )
-        return F.regexp_extract(plain, r"^([+-]?(?:\d+\.?\d*|\.\d+))$", 1)
+        return let(F.regexp_replace(F.regexp_replace(t, FILLING, ""), r"-$", ""), lambda core: F.when(t.rlike(NEGATIVE), -sized(core)).otherwise(sized(core)))
+
+    def sized(core: Column) -> Column:
+        scale = F.upper(F.regexp_extract(core, PARTS, 3))
+        times = F.when(scale == "K", 1e3).when(scale == "M", 1e6).when(scale == "B", 1e9).otherwise(1.0)
+        value = F.concat(let(F.regexp_extract(core, PARTS, 1), digits), F.regexp_extract(core, PARTS, 2)).try_cast("double") * times
+        return F.when(F.abs(value) < float("inf"), value)
+
+    def digits(body: Column) -> Column:
+        marks, plain = F.regexp_replace(body, "[0-9]", ""), F.regexp_replace(body, "[.,]", "")
+        tail = F.length(F.regexp_extract(body, "([0-9]*)$", 1))
+        few = (tail == 1) | (tail == 2)
+        decimal = (marks == ".") | ((marks == ",") & few) | marks.rlike(r"^(,+\.|\.+,)$")
+        grouped = marks.rlike(r"^(\.\.+|,,+|,?)$") & ~(F.startswith(marks, F.lit(",")) & few)
+        cut = F.length(plain) - tail
+        return F.when(decimal, F.concat(F.substring(plain, F.lit(1), cut), F.lit("."), F.substring(plain, cut + 1, tail))).when(grouped, plain)
 
     # plain numbers, and those with a dollar sign and grouped by threes, are most: they
     # take one test and a cast
@@ -62,7 +59,7 @@ def parse_number(c: Column) -> Column:
     return (
         F.when(c.rlike(r"^-?\d+(?:\.\d+)?$"), c.try_cast("double"))
         .when(grouped, F.regexp_replace(c, "[$,]", "").try_cast("double"))
-        .otherwise(let(raw, bare))
+        .otherwise(let(F.regexp_replace(base_text(c), "^'", ""), bare))
     )
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,16 +45,54 @@ def repair_mojibake(c: Column) -> Column:
     return F.when(c.rlike("[ÃÂâ]"), F.coalesce(let(F.translate(c, specials, controls), try_), c)).otherwise(c)
 
 
+@cache
+def _compositions() -> dict[str, str]:
+    """Letters and marks that have a composed form, by the Unicode tables (below U+2000)."""
+    found = {}
+    for code in range(0xC0, 0x2000):
+        d = unicodedata.normalize("NFD", chr(code))
+        if len(d) == 2 and unicodedata.normalize("NFC", d) == chr(code):
+            found[d] = chr(code)
+        elif len(d) == 3 and unicodedata.normalize("NFC", d) == chr(code):
+            found[unicodedata.normalize("NFC", d[:2]) + d[2]] = chr(code)
+    return found
+
+
+def composed(c: Column) -> Column:
+    """Canonical composition of letters with up to two marks behind them. Only texts with
+    combining marks are taken apart."""
+    pairs = _compositions()
+    marks = "".join(sorted({x[1] for x in pairs}))
+    table = F.str_to_map(F.lit("\n".join("\t".join(x) for x in pairs.items())), F.lit("\n"), F.lit("\t"))  # folded to one literal
+
+    def once(t: Column) -> Column:
+        units = F.regexp_extract_all(t, F.lit(f"(?s).[{marks}]?"), 0)
+        return F.array_join(F.transform(units, lambda u: F.coalesce(F.try_element_at(table, u), u)), "")
+
+    return F.when(c.rlike(f"[{marks}]"), let(once(c), once)).otherwise(c)
+
+
+def unicode_form(c: Column, form: str) -> Column:
+    """A Unicode normal form, by the Unicode tables in Python: for the distinct values of a
+    column, not for all rows."""
+
+    @F.pandas_udf("string")
+    def normal(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: unicodedata.normalize(form, x), na_action="ignore")
+
+    return normal(c)
+
+
 #: Printable ASCII without space at either end: base text as it stands.
 PLAIN = r"^[\x21-\x7e](?:[\x20-\x7e]*[\x21-\x7e])?$"
 
 
 def base_text(c: Column) -> Column:
-    """Repaired, without invisible format characters, no-break spaces as spaces, trimmed;
-    null as empty. Text is taken as composed (NFC) already. Plain text takes one test."""
+    """Repaired, without invisible format characters, composed, no-break spaces as spaces,
+    trimmed; null as empty. Plain text takes one test."""
     c = c.cast("string")
     t = let(F.coalesce(c, F.lit("")), repair_mojibake)
-    t = F.regexp_replace(t, "[\u00ad\u200b-\u200d\u2060\ufeff]", "")
+    t = let(F.regexp_replace(t, "[\u00ad\u200b-\u200d\u2060\ufeff]", ""), composed)
     t = F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), r"^\s+|\s+$", "")
     return F.when(c.rlike(PLAIN), c).otherwise(t)
 
@@ -71,8 +112,6 @@ def missing(c: Column) -> Column:
 
 #: Accented letters of Latin-1 and Latin Extended-A, and the plain ones.
 def _accents() -> tuple[str, str]:
-    import unicodedata
-
     marked, plain = "", ""
     for code in range(0xC0, 0x180):
         d = unicodedata.normalize("NFKD", chr(code))
@@ -112,7 +151,9 @@ def display_form(c: Column) -> Column:
 
 
 def title_case(c: Column) -> Column:
-    return F.initcap(F.lower(c))
+    """Lower case, with a capital at every start of a run of letters, digits and underscores."""
+    runs = F.regexp_extract_all(F.lower(c), F.lit("[A-Za-z0-9_]+|[^A-Za-z0-9_]+"), 0)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, F.lit(2), F.length(r)))), "")
 
 
 def similarity(a: Column, b: Column) -> Column:

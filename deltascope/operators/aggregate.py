@@ -29,15 +29,17 @@ def cells(rows: DataFrame, dims: Sequence[str], keep: Sequence[Column]) -> DataF
     return rows.select(*keep, F.inline(F.array(*pairs)))
 
 
-def segment_totals(rows: DataFrame, metric: str, date: str, dims: Sequence[str]) -> DataFrame:
+def segment_totals(rows: DataFrame, metric: str, date: str, dims: Sequence[str], calm: str | None = None) -> DataFrame:
     """metric_column, period, dimension, segment, metric_total and record_count: parallel
     one-dimensional groupings, in one pass with map-side partial sums. The row of the
-    whole period has the labels TOTAL and ALL."""
-    r = usable(rows, metric, date).select(period_of(date).alias("period"), F.col(metric).alias("_m"), *dims)
+    whole period has the labels TOTAL and ALL. `calm` names a second metric, null on the
+    rows to leave out of calm_total and calm_count."""
+    values = {"_m": (metric, "metric_total", "record_count")} | ({"_c": (calm, "calm_total", "calm_count")} if calm else {})
+    r = usable(rows, metric, date).select(period_of(date).alias("period"), *[F.col(c).alias(v) for v, (c, *_) in values.items()], *dims)
     r = r.withColumns({TOTAL: F.lit(ALL)})
-    grouped = cells(r, [TOTAL, *dims], ["period", "_m"]).groupBy("period", "dimension", "segment")
-    out = grouped.agg(F.sum("_m").alias("metric_total"), F.count("*").alias("record_count"))
-    return out.select(F.lit(metric).alias("metric_column"), "period", "dimension", "segment", "metric_total", "record_count")
+    grouped = cells(r, [TOTAL, *dims], ["period", *values]).groupBy("period", "dimension", "segment")
+    out = grouped.agg(*[x for v, (_, total, n) in values.items() for x in (F.sum(v).alias(total), F.count(v).alias(n))])
+    return out.select(F.lit(metric).alias("metric_column"), *out.columns)
 
 
 def merge_totals(*parts: DataFrame) -> DataFrame:
@@ -51,10 +53,30 @@ def merge_totals(*parts: DataFrame) -> DataFrame:
 def two_period_factors(rows: DataFrame, metric: str, date: str, dims: Sequence[str], headline: DataFrame) -> DataFrame:
     """dimension, segment, previous, current, impact, records, share and confidence of
     every segment of these rows; a segment absent in a period counts 0 there."""
-    r = usable(rows, metric, date).select(period_of(date).alias("period"), F.col(metric).alias("_m"), *dims)
+    r = usable(in_periods(rows, date, headline), metric, date).select(period_of(date).alias("period"), F.col(metric).alias("_m"), *dims)
     return _measures(cells(r, dims, ["period", "_m"]), "_m", F.lit(1), headline)
 
 
+def in_periods(rows: DataFrame, date: str, headline: DataFrame) -> DataFrame:
+    """The rows of the headline's two periods. The periods (one row) are read first, so that
+    the filter has constants and reaches the scan of the table that holds the date."""
+    span = headline.select("previous_period", "current_period").first()
+    if span is None:
+        return rows.limit(0)
+    ok = F.lit(False)
+    for p in span:
+        first = F.to_date(F.lit(f"{p}-01"))
+        ok = ok | ((F.col(date) >= first) & (F.col(date) < F.add_months(first, 1)))
+    return rows.where(ok)
+
+
+def comparison_rows(rows: DataFrame, sensitivity: DataFrame, outlier: str = "is_outlier") -> DataFrame:
+    """The rows that questions are answered on: without the flagged ones if leaving them out
+    changes the explanation (a row of outlier_sensitivity says so), else all."""
+    changed = sensitivity.agg(F.coalesce(F.bool_or("explanation_changed"), F.lit(False)).alias("c")).first().c  # one value
+    return rows.where(~F.col(outlier)) if changed else rows
+
+
 def factors_from_totals(totals: DataFrame, headline: DataFrame) -> DataFrame:
     """The same from stored totals."""
     return _measures(totals.where(F.col("dimension") != TOTAL), "metric_total", F.col("record_count"), headline)

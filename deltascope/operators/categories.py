@@ -2,8 +2,10 @@
 proposals where one value contains another.
 
 Everything works on the distinct values of a column and their counts; rows are touched
-once, by a join with the replacements. Fuzzy pairs and containment are only looked for in
-columns of at most MANY values, so that the pairs are bounded.
+once, by a join with the replacements. By the rules of the merge, near-duplicates and
+containment are only looked for in columns of at most MANY values: a column with more keeps
+its values apart. `many=None` lifts that; pairs of near-duplicates are then still only built
+between values whose keys' lengths allow the least score.
 """
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import UNKNOWN, alias, compact_key, display_form, match_key, similarity
+from ..functions.text import UNKNOWN, alias, base_text, compact_key, display_form, match_key, normalise, similarity, unicode_form
 from ..sources.scratch import materialise
-from .review import change
+from .review import change, row_signature
 
 #: Fixed values of the merge rules.
 MANY, SHORTEST, SCORE, LONG, LONG_SCORE, LEAD = 400, 4, 0.93, 8, 0.88, 0.04
+SIMPLE_ALIAS = "Matched a high-confidence regional alias"
 FORMAT, ALIAS, FUZZY = "Standardised equivalent category formatting", "Mapped a controlled category alias", "Merged a high-confidence near-duplicate category"
 
 
@@ -34,7 +37,7 @@ def format_replacements(counts: DataFrame) -> DataFrame:
     """column, value, replacement and reason: values with the same match key become the
     display form of the most frequent one (then the one already clean, then one with a
     capital, then by name)."""
-    keyed = counts.withColumns({"key": match_key(F.col("value")), "display": display_form(F.col("value"))}).where("key <> ''")
+    keyed = counts.withColumns({"key": match_key(unicode_form(F.col("value"), "NFKD")), "display": display_form(unicode_form(F.col("value"), "NFKC"))}).where("key <> ''")
     order = F.struct((-F.col("n")).alias("a"), (F.col("value") != F.col("display")).alias("b"), (~F.col("display").rlike("^[A-Z]")).alias("c"), F.col("display").alias("d"))
     best = keyed.groupBy("column", "key").agg(F.min_by("display", order).alias("replacement"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     out = keyed.join(best, ["column", "key"]).where("value <> replacement")
@@ -48,22 +51,35 @@ def alias_replacements(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.withColumn("replacement", label).where("replacement is not null and replacement <> value").select("column", "value", "replacement", F.lit(ALIAS).alias("reason"))
 
 
-def fuzzy_replacements(counts: DataFrame, fixed: DataFrame) -> DataFrame:
+def few_values(counts: DataFrame, many: int | None) -> DataFrame:
+    """The values of columns that have at most `many`."""
+    if many is None:
+        return counts
+    small = counts.groupBy("column").agg(F.count("*").alias("_m")).where(F.col("_m") <= many).drop("_m")
+    return counts.join(small, "column")
+
+
+def pairs_by_length(values: DataFrame, share: float) -> DataFrame:
+    """Pairs (a_.., b_..) of different values of a column whose keys' lengths differ by at
+    most that share of the longer: an equi-join on the column and each length in reach."""
+    n = F.length("key")
+    a = values.withColumn("_n", n).select("column", *[F.col(x).alias(f"a_{x}") for x in values.columns if x != "column"], F.explode(F.sequence(F.ceil(n * (1 - share)).cast("int"), F.floor(n / (1 - share)).cast("int"))).alias("_n"))
+    b = values.select("column", *[F.col(x).alias(f"b_{x}") for x in values.columns if x != "column"], n.alias("_n"))
+    return a.join(b, ["column", "_n"]).where(F.col("a_value") != F.col("b_value")).drop("_n")
+
+
+def fuzzy_replacements(counts: DataFrame, fixed: DataFrame, many: int | None = MANY) -> DataFrame:
     """Near-duplicates among the values that `fixed` does not replace, rarest first: the
     best target is more frequent (or as frequent and at least as long), similar enough,
     and well ahead of the runner-up; a replaced value is no target for later ones.
 
     Pairs and their similarities come from a join; only the order-dependent choice runs
     for each column by itself, over the scored pairs of at most MANY values."""
-    small = counts.groupBy("column").agg(F.count("*").alias("_m")).where(F.col("_m") <= MANY).drop("_m")
-    keyed = counts.join(small, "column").withColumn("key", compact_key(F.col("value"))).where(F.length("key") >= SHORTEST)
+    keyed = few_values(counts, many).withColumn("key", compact_key(unicode_form(F.col("value"), "NFKD"))).where(F.length("key") >= SHORTEST)
     done = fixed.select("column", "value")
-    free = keyed.join(done, ["column", "value"], "left_anti")
-    a, b = (free.select("column", *[F.col(x).alias(f"{p}_{x}") for x in ("value", "n", "key")]) for p in ("a", "b"))
+    free = materialise(keyed.join(done, ["column", "value"], "left_anti").select("column", "value", "n", "key"), "free")
     better = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.length("b_key") >= F.length("a_key")))
-    near = F.abs(F.length("a_key") - F.length("b_key")) <= 0.2 * F.greatest(F.length("a_key"), F.length("b_key"))
-    pairs = a.join(b, "column").where((F.col("a_value") != F.col("b_value")) & better & near)
-    scored = pairs.withColumn("score", similarity(F.col("a_key"), F.col("b_key"))).where(F.col("score") >= LONG_SCORE - LEAD)
+    scored = pairs_by_length(free, 0.2).where(better).withColumn("score", similarity(F.col("a_key"), F.col("b_key"))).where(F.col("score") >= LONG_SCORE - LEAD)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         gone, out = set(), []
@@ -82,17 +98,22 @@ def fuzzy_replacements(counts: DataFrame, fixed: DataFrame) -> DataFrame:
     return chosen.withColumn("reason", F.lit(FUZZY))
 
 
-def replacements(rows: DataFrame, columns: Sequence[str], fuzzy: bool = True) -> DataFrame:
+def replacements(rows: DataFrame, columns: Sequence[str], fuzzy: bool = True, many: int | None = MANY) -> DataFrame:
     """All replacements of the columns: by format, else by alias, else near-duplicates."""
     counts = materialise(value_counts(rows, columns), "values")
     by_format = format_replacements(counts)
     by_alias = alias_replacements(counts, columns).join(by_format, ["column", "value"], "left_anti")
     fixed = materialise(by_format.unionByName(by_alias), "replacements")
-    return fixed.unionByName(fuzzy_replacements(counts, fixed)) if fuzzy else fixed
+    return fixed.unionByName(fuzzy_replacements(counts, fixed, many)) if fuzzy else fixed
 
 
-def apply_replacements(rows: DataFrame, found: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows with their values replaced, and a change logged if they have changes."""
+def apply_replacements(rows: DataFrame, found: DataFrame, columns: Sequence[str], signed: Sequence[str] | None = None) -> DataFrame:
+    """The rows with their values replaced, and a change logged if they have changes. With
+    `signed`, the columns that row_signature is of, rows that changed are signed anew, so
+    that later imports are compared with what is stored."""
+    before = F.struct(*columns)
+    if signed:
+        rows = rows.withColumn("_before", before)
     for c in columns:
         own = found.where(F.col("column") == c).select(F.col("value").alias("_old"), F.col("replacement").alias("_new"), F.col("reason").alias("_why"))
         rows = rows.join(own, F.col(c) == F.col("_old"), "left")
@@ -100,11 +121,29 @@ def apply_replacements(rows: DataFrame, found: DataFrame, columns: Sequence[str]
         if "changes" in rows.columns:
             rows = rows.withColumn("changes", F.when(hit, F.array_append("changes", change(c, F.col(c), F.col("_new"), F.col("_why")))).otherwise(F.col("changes")))
         rows = rows.withColumn(c, F.coalesce("_new", F.col(c))).drop("_old", "_new", "_why")
+    if signed:
+        rows = rows.withColumn("row_signature", F.when(F.col("_before").eqNullSafe(before), F.col("row_signature")).otherwise(row_signature(signed))).drop("_before")
     return rows
 
 
-def reconcile(rows: DataFrame, columns: Sequence[str], fuzzy: bool = True) -> DataFrame:
-    return apply_replacements(rows, replacements(rows, columns, fuzzy), columns)
+def reconcile(rows: DataFrame, columns: Sequence[str], fuzzy: bool = True, signed: Sequence[str] | None = None, many: int | None = MANY) -> DataFrame:
+    return apply_replacements(rows, replacements(rows, columns, fuzzy, many), columns, signed)
+
+
+#: Fixed values of the interactive mode: regional names without spaces, and the columns they hold for.
+REGIONS = {"ny": "New York", "nyc": "New York", "newyork": "New York", "la": "Los Angeles", "losangeles": "Los Angeles", "uk": "United Kingdom", "unitedkingdom": "United Kingdom", "greatbritain": "United Kingdom"}
+REGIONAL = "region|state|city|location|area"
+
+
+def simple_replacements(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The merges of the interactive mode: a regional name, else the most frequent value of
+    the same normal form (of equals the first by name). No edit distances."""
+    counts = value_counts(rows, columns).withColumn("key", normalise(F.col("value")))
+    names = F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair])
+    name = F.when(F.lower("column").rlike(REGIONAL), F.try_element_at(names, F.regexp_replace("key", r"\s", "")))
+    best = counts.groupBy("column", "key").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("same"))
+    out = counts.join(best, ["column", "key"]).select("column", "value", F.coalesce(name, "same").alias("replacement"), F.when(name.isNotNull(), SIMPLE_ALIAS).otherwise(FUZZY).alias("reason"))
+    return out.where("replacement <> value")
 
 
 # containment ----------------------------------------------------------------------
@@ -116,21 +155,40 @@ def containment_id(column, short, long):
     return F.concat(F.lit("containment-"), F.sha2(F.to_json(F.array(column, short, long)), 256))
 
 
-def containment(rows: DataFrame, columns: Sequence[str], existing: DataFrame | None = None) -> DataFrame:
+#: What a stored proposal's status can be.
+STATUSES = ("pending", "merged", "kept-separate", "superseded")
+
+
+def valid_proposals(stored: DataFrame) -> DataFrame:
+    """Stored proposals that are whole: with an id, a column, both values and a known
+    status; counts below 0 or missing are 0, an empty label is none."""
+    need = ["id", "column", "contained", "containing"]
+    ok = F.col("status").isin(*STATUSES)
+    for c in need:
+        ok = ok & (base_text(F.col(c)) != "")
+    count = lambda c: F.greatest(F.coalesce(F.col(c).try_cast("long"), F.lit(0)), F.lit(0)).alias(c)
+    return stored.where(ok).select(*[base_text(F.col(c)).alias(c) for c in need], count("contained_n"), count("containing_n"), "status", F.nullif(base_text(F.col("label")), F.lit("")).alias("label"))
+
+
+def containment(rows: DataFrame, columns: Sequence[str], existing: DataFrame | None = None, many: int | None = MANY) -> DataFrame:
     """Proposals: one value's key is whole words within another's. Those known by id keep
-    what is stored; decided ones that are no longer found stay."""
+    what is stored; decided ones that are no longer found stay, malformed ones go. A value
+    meets another by its own words: the longer key's runs of words are looked up as keys."""
     counts = value_counts(rows, columns)
-    small = counts.groupBy("column").agg(F.count("*").alias("_m")).where(F.col("_m") <= MANY).drop("_m")
-    keyed = counts.join(small, "column").withColumn("key", match_key(F.col("value"))).where(F.length("key") >= 3)
+    keyed = few_values(counts, many).withColumn("key", match_key(unicode_form(F.col("value"), "NFKD"))).where(F.length("key") >= 3)
+    keyed = materialise(keyed.select("column", "value", "n", "key"), "contained")
     a, b = (keyed.select("column", *[F.col(x).alias(f"{p}_{x}") for x in ("value", "n", "key")]) for p in ("a", "b"))
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    pairs = a.join(b, "column").where((F.length("b_key") > F.length("a_key")) & F.contains(pad("b_key"), pad("a_key")))
+    words = F.split("b_key", " ")
+    runs = F.flatten(F.transform(words, lambda _, i: F.transform(F.sequence(F.lit(1), F.size(words) - i), lambda n: F.array_join(F.slice(words, i + 1, n), " "))))
+    inside = b.withColumn("a_key", F.explode(F.array_distinct(runs))).where(F.length("b_key") > F.length("a_key"))
+    pairs = a.join(inside, ["column", "a_key"])
     found = pairs.select(
         containment_id(F.col("column"), F.col("a_value"), F.col("b_value")).alias("id"), "column", F.col("a_value").alias("contained"), F.col("b_value").alias("containing"),
         F.col("a_n").alias("contained_n"), F.col("b_n").alias("containing_n"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("label"),
     )
     if existing is None:
         return found
+    existing = valid_proposals(existing)
     old = existing.select(*[F.col(c).alias(f"_{c}") for c in existing.columns])
     both = found.join(old, F.col("id") == F.col("_id"), "full")
     both = both.where(F.col("id").isNotNull() | (F.col("_status") != "pending"))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import is_ambiguous, parse_date, parts_date
 from ..functions.numbers import derived_amount, parse_number
-from ..functions.text import UNKNOWN, base_text, category_text, missing
+from ..functions.text import UNKNOWN, base_text, category_text, missing, normalise, title_case
 from ..sources.scratch import materialise, spread
-from .categories import reconcile
-from .profile import Column, date_of, dimensions_of, metric_of
+from .categories import apply_replacements, reconcile, simple_replacements
+from .profile import Column, date_of, metric_of
 from .review import CHANGE, ISSUE, ENTITY, change, exact_duplicates, issue, outliers, possible_duplicates
 
 #: The reasons that changes are logged with.
@@ -108,7 +108,7 @@ def review_table(rows: DataFrame, columns: list[Column], order: str = "row_numbe
     out = exact_duplicates(materialise(clean(spread(rows), columns, order), "cleaned"), names, order, earlier)
     categories = [c.name for c in columns if c.kind == "category"]
     if categories:
-        out = reconcile(materialise(out, "signed"), categories, fuzzy)
+        out = reconcile(materialise(out, "signed"), categories, fuzzy, names)
     out = materialise(out, "reconciled")
     metric, date = metric_of(columns), date_of(columns)
     entity = next((c.name for c in columns if c.kind in ("category", "identifier") and re.search(ENTITY, c.name)), None)
@@ -126,8 +126,23 @@ def cleaning_counts(review: DataFrame) -> DataFrame:
     return review.select(F.inline(each)).groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
+#: What a line of the cleaning summary says besides its title and count.
+DETAILS = {
+    "duplicates": "Copies of a cleaned row are kept for review and left out of the calculation.",
+    "possible": "Rows with the same company or customer, date and metric value are kept for a decision.",
+    "outliers": "Flags by the interquartile range never remove values by themselves.",
+    NUMBER: "Currency marks and grouping were removed; values are the same.",
+    DAY: "Dates in known forms were written as ISO dates.",
+    PARTS: "Dates with two readings were decided by the columns of year, month and day.",
+    SPACE: "Cells of which only spaces at the ends or within changed.",
+    "missing": "Missing numbers stay visible and do not count.",
+    "invalid-number": "Unreadable numbers stay visible and do not count.",
+}
+
+
 def cleaning_log(review: DataFrame) -> DataFrame:
-    """key, title, n and severity of each line of the cleaning summary."""
+    """key, title, detail, n and severity of each line of the cleaning summary; the detail
+    of outliers names the columns that raised them, most first."""
     flags = review.agg(*[F.count_if(F.col(c)).alias(c) for c in ("exact_duplicate", "possible_duplicate", "is_outlier")])
     by_flag = flags.select(F.inline(F.array(*[
         F.struct(F.lit(k).alias("key"), F.lit(t).alias("title"), F.col(c).alias("n"), F.when((F.col(c) > 0) & F.lit(warn), "warning").when(F.col(c) > 0, "success").otherwise("info").alias("severity"))
@@ -136,19 +151,32 @@ def cleaning_log(review: DataFrame) -> DataFrame:
     counts = cleaning_counts(review)
     title = F.when(F.col("kind") == "change", F.col("name")).otherwise(F.concat(F.lit("Issue: "), F.col("name")))
     lines = counts.select(F.concat_ws(":", "kind", "name").alias("key"), title.alias("title"), "n", F.when(F.col("kind") == "change", "success").otherwise("warning").alias("severity"))
-    return by_flag.unionByName(lines)
+    known = F.create_map(*[F.lit(x) for pair in DETAILS.items() for x in pair])
+    detail = F.try_element_at(known, F.regexp_replace("key", "^(change|issue):", ""))
+    raised = review.select(F.explode("outlier_columns").alias("c")).groupBy("c").agg(F.count("*").alias("k"))  # a row a number column
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("o"), "c")))
+    named = raised.agg(F.array_join(F.transform(ordered, lambda x: F.format_string("%s: %d", x["c"], -x["o"])), "; ").alias("_by"))
+    out = by_flag.unionByName(lines).join(F.broadcast(named), how="left")
+    with_columns = F.concat(detail, F.when((F.col("key") == "outliers") & (F.col("_by") != ""), F.concat(F.lit(" Raised by "), F.col("_by"), F.lit("."))).otherwise(""))
+    return out.select("key", "title", with_columns.alias("detail"), "n", "severity")
+
+
+def refresh_log(review: DataFrame, stored: DataFrame) -> DataFrame | None:
+    """The cleaning summary of rows as they are now, or None if the stored one says the same."""
+    new = materialise(cleaning_log(review), "log")
+    old = stored.select(*new.columns)
+    return None if new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty() else new
 
 
 def simple_clean(rows: DataFrame, columns: list[Column], order: str = "row_number") -> DataFrame:
-    """The lighter pass of the interactive mode: exact duplicates by the raw cells,
-    categories in title case, no reconciliation by edit distance."""
+    """The lighter pass of the interactive mode: categories in title case and merged by its
+    own rules, exact duplicates by the raw cells."""
     out = clean(rows, columns, order)
-    for c in columns:
-        if c.kind == "category":
-            out = out.withColumn(c.name, F.initcap(F.lower(F.col(c.name))))
+    names = [c.name for c in columns if c.kind == "category"]
+    for c in names:
+        out = out.withColumn(c, title_case(normalise(F.col(c))))
+    out = materialise(out, "simple")
+    if names:
+        out = apply_replacements(out, simple_replacements(out, names), names)
     signed = out.withColumn("row_signature", F.sha2(F.to_json("raw", {"ignoreNullFields": "false"}), 256))
     return exact_duplicates(signed, None, order)
-
-
-def usable_dimensions(columns: list[Column]) -> list[str]:
-    return dimensions_of(columns)

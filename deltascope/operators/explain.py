@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 from .aggregate import TOTAL, factors_from_totals, segment_totals
 
 TOP, OFFSETS, TREND = 5, 3, 8
@@ -61,18 +62,32 @@ def offsetting_causes(factors: DataFrame, head: DataFrame, dims: Sequence[str],
     return _ranked(f, _strength(dims), k)
 
 
-#: Fixed values of the material view: least share of the change, and its confidence.
+#: Fixed values of the material view: least share of the change and least impact, and the
+#: words that rank dimensions of equal impact.
 MATERIAL, LEAST_IMPACT = 0.08, 0.01
+KINDS = ("product|category|sku|brand", "region|state|city|location", "customer|client", "channel|source")
 
 
-def material_causes(factors: DataFrame, head: DataFrame, dims: Sequence[str], k: int = TOP) -> DataFrame:
+def kind_rank(dimension: Column) -> Column:
+    out = F.lit(len(KINDS))
+    for k, words in reversed(list(enumerate(KINDS))):
+        out = F.when(F.lower(dimension).rlike(words), k).otherwise(out)
+    return out
+
+
+def material_causes(factors: DataFrame, head: DataFrame, k: int = TOP) -> DataFrame:
     """The view of the interactive mode: causes of at least 8% of the change, in its
-    direction, with the share of at least 1 and a confidence that grows with the rows."""
+    direction (in any if none is), with the share of at least 1 and a confidence that grows
+    with the rows. Equal impacts are ordered by the kind of dimension, then by segment."""
     f = factors.join(F.broadcast(head.select("change")))
-    f = f.where((F.abs("impact") >= F.greatest(MATERIAL * F.abs("change"), F.lit(LEAST_IMPACT))) & ((F.col("change") == 0) | (F.signum("impact") == F.signum("change"))))
+    f = f.where(F.abs("impact") >= F.greatest(MATERIAL * F.abs("change"), F.lit(LEAST_IMPACT)))
+    same = (F.col("change") == 0) | (F.signum("impact") == F.signum("change"))
+    strength = [F.desc(F.abs("impact")), kind_rank(F.col("dimension")).asc(), F.col("segment").asc(), F.col("dimension").asc()]
+    few = f.withColumn("_same", same).orderBy(F.desc("_same"), *strength).limit(k)
+    f = few.withColumn("_any", F.max("_same").over(Window.partitionBy(F.lit(1)))).where("_same or not _any").drop("_same", "_any")
     f = f.withColumn("share", F.least(F.lit(1.0), F.abs("impact") / F.greatest(F.abs("change"), F.lit(1.0))))
     score = F.least(F.lit(96.0), 54 + 34 * F.col("share") + F.least(F.lit(10.0), 1.5 * F.col("records")))
-    return _ranked(f.withColumn("confidence", F.round(score).cast("int")).drop("change"), _strength(dims), k)
+    return _ranked(f.withColumn("confidence", F.round(score).cast("int")).drop("change"), strength, k)
 
 
 def overall_confidence(causes: DataFrame) -> DataFrame:
@@ -104,8 +119,13 @@ def cause_impact(totals: DataFrame, head: DataFrame, dimension: str, segment: st
 
 
 def explain_change(rows: DataFrame, metric: str, date: str, dims: Sequence[str]) -> dict[str, DataFrame]:
-    """headline, causes, offsets, trend and cause trends of the metric's last change."""
-    totals = segment_totals(rows, metric, date, dims)
+    """headline, causes, offsets, trend and cause trends of the metric's last change. The
+    totals are few and read many times: they are written once."""
+    return explain_totals(materialise(segment_totals(rows, metric, date, dims), "totals"), dims)
+
+
+def explain_totals(totals: DataFrame, dims: Sequence[str]) -> dict[str, DataFrame]:
+    """The same from stored totals."""
     head = headline(totals)
     factors = factors_from_totals(totals, head)
     causes = top_causes(factors, head, dims)
@@ -132,24 +152,36 @@ def summary(head: DataFrame, causes: DataFrame) -> DataFrame:
     return both.select(F.concat(start, F.when(F.col("dimension").isNull(), " No material categorical driver was identified.").otherwise(why)).alias("summary"))
 
 
+def totals_with_and_without(rows: DataFrame, metric: str, date: str, dims: Sequence[str], outlier: str = "is_outlier") -> tuple[DataFrame, DataFrame]:
+    """Totals of all rows and of those not flagged, from one pass over the rows."""
+    calm = F.when(~F.col(outlier), F.col(metric))
+    both = segment_totals(rows.withColumn("_calm", calm), metric, date, dims, "_calm")
+    both = materialise(both, "totals")
+    rest = both.where("calm_count > 0").select("metric_column", "period", "dimension", "segment", F.col("calm_total").alias("metric_total"), F.col("calm_count").alias("record_count"))
+    return both.drop("calm_total", "calm_count"), rest
+
+
 def outlier_sensitivity(rows: DataFrame, metric: str, date: str, dims: Sequence[str], outlier: str = "is_outlier") -> DataFrame:
     """One row: the first cause with and without flagged rows, and whether leaving them
     out changes the explanation (another first cause, or its impact moves by at least half
     of itself and 1). Without flagged rows there is no row."""
-    flagged = rows.where(F.col(outlier)).agg(F.count("*").alias("outlier_rows"))
+    all_, calm = totals_with_and_without(rows, metric, date, dims, outlier)
+    flagged = rows.where(F.col(outlier) & (~F.col("excluded") if "excluded" in rows.columns else F.lit(True)))
+    return sensitivity_of_totals(all_, calm, flagged.agg(F.count("*").alias("outlier_rows")), dims)
+
+
+def sensitivity_of_totals(all_: DataFrame, calm: DataFrame, flagged: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The same from totals with and without the flagged rows, and the number of these."""
 
-    def first(part: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
-        totals = segment_totals(part, metric, date, dims)
+    def first(totals: DataFrame, prefix: str) -> DataFrame:
         head = headline(totals)
         c = top_causes(factors_from_totals(totals, head), head, dims, 1)
         cols = ["previous_total", "current_total", "change", "change_percent", "previous_period", "current_period"]
         both = head.select(*cols).join(c.select("dimension", "segment", "impact"), how="left")
-        return totals, both.select(*[F.col(x).alias(f"{prefix}_{x}") for x in both.columns])
+        return both.select(*[F.col(x).alias(f"{prefix}_{x}") for x in both.columns])
 
-    calm = rows.where(~F.col(outlier))
-    _, base = first(rows, "all")
-    totals, rest = first(calm, "calm")
-    own = totals.join(F.broadcast(base), (F.col("dimension") == F.col("all_dimension")) & (F.col("segment") == F.col("all_segment")))
+    base, rest = first(all_, "all"), first(calm, "calm")
+    own = calm.join(F.broadcast(base), (F.col("dimension") == F.col("all_dimension")) & (F.col("segment") == F.col("all_segment")))
     sign = F.when(F.col("period") == F.col("all_current_period"), F.col("metric_total")).when(F.col("period") == F.col("all_previous_period"), -F.col("metric_total")).otherwise(0)
     without = own.agg(F.coalesce(F.sum(sign).cast("double"), F.lit(0.0)).alias("impact_without"))
     one = base.join(rest, how="left").join(without).join(flagged).where("outlier_rows > 0")
@@ -164,13 +196,18 @@ def outlier_sensitivity(rows: DataFrame, metric: str, date: str, dims: Sequence[
 
 def explain_robustly(rows: DataFrame, metric: str, date: str, dims: Sequence[str], outlier: str = "is_outlier") -> DataFrame:
     """The causes to show: those without flagged rows, with a confidence of at most 65, if
-    leaving the rows out changes the explanation; else those of all rows."""
-    changed = outlier_sensitivity(rows, metric, date, dims, outlier).select("explanation_changed")
-
-    def causes(part: DataFrame) -> DataFrame:
-        return explain_change(part, metric, date, dims)["causes"]
-
-    calm = causes(rows.where(~F.col(outlier))).withColumn("confidence", F.least("confidence", F.lit(65)))
-    both = causes(rows).withColumn("_calm", F.lit(False)).unionByName(calm.withColumn("_calm", F.lit(True)))
-    flag = changed.agg(F.coalesce(F.max("explanation_changed"), F.lit(False)).alias("_changed"))
+    leaving the rows out changes the explanation (and there are such causes); else those of
+    all rows."""
+    all_, calm = totals_with_and_without(rows, metric, date, dims, outlier)
+    flagged = rows.where(F.col(outlier) & (~F.col("excluded") if "excluded" in rows.columns else F.lit(True)))
+    changed = materialise(sensitivity_of_totals(all_, calm, flagged.agg(F.count("*").alias("outlier_rows")), dims), "sensitivity")
+    return robust_causes(all_, calm, changed, dims)
+
+
+def robust_causes(all_: DataFrame, calm: DataFrame, sensitivity: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """The causes of explain_robustly from the totals and the row of outlier_sensitivity."""
+    rest = explain_totals(calm, dims)["causes"].withColumn("confidence", F.least("confidence", F.lit(65)))
+    both = explain_totals(all_, dims)["causes"].withColumn("_calm", F.lit(False)).unionByName(rest.withColumn("_calm", F.lit(True)))
+    usable = F.col("explanation_changed") & F.col("calm_dimension").isNotNull()
+    flag = sensitivity.agg(F.coalesce(F.bool_or(usable), F.lit(False)).alias("_changed"))
     return both.join(F.broadcast(flag), F.col("_calm") == F.col("_changed")).drop("_calm", "_changed")

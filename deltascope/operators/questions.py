@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregate import UNKNOWN, period_of, two_period_factors, usable
+from .aggregate import UNKNOWN, in_periods, period_of, two_period_factors, usable
 
 #: Ranks that can be asked for.
 MOST = 20
@@ -103,7 +103,7 @@ def _inside(rows: DataFrame, dimension: str, segment: str) -> DataFrame:
 def date_movement(rows: DataFrame, metric: str, date: str, head: DataFrame, dimension: str, segment: str, n: int = 5) -> DataFrame:
     """Change within a segment between the same days of the two months."""
     h = F.broadcast(head.select("previous_period", "current_period"))
-    r = usable(_inside(rows, dimension, segment), metric, date).withColumn("period", period_of(date))
+    r = usable(in_periods(_inside(rows, dimension, segment), date, head), metric, date).withColumn("period", period_of(date))
     r = r.join(h, F.col("period").isin(F.col("previous_period"), F.col("current_period")))
     now = F.col("period") == F.col("current_period")
     out = r.groupBy(F.dayofmonth(date).alias("day")).agg(

@@ -496,7 +496,7 @@ select dimension, segment, previous, current, impact, records, share, cast(round
   row_number() over (order by {STRENGTH}) as rank from c order by {STRENGTH} limit 5""")
 def material_causes(spark, sf_dir):
     e = _explained(spark, sf_dir)
-    return ex.material_causes(e["factors"], e["headline"], DIMS)
+    return ex.material_causes(e["factors"], e["headline"])
 
 
 @query(f"{BASE_SQL} select coalesce(sum(impact), 0) as impact from factors where dimension = 'region' and segment = 'EUROPE'")

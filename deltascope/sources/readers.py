@@ -6,7 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scratch import materialise
 
@@ -52,8 +51,11 @@ def check_source(df: DataFrame, most: int | None = None) -> DataFrame:
     return df
 
 
-def profile_sample(rows: DataFrame, n: int = 5000, order: str = "row_number") -> DataFrame:
-    return rows.where(F.col(order) <= n)
+def profile_sample(rows: DataFrame, n: int | None = 5000, order: str = "row_number") -> DataFrame:
+    """The first n rows, whose values tell the columns' kinds and the order of days and
+    months; with None all rows (one aggregation), as a table that is sorted by source or
+    date has other notations further on."""
+    return rows if n is None else rows.where(F.col(order) <= n)
 
 
 def demo_sales(spark: SparkSession) -> DataFrame:
@@ -83,7 +85,3 @@ def scale_rows(spark: SparkSession, n: int) -> DataFrame:
         F.format_string("%.2f", (i % 100000 / 7.0)).alias("Revenue"), F.format_string("Region %d", i % 12).alias("Region"),
         F.format_string("Product %d", i % 48).alias("Product"), F.format_string("Customer %d", i % 5000).alias("Customer"),
     )
-
-
-def string_schema(columns: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType()) for c in columns])

@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or "file:///tmp/checkpoints"  # all of Spark is on one machine
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 

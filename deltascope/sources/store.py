@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import KEYS, merge_totals
+from .scratch import materialise
 
 
 def _overwrite(df: DataFrame, path: str, *keys: str) -> None:
@@ -21,9 +22,7 @@ def upsert_rows(spark: SparkSession, rows: DataFrame, path: str, import_id: str)
     """Replace the stored rows of the same row numbers and add the others. The result is
     written beside the stored rows first, as Spark must not read what it overwrites."""
     old = read_rows(spark, path, import_id, ordered=False).join(rows.select("row_number"), "row_number", "left_anti")
-    staged = f"{path.rstrip('/')}__staged"
-    old.unionByName(rows).write.mode("overwrite").parquet(staged)
-    write_rows(spark.read.parquet(staged), path, import_id)
+    write_rows(materialise(old.unionByName(rows), "staged"), path, import_id)
 
 
 def read_rows(spark: SparkSession, path: str, import_id: str, ordered: bool = True) -> DataFrame:
@@ -37,9 +36,11 @@ def get_row(spark: SparkSession, path: str, import_id: str, row_number: int) ->
 
 
 def preview(rows: DataFrame, page: int = 0, size: int = 100) -> DataFrame:
-    """A page of the rows; a page is at least 0, its size between 1 and 200."""
+    """A page of the rows with the number of all rows (total_rows); a page is at least 0,
+    its size between 1 and 200."""
     page, size = max(0, int(page)), max(1, min(int(size), 200))
-    return rows.orderBy("row_number").offset(page * size).limit(size)
+    total = rows.agg(F.count("*").alias("total_rows"))
+    return rows.orderBy("row_number").offset(page * size).limit(size).join(F.broadcast(total))
 
 
 def write_totals(totals: DataFrame, path: str, import_id: str, batch: str = "all") -> None:

@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from ..operators.aggregate import segment_totals
 from ..operators.review import exact_duplicates, row_signature
+from ..sources.scratch import materialise
 from ..sources.store import write_totals
 
 
@@ -23,30 +24,47 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).format(fmt).load(path)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+#: Hexadecimal digits of a signature that stored rows are filed under.
+PREFIX = 2
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.parquet(path) if there else None
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, columns: Sequence[str], order: str = "row_number", totals: str | None = None, metric: str | None = None, date: str | None = None, dims: Sequence[str] = (), import_id: str = "stream") -> StreamingQuery:
     """Store each batch's rows with row_signature, exact_duplicate and excluded under its
-    batch number, and its totals if `totals` names a path."""
+    batch number, and its totals if `totals` names a path.
+
+    Signatures are also stored by themselves, filed by their first digits: a batch reads
+    only the files of the prefixes that it has, and of these only the signatures, not the
+    rows that earlier batches stored."""
+    seen = f"{path.rstrip('/')}__signatures"
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = _stored(spark, path)
-        if old is not None:
-            old = old.where(F.col("batch") != number)
-        flagged = exact_duplicates(batch, list(columns), order, old)
+        signed = materialise(batch.withColumn("row_signature", row_signature(list(columns))), "batch")
+        prefix = F.substring("row_signature", 1, PREFIX)
+        old = None
+        if _exists(spark, seen):
+            mine = [r.p for r in signed.select(prefix.alias("p")).distinct().collect()]  # at most 16 ** PREFIX
+            old = spark.read.parquet(seen).where(F.col("prefix").isin(mine) & (F.col("batch") != number))
+        flagged = materialise(exact_duplicates(signed, None, order, old), "batch-flagged")
         flagged.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        fresh = flagged.where("not exact_duplicate").select("row_signature", prefix.cast("string").alias("prefix"), F.lit(number).alias("batch"))
+        _put(fresh, seen, "prefix", "batch")
         if totals:
-            mine = spark.read.parquet(path).where(F.col("batch") == number)
-            write_totals(segment_totals(mine, metric, date, dims), totals, import_id, str(number))
+            write_totals(segment_totals(flagged, metric, date, dims), totals, import_id, str(number))
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _put(rows: DataFrame, path: str, *keys: str) -> None:
+    """Replaces the partitions that the rows have; others stay."""
+    rows.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+
+
 def novel_stream(stream: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The stream's rows whose signature was not seen before. State holds every signature;
     bound it by the source's retention."""

@@ -17,6 +17,8 @@ NUMBERS = {
     "2,345.67 DR": -2345.67, "1.234.567,89": 1234567.89, "1,250-": -1250.0, "2.05K": 2050.0, "4.20E+03": 4200.0, "NGN (1,234.56)": -1234.56, "USD (2,500.00)": -2500.0, "₦(99.25)": -99.25,
     "NGN 300.00 CR": 300.0, "NGN 125.00 DR": -125.0, "$4,385.00": 4385.0, "N/A": None, "R$ 12,5": 12.5, "'45": 45.0, "1'000.5": 1000.5, "abc": None, "12%": 12.0, "1,234": 1234.0, "-5": -5.0, "(7)": -7.0,
     "1e5x": None, ".5": 0.5, "1.2.3": 123.0, "12,345,678": 12345678.0, "EUR 1.234,5": 1234.5, "-": None, "": None, "3M": 3e6, "1.5B": 1.5e9, "12 000": 12000.0, None: None,
+    "1,234,56": None, "1,2,3": None, "1.234.56": 123456.0, "1,234,567.8": 1234567.8, "1.2,3.4": None, "1,2.3,4": None, "1,234.5.6": None, "12,5": 12.5, "1,2345": 12345.0, "5.": 5.0, ",5": 0.5, "+7": 7.0,
+    "--5": None, "-(5)": -5.0, "1,234.5e3": 1234500.0, "(1.5K)": -1500.0, "2 %": 2.0, "5 CR": 5.0, "$-3": -3.0, "1-2": None, "ZZ 5": None, "1.000.000": 1000000.0, ",": None, "USD": None, "-$1,000-": -1000.0,
 }
 
 
@@ -30,6 +32,9 @@ DATES = {
     "20240115": "2024-01-15", "20240115T1030": "2024-01-15", "202402": "2024-02-01", "2024-3": "2024-03-01", "Mar 2024": "2024-03-01", "Q2 2024": "2024-04-01", "2024Q4": "2024-10-01",
     "2024-01-05T10:00": "2024-01-05", "31.12.2026 23:45": "2026-12-31", "13/02/24": "2024-02-13", "02/13/99": "1999-02-13", "5-Mar-2024": "2024-03-05", "March 5, 2024 10:30": "2024-03-05",
     "44562": "2022-01-01", "1704067200": "2024-01-01", "1704067200000": "2024-01-01", "n/a": None, "2024-02-30": None, "Foo 2024": None, "ORD-10001": None, "05/05/2024": "2024-05-05",
+    "20240115 1030": "2024-01-15", "202401151030": "2024-01-15", "20240115T103059": "2024-01-15", "2024/3": "2024-03-01", "2024.1.5": "2024-01-05", "2024/01/05 10:00": "2024-01-05", "Q12024": "2024-01-01",
+    "2024-q3": "2024-07-01", "2024 / Q2": "2024-04-01", "Q5 2024": None, "March-2024": "2024-03-01", "5 Mar, 24": "2024-03-05", "Mar 5 60": "1960-03-05", "Mar5, 2024": "2024-03-05", "5 March 2024 10:30 pm": "2024-03-05",
+    "5 Mar 2024 T10:30": "2024-03-05", "5 Mar 2024T10:30:15": "2024-03-05", "5 Mar 2024 10": None, "13/13/2024": None, "31/04/2024": None, "1/2/202": None, "Sales 5 2024": None, "2024-13": None, "1 / 2 / 2024": None, "'2024-01-05": "2024-01-05",
 }
 
 
@@ -70,6 +75,16 @@ def test_text(spark):
     assert abs(row.a - (1 - 3 / 7)) < 1e-12 and row.b == 1.0
 
 
+def test_unicode_forms(spark):
+    import unicodedata
+
+    pieces = ["cafe\u0301", "Sa\u0303o Paulo", "e\u0302\u0301", "\u0438\u0306", "\u03b1\u0301", "x\u0301", "plain", "A\u030a B\u0307"]
+    assert apply(spark, pieces, text.base_text) == [unicodedata.normalize("NFC", x) for x in pieces]
+    wide = ["Ｌａｇｏｓ", "ﬁnance", "①", "Ａ１", None]
+    assert apply(spark, wide, lambda c: text.unicode_form(c, "NFKD")) == [x and unicodedata.normalize("NFKD", x) for x in wide]
+    assert apply(spark, ["o'connor-smith ltd", "ABC_d e.f", ""], text.title_case) == ["O'Connor-Smith Ltd", "Abc_d E.F", ""]
+
+
 def test_adjustments(spark):
     assert [adjustment_mode(h, "amount") for h in ("VAT Amount", "VAT Rate", "Tax %", "Discount")] == ["amount", "percentage", "percentage", "amount"]
     row = spark.range(1).select(derived_amount(F.lit(2.0), F.lit(90.0), F.lit(None).cast("double"), "amount", F.lit(15.0), "amount").alias("a"), derived_amount(F.lit(2.0), F.lit(100.0), None, "amount", F.lit(7.5), "percentage").alias("b")).first()

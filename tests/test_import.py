@@ -117,7 +117,7 @@ def test_csv_store_and_preview(spark, tmp_path):
     store.write_rows(df, path, "two")
     store.upsert_rows(spark, spark.createDataFrame([("9", "new", 2)], df.schema), path, "one")
     assert [r.a for r in store.read_rows(spark, path, "one").collect()] == ["1", "9", "3"]
-    assert [r.a for r in store.preview(store.read_rows(spark, path, "two"), -1, 2).collect()] == ["1", "2"]
+    assert [(r.a, r.total_rows) for r in store.preview(store.read_rows(spark, path, "two"), -1, 2).collect()] == [("1", 3), ("2", 3)]
     assert store.get_row(spark, path, "two", 3).first().a == "3"
     store.reset_import(spark, path, "two")
     assert spark.read.parquet(path).select("import_id").distinct().count() == 1
@@ -129,3 +129,80 @@ def test_edits(demo):
     edits = spark.createDataFrame([(1, "exclude", None, None), (2, "edit", "Revenue", "$7.50"), (3, "undo", "Order Date", None), (4, "edit", "Revenue", "bad")], "row_number long, action string, column string, value string")
     out = {r.row_number: r for r in rv.apply_edits(review, edits, {"Revenue": "number", "Order Date": "date"}).where("row_number < 5").collect()}
     assert out[1].excluded and out[2].Revenue == 7.5 and out[2].changes[-1]["reason"] == "Edited by hand" and any(i["type"] == "invalid-edit" for i in out[4].issues)
+
+
+def test_edits_take_effect_in_order(spark):
+    schema = f"row_number long, excluded boolean, possible_duplicate boolean, v double, name string, changes array<{rv.CHANGE}>, issues array<{rv.ISSUE}>"
+    rows = spark.createDataFrame([(i, False, True, 1.0, "a", [("v", "$1", "1.0", "x"), ("v", "0.5", "2.0", "y")], [("possible-duplicate", None, "m"), ("exact-duplicate", None, "m")]) for i in range(8)], schema)
+    edits = [(0, 1, "edit", "v", "5"), (0, 2, "edit", "v", "7"), (1, 2, "edit", "v", "5"), (1, 1, "edit", "v", "7"), (2, 1, "exclude", None, None), (2, 2, "restore", None, None), (3, 1, "edit", "v", "5"), (3, 2, "undo", "v", None)]
+    edits += [(4, 1, "undo", "v", None), (4, 2, "edit", "v", "9"), (5, 1, "edit", "v", "bad"), (6, 1, "keep", None, None), (6, 1, "edit", "name", " b "), (7, 1, "edit", "v", "5"), (7, 2, "edit", "v", "6"), (7, 3, "undo", "v", None)]
+    e = spark.createDataFrame(edits, "row_number long, seq int, action string, column string, value string").orderBy(F.rand(3))
+    out = {r.row_number: r for r in rv.apply_edits(rows, e, {"v": "number", "name": "category"}).collect()}
+    assert [out[i].v for i in range(8)] == [7.0, 5.0, 1.0, 1.0, 9.0, 1.0, 1.0, 5.0]
+    assert not out[2].excluded and [i.type for i in out[2].issues] == ["possible-duplicate"]
+    assert [(c["from"], c["to"]) for c in out[0].changes][2:] == [("1.0", "5.0"), ("5.0", "7.0")] and len(out[3].changes) == 2
+    assert [(c["from"], c["to"]) for c in out[4].changes] == [("$1", "1.0"), ("0.5", "9.0")] and [i.type for i in out[5].issues][-1] == "invalid-edit"
+    assert out[6].name == "b" and not out[6].possible_duplicate and len(out[7].changes) == 3
+
+
+def test_exact_quartiles(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    values = {"a": r.normal(size=101).round(1).tolist(), "b": [3.0] * 50 + [4.0], "c": [1.0], "d": list(range(10))}
+    rows = spark.createDataFrame([(c, float(v)) for c, vs in values.items() for v in vs], "column string, value double").repartition(7)
+    for q in rv.exact_quartiles(rows).collect():
+        assert q.n == len(values[q["column"]]) and np.allclose([q.q1, q.q3], np.quantile(values[q["column"]], [0.25, 0.75]))
+
+
+def test_links_of_possible_duplicates(spark):
+    rows = spark.createDataFrame([(i, "A", "d", 1.0) for i in (4, 2, 9)] + [(5, "B", "d", 1.0)], "row_number long, company string, day string, v double")
+    assert sorted(tuple(r) for r in rv.duplicate_links(rows, "company", "day", "v").collect()) == [(2, 4), (2, 9)]
+
+
+def test_recalculation_after_a_review(demo):
+    from deltascope.operators import recalculate
+
+    rows, columns, review = demo
+    spark = review.sparkSession
+    first = recalculate.recalculate(review, columns)
+    assert first["headline"].first().change == -2335.0 and first["sensitivity"].count() == 1
+    shirts = review.where("Product = 'Shirts' and Region = 'East Coast'").agg(F.max("row_number").alias("n")).first().n
+    edits = spark.createDataFrame([(shirts, "edit", "Revenue", "$5,000.00")], "row_number long, action string, column string, value string")
+    again = recalculate.recalculate(review, columns, edits)
+    assert again["headline"].first().change > first["headline"].first().change
+    assert again["rows"].where(F.col("row_number") == shirts).first().Revenue == 5000.0
+    proposals = spark.createDataFrame([("p", "Product", "Shirts", "Shoes", 1, 1, "pending", None), ("", "Product", "a", "b", 1, 1, "pending", None), ("q", "Product", "a", "b", -1, 1, "odd", None)], categories.PROPOSAL)
+    assert [r.id for r in categories.valid_proposals(proposals).collect()] == ["p"]
+    merged = recalculate.recalculate(review, columns, proposals=proposals.limit(1), decisions=spark.createDataFrame([("p", "merge", "Wear")], "id string, action string, label string"))
+    assert {r.segment for r in merged["totals"].where("dimension = 'Product'").select("segment").distinct().collect()} == {"Wear", "Hats"}
+    with pytest.raises(ValueError):
+        recalculate.recalculate(review, [c for c in columns if c.kind != "date"])
+    log = clean.cleaning_log(review)
+    assert clean.refresh_log(review, log) is None and clean.refresh_log(again["rows"].withColumn("is_outlier", F.lit(False)), log) is not None
+    assert "Revenue" in log.where("key = 'outliers'").first().detail
+
+
+def test_interactive_mode(spark):
+    raw = spark.createDataFrame([(i, f"0{1 + i % 9}/13/2024", "new york" if i % 2 else "NYC", str(1000 + i), "N/A" if i == 3 else f"A-{i}") for i in range(12)], "row_number long, Day string, City string, Transaction string, Note string")
+    columns = profile.profile(raw.drop("row_number"), strict=False)
+    assert {c.name: c.kind for c in columns} == {"Day": "date", "City": "category", "Transaction": "number", "Note": "identifier"}
+    out = clean.simple_clean(raw, columns).collect()
+    assert {r.City for r in out} == {"New York"} and str(out[0].Day)[5:] in {f"0{k}-13" for k in range(1, 10)}
+    assert profile.profile(raw.drop("row_number"))[2].kind == "identifier"
+
+
+def test_json_payloads(spark):
+    from deltascope.sources.payload import as_array, as_record
+
+    rows = spark.createDataFrame([('{"a": 1, "b": "x"}',), ("[1]",), ("3",), (None,), ("{bad",)], "j string")
+    assert [tuple(r) for r in rows.select(as_record(F.col("j"), "a int, b string").alias("r")).select("r.*").collect()] == [(1, "x")] + [(None, None)] * 4
+    rows = spark.createDataFrame([('[{"a": 1}, null]',), ('{"a": 1}',), (None,)], "j string")
+    assert [[x.a for x in r.r] for r in rows.select(as_array(F.col("j"), "struct<a:int>").alias("r")).collect()] == [[1], [], []]
+
+
+def test_signatures_follow_merges(spark):
+    rows = spark.createDataFrame([(1, "Port Harcourt", 1.0), (2, "port-harcourt", 1.0), (3, "Port Harcourt", 2.0)], "row_number long, city string, v double")
+    signed = rv.exact_duplicates(rows, ["city", "v"])
+    out = {r.row_number: r for r in categories.reconcile(signed, ["city"], signed=["city", "v"]).collect()}
+    assert out[1].row_signature == out[2].row_signature != out[3].row_signature and not out[2].exact_duplicate
