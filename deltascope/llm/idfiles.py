@@ -24,11 +24,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_dir, publish, read_range, spans_of, store, texts
-from .tokens import encoder
+from .common import cut, drop_dir, new_dir, publish, read_range, shuffles_freed, spans_of, store, texts
+from .tokens import encoder, id_kind
 
 MAGIC, HEAD = b"DSHUF001", struct.Struct("<8s4IQ")
 LIMIT, BLOCK = 16, 512
@@ -38,16 +38,18 @@ MANIFEST = "pid int, seq int, path string, size long, ids_before long, n_ids lon
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> np.ndarray:
-    """Optimal code lengths of at most `limit` bits, by package-merge. Counts of at
-    most 2**limit ids; a single id gets one bit."""
+    """Optimal code lengths of at most `limit` bits (for more ids than these tell apart, two
+    more than they need), by package-merge; a single id gets one bit."""
     ids = sorted(counts, key=lambda i: (counts[i], i))
     out = np.zeros(max(ids, default=-1) + 1, dtype=np.uint8)
     if len(ids) == 1:
         out[ids[0]] = 1
     if len(ids) < 2:
         return out
-    if len(ids) > 1 << limit:
-        raise ValueError("more ids than codes")
+    if (len(ids) - 1).bit_length() > limit:  # large vocabularies need longer codes
+        limit = (len(ids) - 1).bit_length() + 2
+        if limit > 24:
+            raise ValueError("more ids than a code of 24 bits can tell apart")
     leaves = np.array([counts[i] for i in ids], dtype=np.float64)
     # levels[k]: which entries of the k-th merged list are packages
     levels, merged = [], leaves
@@ -103,9 +105,10 @@ def encode_bits(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block:
 def decode_bits(payload: bytes, checkpoints: np.ndarray, n_ids: int, lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
     """All ids; step k decodes the k-th id of every block at once, from its checkpoint."""
     codes, used = canonical(lengths), np.flatnonzero(lengths)
-    symbol, bits = np.zeros(1 << LIMIT, dtype=np.uint16), np.zeros(1 << LIMIT, dtype=np.uint8)
+    limit, kind = max(LIMIT, int(lengths.max(initial=0))), id_kind(len(lengths))
+    symbol, bits = np.zeros(1 << limit, dtype=kind), np.zeros(1 << limit, dtype=np.uint8)
     order = used[np.lexsort((used, lengths[used]))]
-    shift = LIMIT - lengths[order].astype(np.int64)
+    shift = limit - lengths[order].astype(np.int64)
     runs = np.int64(1) << shift
     begin = codes[order].astype(np.int64) << shift
     total = int(runs.sum())
@@ -113,7 +116,7 @@ def decode_bits(payload: bytes, checkpoints: np.ndarray, n_ids: int, lengths: np
     assert not len(begin) or begin[0] == 0
     raw = np.frombuffer(payload + b"\0\0\0\0", dtype=np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
-    out = np.zeros((block, len(checkpoints)), dtype=np.uint16)
+    out = np.zeros((block, len(checkpoints)), dtype=kind)
     at = checkpoints.astype(np.int64)
     live = len(checkpoints)
     tail = n_ids - (live - 1) * block if live else 0
@@ -123,10 +126,10 @@ def decode_bits(payload: bytes, checkpoints: np.ndarray, n_ids: int, lengths: np
             at = at[:live]
         if not live:
             break
-        looked = (window[at >> 3] >> (16 - (at & 7)).astype(np.uint32)) & 0xFFFF
+        looked = (window[at >> 3] >> (32 - limit - (at & 7)).astype(np.uint32)) & ((1 << limit) - 1)
         out[k, :live] = symbol[looked]
         at = at + bits[looked]
-    return out.T.ravel()[:n_ids] if len(checkpoints) else np.zeros(0, dtype=np.uint16)
+    return out.T.ravel()[:n_ids] if len(checkpoints) else np.zeros(0, dtype=kind)
 
 
 def file_bytes(doc_ids: list, counts: list[int], ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
@@ -154,7 +157,8 @@ def read_file(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def token_table(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
-    """doc_id, n (ids with the end id) and ids (little-endian 16 bits each)."""
+    """doc_id, n (ids with the end id), ids (little-endian, 16 bits each or 32 if the
+    vocabulary needs them) and row, a number of its own for each row."""
 
     def run(batches):
         enc = encoder(tokenizer)
@@ -162,22 +166,24 @@ def token_table(docs: DataFrame, tokenizer: str, end: int = 1) -> DataFrame:
             for part, _ in texts(batch, chars=8 << 20):
                 ids, counts = enc.encode(part["text"], end)
                 edges = spans_of(counts).tolist()
-                raw = ids.astype("<u2").tobytes()
+                raw, k = ids.tobytes(), ids.itemsize
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array(counts, pa.int64()), pa.array([raw[2 * a : 2 * b] for a, b in zip(edges, edges[1:])], pa.binary())], names=["doc_id", "n", "ids"]
+                    [part["doc_id"], pa.array(counts, pa.int64()), pa.array([raw[k * a : k * b] for a, b in zip(edges, edges[1:])], pa.binary())], names=["doc_id", "n", "ids"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
-    """Count of each id over the corpus: at most 65,536 numbers reach the driver."""
+def id_counts(tokens: DataFrame, size: int) -> dict[int, int]:
+    """Count of each id over the corpus: at most one number for each id of the vocabulary
+    (`size`) reaches the driver."""
+    kind = id_kind(size)
 
     def run(batches):
-        total = np.zeros(1 << 16, dtype=np.int64)
+        total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             for ids in batch["ids"]:
-                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype="<u2"), minlength=1 << 16)
+                total += np.bincount(np.frombuffer(ids.as_buffer(), dtype=kind), minlength=size)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], names=["id", "n"])
 
@@ -185,10 +191,10 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
     return {r.id: r.n for r in rows}
 
 
-def write(tokens: DataFrame, base: str) -> DataFrame:
+def write(tokens: DataFrame, base: str, size: int) -> DataFrame:
     """Write the token table to files under `base`; returns the manifest, one row for
     each file. Files that no manifest names (of lost attempts) are never read."""
-    counts = id_counts(tokens)
+    counts, kind = id_counts(tokens, size), id_kind(size)
     lengths = code_lengths(counts)
     codes = canonical(lengths)
     parts = max(1, math.ceil(sum(counts.values()) / PARTITION_IDS))
@@ -209,7 +215,7 @@ def write(tokens: DataFrame, base: str) -> DataFrame:
             for doc, n, ids in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["ids"]):
                 docs.append(doc)
                 sizes.append(n)
-                chunks.append(np.frombuffer(ids.as_py(), dtype="<u2"))
+                chunks.append(np.frombuffer(ids.as_py(), dtype=kind))
                 held += n
                 if held >= FILE_IDS:
                     yield flush()
@@ -218,14 +224,21 @@ def write(tokens: DataFrame, base: str) -> DataFrame:
         if docs:
             yield flush()
 
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n", "ids")
+    # rows that share a doc_id (or have none) can go to several tasks, by their own numbers
+    ordered = tokens.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     return cut(ordered.mapInArrow(run, MANIFEST), "ids-manifest")
 
 
 def read(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32, from the files."""
-    totals = manifest.groupBy("pid").agg(F.sum("n_ids").alias("n")).orderBy("pid").collect()  # one row for each writing task
-    bases = dict(zip((r.pid for r in totals), spans_of(np.array([r.n for r in totals], dtype=np.int64)).tolist()))
+    # ids before each writing task: sums of 1024 tasks each, and within these
+    tasks = manifest.groupBy("pid").agg(F.sum("n_ids").alias("n")).withColumn("some", F.shiftright("pid", 10))
+    some = tasks.groupBy("some").agg(F.sum("n").alias("n"))
+    over = Window.orderBy("some").rowsBetween(Window.unboundedPreceding, -1)  # one row for 1024 tasks
+    some = some.select("some", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("base"))
+    within = Window.partitionBy("some").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tasks.select("some", "pid", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("own")).join(some, "some")
+    manifest = cut(manifest.join(starts.select("pid", (F.col("base") + F.col("own")).alias("base")), "pid"), "ids-places")
 
     def run(batches):
         fs, root = store(base)
@@ -235,7 +248,7 @@ def read(spark: SparkSession, manifest: DataFrame, base: str) -> DataFrame:
                 edges = spans_of(counts)
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist())]
-                start = edges[:-1] + bases[f["pid"]] + f["ids_before"]
+                start = edges[:-1] + f["base"] + f["ids_before"]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start), pa.array(counts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     n = max(1, manifest.count())
@@ -248,4 +261,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     tokens = cut(token_table(docs, tokenizer), "ids-tokens")
     base = new_dir(spark, "ids-files")
-    return read(spark, write(tokens, base), base)
+    with shuffles_freed(spark):
+        manifest = write(tokens, base, encoder(tokenizer).tokenizer.get_vocab_size())
+    drop_dir(tokens)
+    return read(spark, manifest, base)

@@ -6,6 +6,10 @@ emitted, and the contents of the others become single items of the next round, i
 eighth of the partitions, until one partition is left. A partition holds a bounded
 number of items, whatever the data; what crosses a shuffle after the first round is
 the few underfull bins.
+
+Nulls are empty texts: one piece, the end id. Texts are encoded whole, however long;
+repeated rows and rows that share a doc_id (or have none) are pieces of their own; an empty
+table gives no rows. `pieces` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -78,16 +82,28 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pack(items: DataFrame, capacity: int = 4096, nearly_full: int = NEARLY_FULL) -> DataFrame:
-    """Adds sequence_id and offset to `items` (any columns, one of them `length`, from
-    1 to `capacity`). Pieces of a sequence lie in it without gaps from 0. An empty
-    input gives no rows; equal rows are separate items."""
+    """Adds sequence_id and offset to `items` (any columns but these two, one of them
+    `length`, from 1 to `capacity`). Pieces of a sequence lie in it without gaps from 0. An
+    empty input gives no rows; equal rows are separate items, dealt out by their place in
+    the stored table; items of equal length are put in the order in which they come. Nulls
+    in other columns are kept.
+
+    Rounds: each takes at most an eighth of the partitions of the one before, so ITEMS * 8**r
+    items take at most r + 1 rounds, and one more for each time that more than ITEMS bins
+    are left open in every partition; a round that joins no bins is the last."""
     own = items.columns
-    state = items.select(*own, F.lit(None).cast("long").alias("_item"), F.col("length").cast("long").alias("_fill"), F.lit(0).cast("long").alias("_at"))
+
+    def free(name: str) -> str:
+        """An inner column's name that no column of the items has."""
+        return name if name not in own else free(name + "_")
+
+    item_, fill_, at_, closed_, deal_ = map(free, ("_item", "_fill", "_at", "_closed", "_deal"))
+    state = items.select(*own, F.lit(None).cast("long").alias(item_), F.col("length").cast("long").alias(fill_), F.lit(0).cast("long").alias(at_), F.monotonically_increasing_id().alias(deal_))
     state = cut(state, "pack-items")
     schema = state.schema
     n = state.count()
     parts, level, done, open_bins = max(1, math.ceil(n / ITEMS)), 0, None, -1
-    out_schema = schema.simpleString()[len("struct<") : -1] + ",_closed:boolean"
+    out_schema = schema.simpleString()[len("struct<") : -1] + f",{closed_}:boolean"
     while True:
 
         def run(batches, level=level, last=parts == 1):
@@ -97,33 +113,33 @@ def pack(items: DataFrame, capacity: int = 4096, nearly_full: int = NEARLY_FULL)
             if not batches:
                 return
             table = pa.Table.from_batches(batches)
-            item = table["_item"].to_numpy() if level else np.arange(table.num_rows)
+            item = table[item_].to_numpy() if level else np.arange(table.num_rows)
             order = np.argsort(item, kind="stable")
             _, first, inverse = np.unique(item[order], return_index=True, return_inverse=True)
-            lengths = table["_fill"].to_numpy()[order][first]
+            lengths = table[fill_].to_numpy()[order][first]
             bins, places, fills = best_fit(lengths, capacity)
             code = (level << 54) | (TaskContext.get().partitionId() << 28)
             of = bins[inverse]
             table = table.take(order)
-            at = table["_at"].to_numpy() + places[inverse]
+            at = table[at_].to_numpy() + places[inverse]
             closed = np.ones(len(of), dtype=bool) if last else fills[of] >= capacity - nearly_full
-            for name, values in (("_item", of + code), ("_fill", fills[of]), ("_at", at)):
+            for name, values in ((item_, of + code), (fill_, fills[of]), (at_, at)):
                 table = table.set_column(table.schema.get_field_index(name), name, pa.array(values, pa.int64()))
-            yield from table.append_column("_closed", pa.array(closed)).to_batches(max_chunksize=10_000)
+            yield from table.append_column(closed_, pa.array(closed)).to_batches(max_chunksize=10_000)
 
-        key = F.col("_item") if level else F.xxhash64(*[F.col(f"`{c}`") for c in own])
+        key = F.col(item_) if level else F.xxhash64(deal_)
         packed = cut(state.repartition(parts, key).mapInArrow(run, out_schema), f"pack-{level}")
-        full = packed.where("_closed").drop("_closed")
+        full = packed.where(F.col(closed_)).drop(closed_)
         done = full if done is None else done.unionByName(full)
         if parts == 1:
             break
-        state = packed.where("not _closed").drop("_closed")
+        state = packed.where(~F.col(closed_)).drop(closed_)
         # a task's share of the next round is bounded by what is left, not only by the
         # tree; bins that no round can join any more (all over half full) end here
-        left = state.select("_item").distinct().count()
+        left = state.select(item_).distinct().count()
         if left == open_bins:
             done = done.unionByName(state)
             break
         open_bins = left
         parts, level = max(min(math.ceil(parts / FAN_IN), parts - 1), math.ceil(left / ITEMS), 1), level + 1
-    return done.select(*own, F.col("_item").alias("sequence_id"), F.col("_at").alias("offset"))
+    return done.select(*own, F.col(item_).alias("sequence_id"), F.col(at_).alias("offset"))

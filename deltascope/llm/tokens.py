@@ -43,12 +43,19 @@ def is_latin(text: str) -> bool:
     return True
 
 
+def id_kind(size: int) -> np.dtype:
+    """The type of the ids of a vocabulary of this size, little-endian."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: ids take 16 bits, or 32 if the vocabulary needs them
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.powers = np.cumprod(np.full(64, _STEP, dtype=np.uint64))
         self.reset()
 
@@ -57,7 +64,7 @@ class Encoder:
         self.index: dict[int, int] = {}
         self.starts = np.zeros(1 << 16, dtype=np.int32)
         self.lengths = np.zeros(1 << 16, dtype=np.int32)
-        self.pool = np.zeros(1 << 18, dtype=np.uint16)
+        self.pool = np.zeros(1 << 18, dtype=self.kind)
         self.used = 0
 
     def learn(self, hashes: list[int], pieces: list[str]) -> None:
@@ -77,8 +84,6 @@ class Encoder:
             found[k] = e.ids
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         ids = np.array([i for x in found for i in x], dtype=np.int64)
-        if len(ids) and ids.max() > 0xFFFF:
-            raise ValueError("ids above 65535 are not supported")
         n = len(self.index)
         while len(self.starts) < n + len(pieces):
             self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
@@ -104,7 +109,7 @@ class Encoder:
             ids.append(x)
             totals.append(n)
             a = b
-        return (np.concatenate(ids), np.concatenate(totals)) if ids else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
+        return (np.concatenate(ids), np.concatenate(totals)) if ids else (np.zeros(0, self.kind), np.zeros(0, np.int64))
 
     def encode_slice(self, raw: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
@@ -122,7 +127,7 @@ class Encoder:
         opens = (kind != SEPARATOR) & ((before == SEPARATOR) | ((kind == MARK) & (before == LETTER)) | first[:-1])
         starts = np.flatnonzero(opens)
         if not len(starts):
-            return np.full(n, end, dtype=np.uint16), np.ones(n, dtype=np.int64)
+            return np.full(n, end, dtype=self.kind), np.ones(n, dtype=np.int64)
         sizes = np.diff(starts, append=len(text))
         place = np.arange(len(text) - starts[0], dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), sizes)
         while len(self.powers) <= place.max(initial=0):
@@ -143,7 +148,7 @@ class Encoder:
         # ids before each text's first piece: there the end ids go between
         upto = spans_of(lengths)[np.searchsorted(starts, offsets)]
         counts = np.diff(upto) + 1
-        out = np.full(len(found) + n, end, dtype=np.uint16)
+        out = np.full(len(found) + n, end, dtype=self.kind)
         out[np.arange(len(found)) + np.repeat(np.arange(n), counts - 1)] = found
         return out, counts
 

@@ -3,14 +3,16 @@
 A package is a ZIP of stored (uncompressed) members: `archive/data.warc.gz`, in which
 every record is a gzip member of its own, and `indexes/index.cdxj`, a JSON line for each
 record with its offset and length in that archive. The reader parses the end records
-(ZIP64 where used), the central directory and the local headers by itself, reads the
-index, and fetches records by their ranges; nothing is extracted.
+(ZIP64 where used), the central directory and the local headers by itself, reads all
+indexes, in whatever order their lines are, and fetches the records of all members of
+archive/ by their ranges; nothing is extracted.
 
 Payload rules: of records with equal payloads of at least `least` bytes, the one with
 the smallest page_id is a response and the others are revisits of it; smaller ones are
 all responses. Null html is an empty payload; a null page_id never is revisited unless
-no other has the payload; rows that share page_id and payload are responses alike; an
-empty table gives no packages and no rows.
+no other has the payload; rows that share page_id and payload are responses alike; pages
+of any length are one record; an empty table gives no packages and no rows. Columns besides
+page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import zipfile
 import zlib
@@ -78,14 +81,23 @@ def package(pages: list[dict], zip64: bool = False) -> bytes:
     return out.getvalue()
 
 
+#: Bytes of repeated digests that are sent to all executors at most, and what one takes there.
+BROADCAST, REPEAT_BYTES = 64 << 20, 160
+
+
 def with_referents(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to. The digest of every payload is grouped, with the
-    smallest page_id of those that occur twice joined back to the pages."""
+    """page_id, url, html and refers_to. The digest of every payload is grouped, and the
+    smallest page_id of those that occur twice is joined back to the pages. If these take
+    at most BROADCAST bytes by their count, they are sent to the pages; else the pages are
+    shuffled by digest."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     size = F.octet_length("html")
     keyed = rows.withColumns({"_sha": F.sha1(F.col("html").cast("binary")), "_size": size})
     first = keyed.where(F.col("_size") >= least).groupBy("_sha", "_size").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = cut(first, "warc-repeats")
+    if first.count() * REPEAT_BYTES <= BROADCAST:
+        first = F.broadcast(first)
     joined = keyed.join(first, ["_sha", "_size"], "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_first")), F.col("_first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
@@ -172,26 +184,59 @@ def member_range(fs, path: str, found: dict, name: str) -> tuple[int, int]:
 
 
 def parse(raw: bytes) -> dict:
-    """Page id, type, digest, payload size and referent of one record; a response's
-    payload is checked against its digest."""
+    """Page id, type, digest, payload size and referent of one record; the payload of a
+    response is checked against its digest. Records of other writers have no page id; what
+    they do not say is null, and their payload is the block without an HTTP head."""
     head, _, block = raw.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
+    version, *lines = head.decode(errors="replace").split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines)
-    block = block[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-    if fields["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    kind = fields.get("warc-type")
+    block = block[: int(fields["content-length"])]
+    http, payload = b"", block
+    if block.startswith(b"HTTP/"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+    size = next((int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(payload))
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    if kind == "response" and digest and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
         raise ValueError("payload does not match its digest")
-    of = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">")) if x and x != "<urn:page:>" else None
-    return {"page_id": of(fields["WARC-Record-ID"]), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": of(fields.get("WARC-Refers-To")), "payload": payload}
+
+    def page(name: str) -> int | None:
+        m = re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(name, ""))
+        return int(m[1]) if m else None
+
+    return {"page_id": page("warc-record-id"), "url": fields.get("warc-target-uri"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": page("warc-refers-to"), "payload": payload}
+
+
+def index_rows(fs, path: str, found: dict) -> dict[str, list[tuple[int, int]]]:
+    """Archive member -> (offset, length) of its records in file order, from all indexes of
+    the package: JSON lines, with or without a sort key before the object, plain or gzipped.
+    A line's filename is that of a member of archive/; without one it is the only archive."""
+    archives = sorted(n for n in found if n.startswith("archive/") and not n.endswith("/"))
+    out: dict[str, set[tuple[int, int]]] = {n: set() for n in archives}
+    for name in sorted(n for n in found if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdx", ".cdxj"))):
+        data = read_range(fs, path, *member_range(fs, path, found, name))
+        if name.endswith(".gz"):
+            data = gzip.decompress(data)
+        for line in data.splitlines():
+            at = line.find(b"{")
+            if at < 0:
+                continue  # a header line
+            r = json.loads(line[at:])
+            name_ = r.get("filename") or (archives[0] if len(archives) == 1 else None)
+            member = next((n for n in (name_, f"archive/{name_}") if n in out), None)
+            if member is None:
+                raise ValueError(f"{path}: an index line names no archive of the package: {name_}")
+            out[member].add((int(r["offset"]), int(r["length"])))
+    return {n: sorted(v) for n, v in out.items()}
 
 
 def splits(manifest: DataFrame, base: str, size: int = SPLIT) -> DataFrame:
-    """Byte ranges of consecutive records, of about `size` each: path, place of the range
-    in the package and the lengths of its records."""
+    """Byte ranges of records that follow each other, of about `size` each: path, place of
+    the range in the package, its bytes, and where its records begin in it. A range ends
+    where the index leaves more than `size` bytes out; an archive that no index names is one
+    range whose records are found by reading."""
 
     def run(batches):
         fs, root = store(base)
@@ -199,23 +244,52 @@ def splits(manifest: DataFrame, base: str, size: int = SPLIT) -> DataFrame:
             for m in batch.to_pylist():
                 path = f"{root}/{m['path']}"
                 found = members(fs, path, m["size"])
-                at, _ = member_range(fs, path, found, ARCHIVE)
-                index = read_range(fs, path, *member_range(fs, path, found, INDEX))
-                rows = [json.loads(x) for x in index.splitlines()]
-                lengths = np.array([r["length"] for r in rows], dtype=np.int64)
-                offsets = np.array([r["offset"] for r in rows], dtype=np.int64)
-                group = np.cumsum(lengths) // size
-                for g in np.unique(group):
-                    own = np.flatnonzero(group == g)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([m["path"]]), pa.array([at + int(offsets[own[0]])], pa.int64()), pa.array([lengths[own].tolist()], pa.list_(pa.int64()))], names=["path", "at", "lengths"]
-                    )
-
-    return manifest.mapInArrow(run, "path string, at long, lengths array<long>")
+                for name, rows in index_rows(fs, path, found).items():
+                    at, stored = member_range(fs, path, found, name)
+                    if not rows:
+                        yield row(m["path"], at, stored, [])
+                        continue
+                    offsets, lengths = np.array(rows, dtype=np.int64).T
+                    ends = np.maximum.accumulate(offsets + lengths)
+                    if ends[-1] > stored:
+                        raise ValueError(f"{path}: an index line goes beyond {name}")
+                    group = np.cumsum(lengths) // size + np.cumsum(np.diff(offsets, prepend=offsets[0]) > size)
+                    edges = np.flatnonzero(np.diff(group, prepend=-1))
+                    for a, b in zip(edges, np.append(edges[1:], len(group))):
+                        start = int(offsets[a])
+                        yield row(m["path"], at + start, int(ends[b - 1]) - start, (offsets[a:b] - start).tolist())
+
+    def row(path, at, length, starts):
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at], pa.int64()), pa.array([length], pa.int64()), pa.array([starts], pa.list_(pa.int64()))], names=["path", "at", "length", "starts"])
+
+    return manifest.mapInArrow(run, "path string, at long, length long, starts array<long>")
+
+
+def records_of(data: bytes, starts: list[int]) -> list[bytes]:
+    """The records of a range: each a gzip member of its own (or plain, in a plain archive)."""
+
+    def one(at: int) -> tuple[bytes, int]:
+        if data[at : at + 2] != b"\x1f\x8b":
+            head = data.index(b"\r\n\r\n", at) + 4
+            length = next(int(x.split(b":")[1]) for x in data[at:head].split(b"\r\n") if x.lower().startswith(b"content-length:"))
+            return data[at : head + length], head + length + 4
+        d = zlib.decompressobj(31)
+        out = d.decompress(data[at:]) + d.flush()
+        return out, len(data) - len(d.unused_data)
+
+    if starts:
+        ends = [*starts[1:], len(data)]
+        return [zlib.decompress(data[a:b], 31) if data[a : a + 2] == b"\x1f\x8b" and b > a else one(a)[0] for a, b in zip(starts, ends)]
+    out, at = [], 0
+    while at < len(data):
+        raw, at = one(at)
+        out.append(raw)
+    return out
 
 
 def read(spark: SparkSession, manifest: DataFrame, base: str, payload: bool = False) -> DataFrame:
-    """One row for each record of the packages in the manifest."""
+    """One row for each record of the packages in the manifest, in any order: of all members
+    of archive/, whatever the order of the index."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -226,16 +300,13 @@ def read(spark: SparkSession, manifest: DataFrame, base: str, payload: bool = Fa
         fs, root = store(base)
         for batch in batches:
             for s in batch.to_pylist():
-                data = read_range(fs, f"{root}/{s['path']}", s["at"], sum(s["lengths"]))
-                rows, at = [], 0
-                for n in s["lengths"]:
-                    rows.append(parse(zlib.decompress(data[at : at + n], 31)))
-                    at += n
+                data = read_range(fs, f"{root}/{s['path']}", s["at"], s["length"])
+                rows = [parse(raw) for raw in records_of(data, s["starts"])]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(names, kinds)], names=names)
 
     n = max(1, manifest.count())
     ranges = cut(splits(manifest.repartition(n, "path"), base), "warc-splits")
-    return ranges.repartition(max(1, ranges.count()), "path", "at").mapInArrow(run, schema)
+    return ranges.repartition(max(1, ranges.count())).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:

@@ -117,3 +117,25 @@ def test_id_files_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (3, "c"), (3, "c"), (3, None)], "doc_id long, text string")
     out = idfiles.round_trip(docs, PATH).collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens) for r in out) == [(-1, 0, 3), (3, 3, 1), (3, 4, 2), (3, 6, 2)]
+
+
+def test_ids_of_32_bits():
+    r = np.random.default_rng(3)
+    used = np.unique(r.integers(0, 200_000, 90_000))
+    counts = dict(zip(used.tolist(), r.integers(1, 50, len(used)).tolist()))
+    lengths = idfiles.code_lengths(counts)
+    assert lengths.max() <= 19 and (2.0 ** -lengths[used].astype(float)).sum() <= 1
+    ids = r.choice(used, 5000)
+    payload, marks = idfiles.encode_bits(ids, lengths, idfiles.canonical(lengths))
+    back = idfiles.decode_bits(payload, marks, len(ids), lengths)
+    assert back.dtype == np.dtype("<u4") and (back == ids).all()
+    data = idfiles.file_bytes([7], [len(ids)], ids.astype("<u4"), lengths, idfiles.canonical(lengths))
+    assert (idfiles.read_file(data)[2] == ids).all()
+
+
+def test_packing_with_clashing_names_and_equal_rows(spark):
+    schema = "doc_id long, length long, _item string, _fill string, _at string, _closed string, _deal string"
+    rows = [(None, 1000, "a", "b", None, "d", "e")] * 50 + [(i, 96, None, None, "c", None, None) for i in range(12)]
+    got = packing.pack(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == 62 and len({r.sequence_id for r in got}) == 13
+    assert sorted(str(tuple(r)[:7]) for r in got) == sorted(map(str, rows))

@@ -104,6 +104,51 @@ def test_warc_least_size(spark):
     assert got == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
+def test_reader_takes_foreign_packages(spark, tmp_path):
+    """Two archives, index lines in the order of urls with sort keys, one index gzipped, one
+    archive without an index, records of other kinds."""
+    import gzip
+    import json
+    import random
+
+    def rec(kind, name, block):
+        return gzip.compress(f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{name}>\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+
+    pages = [{"page_id": i, "url": f"http://u/{i * 7 % 40}", "payload": b"p%d" % i * (i + 1), "refers_to": None} for i in range(40)]
+    members, lines = {}, {}
+    for k, name in enumerate(("a.warc.gz", "b.warc.gz")):
+        data, own = b"", []
+        for p in pages[20 * k : 20 * k + 20]:
+            raw = gzip.compress(wacz.record(p, base64.b32encode(hashlib.sha1(p["payload"]).digest()).decode()))
+            own.append(f"{p['url']} 2024 " + json.dumps({"url": p["url"], "filename": name, "offset": str(len(data)), "length": str(len(raw))}))
+            data += raw
+        random.Random(k).shuffle(own)
+        members[f"archive/{name}"], lines[name] = data, sorted(own) if k else own
+    members["archive/c.warc.gz"] = rec("warcinfo", "1", b"software: x") + rec("response", "2", b"HTTP/1.1 200 OK\r\n\r\nbody")
+    members["indexes/a.cdx.gz"] = gzip.compress(("!meta\n" + "\n".join(lines["a.warc.gz"])).encode())
+    members["indexes/b.cdxj"] = "\n".join(lines["b.warc.gz"]).encode()
+    members["datapackage.json"] = b"{}"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, body in members.items():
+            z.writestr(zipfile.ZipInfo(name), body)
+    (tmp_path / "x.wacz").write_bytes(out.getvalue())
+    manifest = spark.createDataFrame([("x.wacz", len(out.getvalue()))], wacz.MANIFEST)
+    for size in (100, 8 << 20):
+        ranges = wacz.splits(manifest, f"file://{tmp_path}", size).collect()
+        assert len(ranges) == 3 if size > 100 else len(ranges) > 20
+        got = wacz.read(spark, manifest, f"file://{tmp_path}", payload=True).collect()
+        assert sorted((r.page_id, r.url, bytes(r.payload)) for r in got if r.page_id is not None) == sorted((p["page_id"], p["url"], p["payload"]) for p in pages)
+        assert sorted((r.record_type, bytes(r.payload)) for r in got if r.page_id is None) == [("response", b"body"), ("warcinfo", b"software: x")]
+
+
+def test_referents_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(wacz, "BROADCAST", 0)
+    pages = spark.createDataFrame([(h, i, None) for i, h in enumerate(HTML)], "html string, page_id long, url string")
+    got = {r.page_id: r.refers_to for r in wacz.round_trip(pages).collect()}
+    assert got == {0: None, 1: None, 2: 1, 3: None, 4: 0, 5: None, 6: 0, 7: 1, 8: None}
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_zip_directories(tmp_path, zip64):
     pages = [{"page_id": i, "url": None, "payload": b"p%d" % i, "refers_to": None} for i in range(5)]
