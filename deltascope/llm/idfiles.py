@@ -225,7 +225,7 @@ def write(tokens: DataFrame, base: str, size: int) -> DataFrame:
             yield flush()
 
     # rows that share a doc_id (or have none) can go to several tasks, by their own numbers
-    ordered = tokens.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    ordered = tokens.repartitionByRange(parts, "doc_id", "n", "row").sortWithinPartitions("doc_id", "n", "row")
     return cut(ordered.mapInArrow(run, MANIFEST), "ids-manifest")
 
 
