@@ -92,7 +92,10 @@ def cause_trends(spark, sf_dir):
     return _explained(spark, sf_dir)["cause_trends"]
 
 
-@query()
+@query(f"""{BASE_SQL}, c as (select *, (select change from head) = 0 or sign(impact) = sign((select change from head)) as same from factors where impact <> 0),
+one as (select * from c where same or not (select bool_or(same) from c) order by {STRENGTH} limit 1)
+select 'revenue ' || case when change < 0 then 'decreased' else 'increased' end || ' ' || printf('%.1f', abs(change / previous_total * 100)) || '% from ' || strftime((previous_period || '-01')::date, '%B %Y') || ' to ' || strftime((current_period || '-01')::date, '%B %Y')
+ || '. The largest contributor was ' || dimension || ': ' || segment || '. We are ' || confidence || '% confident in this explanation. If it had stayed flat, revenue would have been about ' || format('{{:,}}', cast(round(counterfactual) as bigint)) || '.' as summary from head, one""")
 def change_summary(spark, sf_dir):
     e = _explained(spark, sf_dir)
     return ex.summary(e["headline"], e["causes"])
@@ -160,7 +163,23 @@ def outlier_sensitivity(spark, sf_dir):
     return ex.outlier_sensitivity(flagged, "amount", "order_date", ["priority", "status"])
 
 
-@query()
+def _causes_sql(name: str, rows: str) -> str:
+    """The causes of rows with priority and status, ranked."""
+    rank = "case dimension when 'priority' then 0 else 1 end"
+    return f"""{name}_all as (select dimension, segment, cast(sum(case when period = p then amount else 0 end) as double) as previous, cast(sum(case when period = c then amount else 0 end) as double) as current,
+    cast(sum(case when period = c then amount else -amount end) as double) as impact, count(*) as records from (select period, amount, unnest(['priority', 'status']) as dimension, unnest([priority, status]) as segment from {rows})
+    join {name}_head on period in (p, c) group by dimension, segment),
+{name}_meas as (select *, case when ch = 0 then 0.0::double else least(1.0::double, abs(impact) / abs(ch)) end as share, ct - impact as counterfactual, ch = 0 or sign(impact) = sign(ch) as same from {name}_all,
+    (select cast(change as double) as ch, cast((select total from {name}_months where period = c) as double) as ct from {name}_head) where impact <> 0),
+{name}_top as (select dimension, segment, previous, current, impact, records, share, cast(round(least(99, 65 + 34 * share)) as int) as confidence, counterfactual,
+    row_number() over (order by abs(impact) desc, {rank}, segment) as rank from (select * from {name}_meas where same or not (select bool_or(same) from {name}_meas) order by abs(impact) desc, {rank}, segment limit 5))"""
+
+
+@query(f"""with {SPIKED}, calm_rows as (select * from flagged where not is_outlier), {_side("a", "flagged")}, {_side("b", "calm_rows")}, {_causes_sql("a", "flagged")}, {_causes_sql("b", "calm_rows")},
+w as (select coalesce(sum(case when period = a.c then amount else -amount end), 0) as x from (select period, amount, unnest(['priority', 'status']) as dimension, unnest([priority, status]) as segment from calm_rows) r
+  join a on r.dimension = a.dimension and r.segment = a.segment and r.period in (a.p, a.c)),
+ch as (select a.dimension is not null and b.dimension is not null and (a.dimension <> b.dimension or a.segment <> b.segment or abs(cast(a.impact as double) - cast(x as double)) >= greatest(1, abs(cast(a.impact as double)) * 0.5)) as changed from a, b, w)
+select * from a_top where not (select changed from ch) union all select * replace (least(confidence, 65) as confidence) from b_top where (select changed from ch)""")
 def robust_causes(spark, sf_dir):
     rows = _spiked(spark, sf_dir).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
     return ex.explain_robustly(review.outliers(rows, ["amount"]), "amount", "order_date", ["priority", "status"])
@@ -416,12 +435,20 @@ def cleaned_rows(spark, sf_dir):
     return clean.review_table(raw, _profiles(raw), fuzzy=False).select("row_number", "Order Date", "Net Sales", "Type", "Segment", "excluded")
 
 
-@query()
+@query("""with o as (select *, case when o_orderkey % 50 in (7, 9) then null when o_orderkey % 6 in (1, 3, 4) then -o_totalprice else o_totalprice end as v from orders),
+b as (select q1 - 1.5 * (q3 - q1) as low, q3 + 1.5 * (q3 - q1) as high from (select quantile_cont(v, 0.25) as q1, quantile_cont(v, 0.75) as q3 from o)),
+n as (select count(*) filter (v < low or v > high) as outliers, count(*) filter (v is not null) as numbers, count(*) filter (o_orderkey % 4 <> 0) as days, count(*) filter (o_orderkey % 3 = 0) as spaces,
+  count(*) filter (o_orderkey % 50 = 7) as missing, count(*) filter (o_orderkey % 50 = 9) as invalid from o, b)
+select key, title, n, severity from (select 'duplicates' as key, 'Exact duplicates excluded' as title, 0 as n, 'info' as severity union all select 'possible', 'Possible duplicates flagged', 0, 'info'
+ union all select 'outliers', 'Outliers flagged for review', outliers, case when outliers > 0 then 'warning' else 'info' end from n union all select 'change:Standardised numeric or currency value', 'Standardised numeric or currency value', numbers, 'success' from n
+ union all select 'change:Standardised date', 'Standardised date', days, 'success' from n union all select 'change:Standardised category whitespace', 'Standardised category whitespace', spaces, 'success' from n
+ union all select 'issue:missing', 'Issue: missing', missing, 'warning' from n union all select 'issue:invalid-number', 'Issue: invalid-number', invalid, 'warning' from n
+ union all select 'issue:outlier', 'Issue: outlier', outliers, 'warning' from n) where n > 0 or key in ('duplicates', 'possible', 'outliers')""")
 def cleaning_log(spark, sf_dir):
     from ..operators import clean
 
     raw = _dirty_orders(spark, sf_dir)
-    return clean.cleaning_log(clean.review_table(raw, _profiles(raw)))
+    return clean.cleaning_log(clean.review_table(raw, _profiles(raw))).select("key", "title", "n", "severity")
 
 
 def _dirty_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,13 +474,13 @@ def fuzzy_merge(spark, sf_dir):
 
 @query("""with v as (select 'product' as "column", p_name as value, count(*) as n from part group by p_name union all select 'word', split_part(p_name, ' ', 2), count(*) from part group by 2),
 w as (select value, sum(n) as n from v group by value)
-select a.value as contained, b.value as containing, cast(a.n as bigint) as contained_n, cast(b.n as bigint) as containing_n from w a join w b on length(b.value) > length(a.value) and contains(' ' || b.value || ' ', ' ' || a.value || ' ')""")
+select 'containment-' || sha256('["product","' || a.value || '","' || b.value || '"]') as id, a.value as contained, b.value as containing, cast(a.n as bigint) as contained_n, cast(b.n as bigint) as containing_n from w a join w b on length(b.value) > length(a.value) and contains(' ' || b.value || ' ', ' ' || a.value || ' ')""")
 def containment(spark, sf_dir):
     from ..operators import categories
 
     p = table(spark, sf_dir, "part")
     names = p.select(F.col("p_name").alias("product")).unionByName(p.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("product")))
-    return categories.containment(names, ["product"]).select("contained", "containing", "contained_n", "containing_n")
+    return categories.containment(names, ["product"]).select("id", "contained", "containing", "contained_n", "containing_n")
 
 
 @query("""select code, cast(sum(w) as bigint) as score from (select 'USD' as code, 1 as w from orders where o_orderkey % 6 = 0 union all select 'EUR', 5 + 4 from orders where o_orderkey % 6 = 4) group by code""")
@@ -464,7 +491,7 @@ def currency_votes(spark, sf_dir):
     return currency.votes(o.select(_dirty_amount(F.col("o_orderkey"), F.col("o_totalprice")).alias("value")))
 
 
-@query("select o_orderkey as row_number, o_totalprice as amount from orders order by o_orderkey limit 50 offset 100")
+@query("select o_orderkey as row_number, o_totalprice as amount, (select count(*) from orders) as total_rows from orders order by o_orderkey limit 50 offset 100")
 def preview_page(spark, sf_dir):
     from ..sources import store
 
@@ -505,10 +532,10 @@ def cause_impact(spark, sf_dir):
     return ex.cause_impact(e["totals"], e["headline"], "region", "EUROPE")
 
 
-@query("select event_id + 1000000000 as row_number from events where event_id % 10 = 3 and event_type <> 'click'")
+@query("select event_id + 1000000000 as row_number from events where event_id % 10 = 3")
 def stored_duplicates(spark, sf_dir):
     """Rows that are already stored, by signature."""
-    both = _doubled(spark, sf_dir).where("event_type <> 'click'")
+    both = _doubled(spark, sf_dir)
     signed = both.withColumn("row_signature", review.row_signature(["ts", "user_id", "event_type", "value", "props"]))
     new, stored = signed.where("row_number >= 1000000000"), signed.where("row_number < 1000000000")
     return new.join(review.novel_rows(new, stored).select("row_number"), "row_number", "left_anti").select("row_number")
