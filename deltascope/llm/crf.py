@@ -1,15 +1,18 @@
 """Quality classifier: a linear-chain conditional random field over the lines of a text.
 
 Each line is good or bad, given features of the line and of its neighbours and the state
-of the line before. It is trained on lines that bear their document's label, by gradient
-ascent on the exact conditional likelihood. A document's score is the length-weighted
+of the line before. It is trained by gradient ascent on the exact conditional likelihood of
+line labels: the document's, but for lines that look by themselves surely of the other kind. A document's score is the length-weighted
 mean of its lines' forward-backward marginals, put on the scale of a probability by a
 logistic fit on the training documents.
 
-Training takes at most TRAIN_DOCS labelled documents (those whose ids hash lowest), so
-that the driver's share is bounded; every text is scored whole. Nulls are empty texts;
+Training takes at most TRAIN_DOCS labelled documents (those whose ids hash lowest, one text
+for an id) of at most TRAIN_LINES lines, so that the driver's share is bounded; every text
+is scored whole, however long. Nulls are empty texts;
 an empty text is one empty line and gets a score like any other; repeated rows are scored
-alike; an empty table gives no rows; without labels of both kinds the score is 0.5.
+alike; of texts that share a doc_id the one of the lowest hash is learned from; equal scores
+are left equal; `keep_good` keeps all columns, whatever their names, and each row by its own
+text, and all rows where there is no model; an empty table gives no rows; without labels of both kinds the score is 0.5.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ from pyspark.sql import functions as F
 from .common import crc_mod, spans_of
 from .textarrays import Texts, slices
 
-TRAIN_DOCS = 3000
+#: Bounds of the sample that is learned from: labelled documents, and lines of one of them.
+TRAIN_DOCS, TRAIN_LINES = 3000, 5000
 STEPS = 120
+#: How sure a line must look by itself to have another label than its document.
+SURE = 0.9
 FOLDS, HELD_OUT = 3, 1
 
 
@@ -186,40 +192,62 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def train(features: np.ndarray, text_of_line: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Model:
-    """Exact conditional likelihood by Adam; the penalty also holds the steps between
-    lines back, as lines of a document are labelled alike."""
-    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
-    x = (features - mean) / scale
-    chain = Chain.of(text_of_line)
-    y = labels[text_of_line].astype(np.float64)
-    joins = np.flatnonzero(text_of_line[1:] == text_of_line[:-1])
-    observed = np.bincount((2 * y[joins] + y[joins + 1]).astype(int), minlength=4).reshape(2, 2)
-    # a document counts once, however many lines it has
-    weight = 1.0 / np.bincount(text_of_line)[text_of_line]
-    n = len(labels)
+def ascend(x: np.ndarray, chain: Chain, joins: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, steps: int, penalty: float, linked: bool) -> np.ndarray:
+    """Weights, bias and (if linked) the four steps between states of greatest conditional
+    likelihood of the line labels y, by Adam."""
     theta = np.zeros(x.shape[1] + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    del observed
     for step in range(1, steps + 1):
         w, bias, move = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
         e = x @ w + bias
-        a, b = forward_backward(chain, e, move)
-        p = sigmoid(a + b)
-        grad = np.empty_like(theta)
-        residual = (y - p) * weight
+        a, b = forward_backward(chain, e, move) if linked else (e, np.zeros_like(e))
+        grad = np.zeros_like(theta)
+        residual = (y - sigmoid(a + b)) * weight
         grad[:-5], grad[-5] = residual @ x / n, residual.sum() / n
-        left, right = a[joins], e[joins + 1] + b[joins + 1]
-        pair = np.stack([np.zeros_like(left) + move[0, 0], right + move[0, 1], left + move[1, 0], left + right + move[1, 1]], axis=1)
-        pair = np.exp(pair - pair.max(axis=1, keepdims=True))
-        pair /= pair.sum(axis=1, keepdims=True)
-        seen = np.zeros_like(pair)
-        seen[np.arange(len(joins)), (2 * y[joins] + y[joins + 1]).astype(int)] = 1
-        grad[-4:] = (weight[joins, None] * (seen - pair)).sum(axis=0) / n
+        if linked:
+            left, right = a[joins], e[joins + 1] + b[joins + 1]
+            pair = np.stack([np.zeros_like(left) + move[0, 0], right + move[0, 1], left + move[1, 0], left + right + move[1, 1]], axis=1)
+            pair = np.exp(pair - pair.max(axis=1, keepdims=True))
+            pair /= pair.sum(axis=1, keepdims=True)
+            seen = np.zeros_like(pair)
+            seen[np.arange(len(joins)), (2 * y[joins] + y[joins + 1]).astype(int)] = 1
+            grad[-4:] = (weight[joins, None] * (seen - pair)).sum(axis=0) / n
         grad -= penalty * theta
-        grad[-4:] -= 0.02 * theta[-4:]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return theta
+
+
+def line_labels(p: np.ndarray, text_of_line: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Labels of lines from those of their documents: a line that looks by itself surely
+    (SURE) of the other kind has that label. A bad document keeps its worst line bad, and a
+    good one is good in most of its length, else all its lines bear its label."""
+    y = labels[text_of_line].astype(np.float64)
+    other = np.where(y > 0, p < 1 - SURE, p > SURE)
+    n = len(labels)
+    worst = np.full(n, np.inf)
+    np.minimum.at(worst, text_of_line, p)
+    other &= (y > 0) | (p > worst[text_of_line])
+    turned = np.bincount(text_of_line, lengths * other, n) / np.bincount(text_of_line, lengths, n)
+    other &= (y == 0) | (turned[text_of_line] < 0.5)
+    return np.where(other, 1 - y, y)
+
+
+def train(features: np.ndarray, text_of_line: np.ndarray, lengths: np.ndarray, labels: np.ndarray, steps: int = STEPS, penalty: float = 1e-3) -> Model:
+    """Lines first bear their document's label, and are told apart one by one; then lines
+    that are surely of the other kind change their label, and the chain is trained on these,
+    so that its steps learn where good and bad lines meet in a document."""
+    mean, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
+    x = (features - mean) / scale
+    chain = Chain.of(text_of_line)
+    joins = np.flatnonzero(text_of_line[1:] == text_of_line[:-1])
+    # a document counts once, however many lines it has
+    weight = 1.0 / np.bincount(text_of_line)[text_of_line]
+    n = len(labels)
+    own = labels[text_of_line].astype(np.float64)
+    theta = ascend(x, chain, joins, own, weight, n, steps, penalty, False)
+    y = line_labels(sigmoid(x @ theta[:-5] + theta[-5]), text_of_line, lengths, labels)
+    theta = ascend(x, chain, joins, y, weight, n, steps, penalty, True)
     model = Model(mean, scale, theta[:-5].copy(), float(theta[-5]), theta[-4:].reshape(2, 2).copy())
     # logistic fit of the labels on the aggregate, by Newton steps
     z = np.stack([logit(model.raw(features, text_of_line, lengths, n)), np.ones(n)], axis=1)
@@ -243,11 +271,13 @@ def training_lines(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS):
             for lo, hi, t in slices(batch["text"]):
                 features, of, lengths = line_features(t)
                 edges = np.searchsorted(of, np.arange(t.n + 1))
+                fits = pa.array(np.diff(edges) <= TRAIN_LINES)
                 rows = [features[a:b].astype("<f4").tobytes() for a, b in zip(edges, edges[1:])]
                 sizes = [lengths[a:b].astype("<i8").tobytes() for a, b in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), batch["_label"].slice(lo, hi - lo), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "label", "features", "sizes"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), batch["_label"].slice(lo, hi - lo), pa.array(rows, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "label", "features", "sizes"]).filter(fits)
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", F.col("_label").cast("int").alias("_label"))
+    picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `limit` rows of ids
+    picked = picked.groupBy("doc_id").agg(F.max("_label").cast("int").alias("_label"), F.min_by("text", F.xxhash64("text")).alias("text"))
     return picked.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toPandas().sort_values(["doc_id", "features"], kind="stable")
 
 

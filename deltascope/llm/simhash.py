@@ -491,7 +491,9 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
     another group bring their shingles.
     Nulls are empty texts; texts without words are copies of each other; rows that share
     a doc_id but not their text stay or go each by its own text, and rows of a group that
-    have the smallest doc_id stay; rows whose doc_id is null stay.
+    have the smallest doc_id stay; rows whose doc_id is null stay; repeated rows stay or go
+    together; texts are compared whole, however long; an empty table gives no rows; columns
+    may have any names.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut(set_prints(slim, shingle), "copies")
@@ -526,17 +528,23 @@ def drop_near_copies(docs: DataFrame, k: int = 6, similarity: float = 0.8, shing
     best = named.groupBy("root").agg(F.min("first").alias("winner"))
     final = cut(named.join(best, "root").select("key", "winner"), "copies-winners")
     judged = prints.select("doc_id", "key").join(final, "key").where("doc_id is not null").withColumn("goes", F.col("doc_id") != F.col("winner"))
-    per_id = judged.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_and("goes").alias("_all"), F.bool_or("goes").alias("_some"))
-    gone = cut(per_id.where("_some"), "copies-gone")
-    whole, mixed = gone.where("_all").select("_id"), gone.where("not _all").select("_id")
-    id_ = docs["doc_id"].cast("long")
+
+    def free(name: str) -> str:
+        """An inner column's name that no column of the documents has."""
+        return name if name not in docs.columns else free(name + "_")
+
+    id_, key_, gone_ = map(free, ("_id", "_key", "_gone"))
+    per_id = judged.groupBy(F.col("doc_id").alias(id_)).agg(F.bool_and("goes").alias("all_"), F.bool_or("goes").alias("some_"))
+    gone = cut(per_id.where("some_"), "copies-gone")
+    whole, mixed = gone.where("all_").select(id_), gone.where("not all_").select(id_)
+    own = docs["doc_id"].cast("long")
     if mixed.isEmpty():
-        return docs.join(whole, id_ == F.col("_id"), "left_anti")
+        return docs.join(whole, own == F.col(id_), "left_anti")
     # ids of which one text goes and another stays: the row's own text decides
-    keyed = with_keys(docs.join(mixed, id_ == F.col("_id"), "left_semi"), "_key")
-    texts = judged.where("goes").select(F.col("doc_id").alias("_id"), F.col("key").alias("_gone")).join(mixed, "_id").distinct()
-    stay = keyed.join(texts, (keyed["doc_id"].cast("long") == F.col("_id")) & (F.col("_key") == F.col("_gone")), "left_anti").drop("_key")
-    return docs.join(gone.select("_id"), id_ == F.col("_id"), "left_anti").unionByName(stay)
+    keyed = with_keys(docs.join(mixed, own == F.col(id_), "left_semi"), key_)
+    texts = judged.where("goes").select(F.col("doc_id").alias(id_), F.col("key").alias(gone_)).join(mixed, id_).distinct()
+    stay = keyed.join(texts, (keyed["doc_id"].cast("long") == F.col(id_)) & (F.col(key_) == F.col(gone_)), "left_anti").drop(key_)
+    return docs.join(gone.select(id_), own == F.col(id_), "left_anti").unionByName(stay)
 
 
 def band_partners(rooted: DataFrame) -> DataFrame:
