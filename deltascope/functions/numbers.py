@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import base_text, let, missing
+from .text import bare_text, let, missing
 
 #: Currency codes and symbols that may stand beside a number.
 CODES = (
@@ -59,7 +59,7 @@ def parse_number(c: Column) -> Column:
     return (
         F.when(c.rlike(r"^-?\d+(?:\.\d+)?$"), c.try_cast("double"))
         .when(grouped, F.regexp_replace(c, "[$,]", "").try_cast("double"))
-        .otherwise(let(F.regexp_replace(base_text(c), "^'", ""), bare))
+        .otherwise(let(F.regexp_replace(bare_text(c), "^'", ""), bare))
     )
 
 

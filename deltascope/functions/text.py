@@ -87,19 +87,31 @@ def unicode_form(c: Column, form: str) -> Column:
 PLAIN = r"^[\x21-\x7e](?:[\x20-\x7e]*[\x21-\x7e])?$"
 
 
+def _trimmed(c: Column) -> Column:
+    c = F.regexp_replace(c, "[\u00ad\u200b-\u200d\u2060\ufeff]", "")
+    return F.regexp_replace(F.regexp_replace(c, "\u00a0", " "), r"^\s+|\s+$", "")
+
+
+def bare_text(c: Column) -> Column:
+    """Base text that is not composed: enough where marked letters do not matter, as in
+    numbers, dates and placeholders, and a smaller plan."""
+    c = c.cast("string")
+    return F.when(c.rlike(PLAIN), c).otherwise(_trimmed(let(F.coalesce(c, F.lit("")), repair_mojibake)))
+
+
 def base_text(c: Column) -> Column:
     """Repaired, without invisible format characters, composed, no-break spaces as spaces,
     trimmed; null as empty. Plain text takes one test."""
     c = c.cast("string")
-    t = let(F.coalesce(c, F.lit("")), repair_mojibake)
-    t = let(F.regexp_replace(t, "[\u00ad\u200b-\u200d\u2060\ufeff]", ""), composed)
-    t = F.regexp_replace(F.regexp_replace(t, "\u00a0", " "), r"^\s+|\s+$", "")
-    return F.when(c.rlike(PLAIN), c).otherwise(t)
+    return F.when(c.rlike(PLAIN), c).otherwise(let(_trimmed(let(F.coalesce(c, F.lit("")), repair_mojibake)), composed))
+
+
+def _plain_words(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(c, "[._-]+", " "), r"\s+", " ")))
 
 
 def normalise(c: Column) -> Column:
-    c = F.regexp_replace(base_text(c), "[._-]+", " ")
-    return F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    return _plain_words(base_text(c))
 
 
 def missing(c: Column) -> Column:
@@ -107,7 +119,7 @@ def missing(c: Column) -> Column:
     letters alone needs no normalising."""
     c = c.cast("string")
     letters = c.rlike("^[A-Za-z]+$")
-    return F.when(c.rlike("[0-9]"), False).when(letters, F.lower(c).isin(*MISSING)).otherwise(normalise(c).isin(*MISSING))
+    return F.when(c.rlike("[0-9]"), False).when(letters, F.lower(c).isin(*MISSING)).otherwise(_plain_words(bare_text(c)).isin(*MISSING))
 
 
 #: Accented letters of Latin-1 and Latin Extended-A, and the plain ones.

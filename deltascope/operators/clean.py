@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import is_ambiguous, parse_date, parts_date
 from ..functions.numbers import derived_amount, parse_number
-from ..functions.text import UNKNOWN, base_text, category_text, missing, normalise, title_case
+from ..functions.text import UNKNOWN, bare_text, base_text, category_text, missing, normalise, title_case
 from ..sources.scratch import materialise, spread
 from .categories import apply_replacements, reconcile, simple_replacements
 from .profile import Column, date_of, metric_of
@@ -71,7 +71,7 @@ def clean(rows: DataFrame, columns: list[Column], order: str = "row_number") ->
         raw, none = _raw(c.name), F.col(f"_none_{c.name}")
         if c.kind == "number":
             v = F.col(c.name)
-            bare = F.regexp_replace(base_text(raw), ",", "")
+            bare = F.regexp_replace(bare_text(raw), ",", "")
             same = bare.rlike(r"^-?(0|[1-9]\d*)(\.\d*[1-9])?$") & (bare.try_cast("double") == v)
             changes.append(when(v.isNotNull() & ~F.coalesce(same, F.lit(False)), change(c.name, raw, v, NUMBER)))
             issues.append(when(none, issue("missing", c.name, "Missing numeric value")))
