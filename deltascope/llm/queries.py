@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import rules, urlfilter
+from . import linededup, rules, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import turns
+
+    return turns.repaired_damage(table(spark, sf_dir, "conversations"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_packing": op2_packing,
@@ -85,5 +95,7 @@ QUERIES = {
     "op8_urls": op8_urls,
     "op9_secrets": op9_secrets,
     "op10_id_files": op10_id_files,
+    "op11_turns": op11_turns,
+    "op12_lines": op12_lines,
 }
-ORACLES: dict[str, str] = {"op6_rules": rules.ORACLE, "op8_urls": urlfilter.oracle()}
+ORACLES: dict[str, str] = {"op6_rules": rules.ORACLE, "op8_urls": urlfilter.oracle(), "op12_lines": linededup.ORACLE}
