@@ -139,9 +139,9 @@ def digests(docs: DataFrame, **how) -> DataFrame:
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS at FROM d),
-k AS (SELECT doc_id, at, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
+l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM d),
+k AS (SELECT doc_id, place, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM l),
 often AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= {MIN_CHARS} GROUP BY key HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
-m AS (SELECT k.doc_id, at, line, often.key IS NOT NULL AND k.doc_id <> keeper AS gone FROM k LEFT JOIN often USING (key))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+m AS (SELECT k.doc_id, place, line, often.key IS NOT NULL AND k.doc_id <> keeper AS gone FROM k LEFT JOIN often USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id"""

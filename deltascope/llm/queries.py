@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, rules, urlfilter
+from . import linededup, negatives, rules, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_leaks": op1_leaks,
     "op2_packing": op2_packing,
@@ -97,5 +101,6 @@ QUERIES = {
     "op10_id_files": op10_id_files,
     "op11_turns": op11_turns,
     "op12_lines": op12_lines,
+    "op13_negatives": op13_negatives,
 }
-ORACLES: dict[str, str] = {"op6_rules": rules.ORACLE, "op8_urls": urlfilter.oracle(), "op12_lines": linededup.ORACLE}
+ORACLES: dict[str, str] = {"op6_rules": rules.ORACLE, "op8_urls": urlfilter.oracle(), "op12_lines": linededup.ORACLE, "op13_negatives": negatives.ORACLE}
