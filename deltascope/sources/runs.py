@@ -1,7 +1,6 @@
 """Levelled sorted runs: a growing table of keys that is never rewritten as a whole.
 
-Each batch adds one run: rows bucketed by key, sorted within their bucket, with a Parquet
-Bloom filter on the first key. Once a level holds `fanout` runs they are merged into one of
+Each batch adds one run: rows bucketed by key, sorted within their bucket. Once a level holds `fanout` runs they are merged into one of
 the next level, so a table of n batches has some fanout * log(n) runs. A batch is joined with
 the runs bucket by bucket: it is dealt out once, the runs are read where they lie, and
 stored rows are shuffled only when runs are merged. Which runs count is said by a manifest that each change commits.
@@ -31,10 +30,13 @@ class LevelledRuns:
 
     `merge` gives for each other column how rows of one key become one in a compaction.
     `near`, if named, is a column that equal keys agree on and that batches are narrow in (a
-    day, say): runs are sorted by it first and a batch reads only its own range of it."""
+    day, say): runs are sorted by it first and a batch reads only its own range of it. With
+    `lookups` runs have Bloom filters and short pages, and small batches put their keys
+    into the scan."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], merge: Mapping[str, Callable[[str], Column]], near: str | None = None, buckets: int = 16, fanout: int = 4) -> None:
-        self.spark, self.path, self.schema, self.keys, self.merge, self.near, self.fanout = spark, path.rstrip("/"), schema, list(keys), dict(merge), near, fanout
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], merge: Mapping[str, Callable[[str], Column]], near: str | None = None, buckets: int = 16, fanout: int = 4, lookups: bool = False) -> None:
+        self.spark, self.path, self.schema, self.keys, self.merge = spark, path.rstrip("/"), schema, list(keys), dict(merge)
+        self.near, self.fanout, self.lookups = near, fanout, lookups
         self.manifest = Manifest(spark, path)
         self.buckets = self.manifest.read()[1].get("buckets", buckets)  # as the stored runs have them
 
@@ -47,8 +49,9 @@ class LevelledRuns:
         order = [c for c in (self.near, *self.keys) if c]
         dealt = rows.repartition(self.buckets, *self.keys).sortWithinPartitions(*order)
         writer = dealt.write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*order).option("path", f"{self.path}/{name}")
-        bloom = {f"parquet.bloom.filter.enabled#{self.keys[0]}": "true", "parquet.page.row.count.limit": "2000", "compression": "zstd"}
-        writer.options(**bloom).saveAsTable(name)
+        if self.lookups:
+            writer = writer.options(**{f"parquet.bloom.filter.enabled#{self.keys[0]}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.page.row.count.limit": "2000"})
+        writer.option("compression", "zstd").saveAsTable(name)
         return {"name": name, "level": level, "batches": batches}
 
     def _table(self, name: str) -> DataFrame:
@@ -127,6 +130,7 @@ class LevelledRuns:
             low, high = rows.agg(F.min(self.near), F.max(self.near)).first()
             if low is not None:
                 conditions.append(F.col(self.near).between(low, high))
+        if self.lookups:
             first = [r[0] for r in rows.select(self.keys[0]).distinct().limit(LITERALS + 1).collect()]
             if 0 < len(first) <= LITERALS:
                 conditions.append(F.col(self.keys[0]).isin(first))
