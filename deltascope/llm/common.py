@@ -54,6 +54,12 @@ def drop_dir(table: DataFrame) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
     """Within it, Spark deletes a query's shuffle files when the query is done; every table

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.runs import LevelledRuns
-from .common import LOWER, UPPER, cut, drop_dir, new_dir, texts
+from .common import LOWER, UPPER, cut, drop_dir, new_dir, stored_bytes, texts
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Batches that one table is taken in.
 BATCHES = 4
-BUCKETS = 32
+#: Bytes of written line hashes that one bucket of the runs is made for, and the fewest and
+#: most buckets.
+BUCKET_BYTES, BUCKETS = 64 << 20, (4, 8192)
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 RUN = "h1 bigint, h2 bigint, documents bigint, keeper bigint"
 #: Stands for a null doc_id, which no other id is less than.
@@ -54,7 +56,7 @@ def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return kept.select("doc", "of", "at", F.xxhash64(F.lit(1), "key").alias("h1"), F.xxhash64(F.lit(2), "key").alias("h2"))
 
 
-def open_runs(spark: SparkSession, path: str, buckets: int = BUCKETS) -> LevelledRuns:
+def open_runs(spark: SparkSession, path: str, buckets: int = BUCKETS[0]) -> LevelledRuns:
     return LevelledRuns(spark, path, RUN, ["h1", "h2"], {"documents": F.sum, "keeper": F.max}, buckets=buckets)
 
 
@@ -70,7 +72,7 @@ def add_batch(runs: LevelledRuns, batch: DataFrame, name: str) -> None:
     runs.add(runs.marked(batch, name).select("h1", "h2", "documents", keeper), name)
 
 
-def repeated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, buckets: int = BUCKETS) -> DataFrame:
+def repeated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES, buckets: int | None = None) -> DataFrame:
     """doc, of, dropped: the places of the lines that each text loses, where it loses any."""
     spark = docs.sparkSession
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST))
@@ -82,6 +84,7 @@ def repeated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHA
     lines(docs, min_chars).withColumn("batch", number).write.partitionBy("batch").parquet(path, compression="zstd")
     found = spark.read.schema(schema).parquet(path)
     found.scratch = path
+    buckets = buckets or max(BUCKETS[0], min(BUCKETS[1], stored_bytes(spark, path) // BUCKET_BYTES))
     runs = open_runs(spark, new_dir(spark, "line-runs"), buckets)
     for i in range(len(set(cuts)) + 1):
         add_batch(runs, held(found.where(F.col("batch") == i)), str(i))
@@ -102,7 +105,9 @@ def _kept(text: str, dropped: list[int] | None) -> tuple[str, int, int]:
 
 
 def _joined(docs: DataFrame, **how) -> DataFrame:
-    return _keyed(docs).join(repeated(docs, **how), ["doc", "of"], "left")
+    """Always dealt out by document: broadcasting the places while they are few would only
+    hide what the join costs once they are many."""
+    return _keyed(docs).join(repeated(docs, **how).hint("merge"), ["doc", "of"], "left")
 
 
 def drop_repeated(docs: DataFrame, **how) -> DataFrame:

@@ -259,8 +259,8 @@ def mine(rows: DataFrame, anchor_every: int = ANCHOR_EVERY, block_rows: int = RO
 
 ORACLE = f"""
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % {RELABELLED_EVERY} = 0 THEN (label + 1) % {LABELS} ELSE label END AS label,
-  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
   FROM e a JOIN e b ON a.vec_id % {ANCHOR_EVERY} = 0 AND a.vec_id <> b.vec_id),
 p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE alike
