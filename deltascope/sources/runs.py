@@ -25,12 +25,31 @@ from .manifest import Manifest
 LITERALS = 5000
 
 
+#: Literals of one IN; Parquet takes an IN apart into a chain of that depth.
+CHAIN = 200
+
+
+def push_literals(spark: SparkSession) -> None:
+    """Let scans of this session test chains of literals against Bloom filters and pages."""
+    spark.conf.set("spark.sql.parquet.pushdown.inFilterThreshold", str(CHAIN))
+
+
+def one_of(column: str, values: Sequence[int]) -> Column:
+    """column IN values, in short chains of neighbouring values, joined as a balanced tree."""
+    values = sorted(values)
+    parts = [F.col(column).isin(values[i : i + CHAIN]) for i in range(0, len(values), CHAIN)]
+    while len(parts) > 1:
+        parts = [a | b for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) & ~1 :]
+    return parts[0]
+
+
 class LevelledRuns:
     """Runs of rows (`schema`, a DDL text) under `path`, keyed by the long columns `keys`.
 
     `merge` gives for each other column how rows of one key become one in a compaction.
     `near`, if named, is a column that equal keys agree on and that batches are narrow in (a
-    day, say): runs are sorted by it first and a batch reads only its own range of it. With
+    day, say): runs are sorted by it first, the manifest has their ranges of it, and a batch
+    reads only its own range. With
     `lookups` runs have Bloom filters and short pages, and small batches put their keys
     into the scan."""
 
@@ -52,7 +71,11 @@ class LevelledRuns:
         if self.lookups:
             writer = writer.options(**{f"parquet.bloom.filter.enabled#{self.keys[0]}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.page.row.count.limit": "2000"})
         writer.option("compression", "zstd").saveAsTable(name)
-        return {"name": name, "level": level, "batches": batches}
+        made = {"name": name, "level": level, "batches": batches}
+        if self.near:
+            low, high = self._table(name).agg(F.min(self.near), F.max(self.near)).first()  # from the footers
+            made |= {"low": low, "high": high}
+        return made
 
     def _table(self, name: str) -> DataFrame:
         """A run as a bucketed table; in a new session it is made known to the catalogue again."""
@@ -91,6 +114,8 @@ class LevelledRuns:
         a union of bucketed ones would be taken for bucketed, and keys left apart."""
         rows = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{n}" for n in names])
         keys = [c for c in (self.near, *self.keys) if c]
+        if not self.merge:
+            return rows.distinct()
         return rows.groupBy(*keys).agg(*[how(c).alias(c) for c, how in self.merge.items()]).select(*rows.columns)
 
     def totals(self) -> DataFrame:
@@ -106,41 +131,37 @@ class LevelledRuns:
     def marked(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
         """The rows with `known`: whether a run holds their key. One merge join a run, all in
         one stage. What the batch of this label has stored itself does not count."""
-        scanned, on = self._narrowed(rows), [c for c in (self.near, *self.keys) if c]
         out, found = rows.repartition(self.buckets, *self.keys), F.lit(False)
-        for i, r in enumerate(self._before(batch)):
-            out = out.join(scanned(self._table(r["name"])).select(*on, F.lit(True).alias(f"_in{i}")), on, "left")
+        for i, run in enumerate(self._looked_at(rows, batch)):
+            out = out.join(run.withColumn(f"_in{i}", F.lit(True)), run.columns, "left")
             found = found | F.col(f"_in{i}").isNotNull()
         return out.select(*rows.columns, found.alias("known"))
 
     def absent(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
-        """The rows whose key no run holds: one merge-anti-join a run, in one stage. `rows` should
-        be a written table, as its keys are looked at first."""
-        scanned = self._narrowed(rows)
-        fresh, on = rows.repartition(self.buckets, *self.keys), [c for c in (self.near, *self.keys) if c]
-        for r in self._before(batch):
-            fresh = fresh.join(scanned(self._table(r["name"])).select(*on), on, "left_anti")
+        """The rows whose key no run holds: one merge-anti-join a run, in one stage. With `near`
+        or `lookups` the rows are looked at first and should be a written table."""
+        fresh = rows.repartition(self.buckets, *self.keys)
+        for run in self._looked_at(rows, batch):
+            fresh = fresh.join(run, run.columns, "left_anti")
         return fresh
 
-    def _narrowed(self, rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        """What of a run can concern the rows: their range of `near`, and their keys where
-        these are few enough for literals."""
-        conditions = []
+    def _looked_at(self, rows: DataFrame, batch: str | None) -> list[DataFrame]:
+        """The keys of what can concern the rows: of the runs whose range of `near` meets theirs
+        the part in that range, and only their keys where these are few enough for literals."""
+        runs, conditions = self._before(batch), []
         if self.near:
             low, high = rows.agg(F.min(self.near), F.max(self.near)).first()
             if low is not None:
+                runs = [r for r in runs if r["low"] is not None and r["low"] <= high and low <= r["high"]]
                 conditions.append(F.col(self.near).between(low, high))
-        if self.lookups:
+        if self.lookups and runs:
             first = [r[0] for r in rows.select(self.keys[0]).distinct().limit(LITERALS + 1).collect()]
             if 0 < len(first) <= LITERALS:
-                conditions.append(F.col(self.keys[0]).isin(first))
-
-        def narrow(run: DataFrame) -> DataFrame:
-            for c in conditions:
-                run = run.where(c)
-            return run
-
-        return narrow
+                conditions.append(one_of(self.keys[0], first))
+        found = [self._table(r["name"]) for r in runs]
+        for c in conditions:
+            found = [t.where(c) for t in found]
+        return [t.select(*[c for c in (self.near, *self.keys) if c]) for t in found]
 
     def add(self, rows: DataFrame, batch: str) -> None:
         """Store a batch's rows as a run; keys must be unique in it. Nothing is merged here, as
