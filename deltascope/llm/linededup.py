@@ -88,10 +88,12 @@ def repeated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHA
     runs = open_runs(spark, new_dir(spark, "line-runs"), buckets)
     for i in range(len(set(cuts)) + 1):
         add_batch(runs, held(found.where(F.col("batch") == i)), str(i))
-    often = runs.totals().where(F.col("documents") >= min_docs)
-    gone = found.join(often, ["h1", "h2"]).where("doc <> keeper").groupBy("doc", "of").agg(F.collect_set("at").alias("dropped"))
+    # written, so that the lines' side of the join hangs on no aggregation and can be split
+    often = cut(runs.totals().where(F.col("documents") >= min_docs), "lines-often")
+    gone = found.join(often.hint("merge"), ["h1", "h2"]).where("doc <> keeper").groupBy("doc", "of").agg(F.collect_set("at").alias("dropped"))
     out = cut(gone, "lines-dropped")  # a row for each document that loses lines
     drop_dir(found)
+    drop_dir(often)
     runs.drop()
     return out
 
