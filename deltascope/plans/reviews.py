@@ -397,6 +397,18 @@ def csv_round_trip(spark, sf_dir):
     return got.select("id", "label", F.col("price").cast("double").alias("price"))
 
 
+@query("""with d as (select doc_id, regexp_replace(text, chr(13) || chr(10), chr(10), 'g') as t, lang from documents)
+select doc_id, row_number() over (order by doc_id) as row_number, length(t) as n_chars, md5(t) as digest, lang from d""")
+def csv_quoted(spark, sf_dir):
+    """Whole texts, with their line feeds, quotes and commas, written as CSV and read back by
+    as many tasks as there are blocks; rows keep their numbers."""
+    path = scratch_path(spark, "texts") + ".csv"
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    got = readers.read_numbered(spark, path)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), "row_number", F.char_length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"), "lang")
+
+
 @query("select o_orderkey as id, row_number() over (order by o_orderkey) as row_number from orders")
 def numbered_rows(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).repartitionByRange(7, "id").sortWithinPartitions("id")

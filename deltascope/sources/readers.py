@@ -7,18 +7,22 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quoted import OPTIONS, read_quoted
 from .scratch import materialise
 
 
 def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """A table by its extension, from any file system that Spark reads. CSV has a header
     and gives strings as they stand: no type inference, spaces kept, quotes doubled,
-    records over several lines, short rows filled with nulls, blank lines skipped. Without
-    `multi_line` (no line feeds in cells) Spark splits large files among tasks."""
+    records over several lines, short rows filled with nulls, blank lines skipped. Large
+    files are read by many tasks, after one pass that finds where records begin; without
+    `multi_line` (no line feeds in cells) that pass is left out."""
     kind = os.path.splitext(path.rstrip("/"))[1].lower()
     if kind == ".csv":
-        df = spark.read.options(header=True, mode="PERMISSIVE", multiLine=multi_line, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, encoding="UTF-8").csv(path)
-        return df.toDF(*[c.removeprefix("﻿") for c in df.columns])
+        if multi_line:
+            return read_quoted(spark, path, "_record").drop("_record")
+        df = spark.read.options(header=True, encoding="UTF-8", **OPTIONS).csv(path)
+        return df.toDF(*[c.removeprefix("\ufeff") for c in df.columns])
     if kind in (".json", ".jsonl"):
         return spark.read.json(path, primitivesAsString=True)
     if kind == ".parquet":
@@ -26,6 +30,14 @@ def read_table(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
     raise ValueError(f"no reader for {kind or 'files without extension'}: csv, json and parquet are read")
 
 
+def read_numbered(spark: SparkSession, path: str, name: str = "row_number") -> DataFrame:
+    """A table with its rows numbered from 1 in source order. For CSV the numbers come with the
+    places of the records, so the rows are not written first."""
+    if os.path.splitext(path.rstrip("/"))[1].lower() == ".csv":
+        return read_quoted(spark, path, name)
+    return with_row_number(read_table(spark, path), name)
+
+
 def with_row_number(df: DataFrame, name: str = "row_number") -> DataFrame:
     """Consecutive numbers from 1 in source order. Partitions are counted first, then each
     numbers its rows from its base; one number a partition reaches the driver. The rows are
