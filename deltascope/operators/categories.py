@@ -4,16 +4,15 @@ proposals where one value contains another.
 Everything works on the distinct values of a column and their counts; rows are touched
 once, by a join with the replacements. By the rules of the merge, near-duplicates and
 containment are only looked for in columns of at most MANY values: a column with more keeps
-its values apart. `many=None` lifts that; pairs of near-duplicates are then still only built
-between values whose keys' lengths allow the least score.
+its values apart. `many=None` lifts that: neither looks at all pairs of values, near-duplicates
+meet by an untouched part of their keys and decide in parallel rounds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import UNKNOWN, alias, base_text, compact_key, display_form, match_key, normalise, similarity, unicode_form
@@ -59,43 +58,97 @@ def few_values(counts: DataFrame, many: int | None) -> DataFrame:
     return counts.join(small, "column")
 
 
-def pairs_by_length(values: DataFrame, share: float) -> DataFrame:
-    """Pairs (a_.., b_..) of different values of a column whose keys' lengths differ by at
-    most that share of the longer: an equi-join on the column and each length in reach."""
-    n = F.length("key")
-    a = values.withColumn("_n", n).select("column", *[F.col(x).alias(f"a_{x}") for x in values.columns if x != "column"], F.explode(F.sequence(F.ceil(n * (1 - share)).cast("int"), F.floor(n / (1 - share)).cast("int"))).alias("_n"))
-    b = values.select("column", *[F.col(x).alias(f"b_{x}") for x in values.columns if x != "column"], n.alias("_n"))
-    return a.join(b, ["column", "_n"]).where(F.col("a_value") != F.col("b_value")).drop("_n")
+def segments(length: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 1) and size of the i-th of edits + 1 even parts of a key of this length."""
+    size, longer = F.floor(length / (edits + 1)), length % (edits + 1)
+    before = i - 1
+    start = 1 + before * size + F.greatest(F.lit(0), before - (edits + 1 - longer))
+    return start.cast("int"), (size + (i > edits + 1 - longer).cast("int")).cast("int")
+
+
+def close_pairs(values: DataFrame, least: float) -> DataFrame:
+    """Pairs (x_.., y_..) of different values of a column whose keys' similarity is at least
+    `least`, each once, y having the longer key (of equals the greater value), with score.
+
+    Similarity bounds the edits between two keys by the longer one's length. Of k + 1 even
+    parts of the shorter key one is then untouched and found in the longer key, near its
+    place. So the parts are the index, the longer keys' substrings near each part's place
+    are looked up in it by an equi-join, and what meets is measured. No pair of values that
+    share no part is ever built."""
+    edits = lambda n: F.floor(n * (1 - least) + 1e-9).cast("int")
+    kept = [c for c in values.columns if c != "column"]
+    sized = values.withColumn("_n", F.length("key"))
+    longest = F.floor(F.col("_n") / least + 1e-9).cast("int")
+    x = sized.select("column", "_n", *[F.col(c).alias(f"x_{c}") for c in kept], F.explode(F.array_distinct(F.transform(F.sequence("_n", longest), edits))).alias("_k"))
+    x = x.select("*", F.explode(F.sequence(F.lit(1), F.col("_k") + 1)).alias("_i"))
+    start, size = segments(F.col("_n"), F.col("_k"), F.col("_i"))
+    x = x.where(size > 0).withColumn("_part", F.substring("x_key", start, size))
+    y = sized.select("column", F.col("_n").alias("_m"), *[F.col(c).alias(f"y_{c}") for c in kept], edits(F.col("_n")).alias("_k"))
+    y = y.select("*", F.explode(F.sequence(F.greatest(F.lit(1), F.col("_m") - F.col("_k")), F.col("_m"))).alias("_n"))
+    y = y.select("*", F.explode(F.sequence(F.lit(1), F.col("_k") + 1)).alias("_i"))
+    start, size = segments(F.col("_n"), F.col("_k"), F.col("_i"))
+    left, right, moved = F.col("_i") - 1, F.col("_k") + 1 - F.col("_i"), F.col("_m") - F.col("_n")
+    low = F.greatest(F.lit(1), start - left, start + moved - right)
+    high = F.least(F.col("_m") - size + 1, start + left, start + moved + right)
+    y = y.select("*", low.alias("_low"), high.alias("_high"), size.alias("_size")).where("_size > 0 and _low <= _high")
+    y = y.select("*", F.explode(F.sequence("_low", "_high")).alias("_at")).withColumn("_part", F.substring("y_key", F.col("_at"), F.col("_size")))
+    y = y.drop("_low", "_high", "_size", "_at", "_m").distinct()
+    met = x.join(y, ["column", "_n", "_k", "_i", "_part"]).where((F.col("x_value") != F.col("y_value")) & ((F.length("y_key") > F.col("_n")) | (F.col("x_value") < F.col("y_value"))))
+    met = met.select("column", *[f"{p}_{c}" for p in "xy" for c in kept]).distinct()
+    return met.withColumn("score", similarity(F.col("x_key"), F.col("y_key"))).where(F.col("score") >= least)
+
+
+def choose_targets(pairs: DataFrame) -> DataFrame:
+    """column, value, replacement by the sequential rule: values decide in the order of their
+    frequency and name, and a value that was replaced is no target for later ones.
+
+    `pairs` has (a, b) where b may be a target of a. A value's decision hangs only on those of
+    its targets that come before it. So in each round all values decide whose earlier
+    targets have decided; the rounds are as many as the longest chain of such targets, and
+    no column is gathered anywhere."""
+    earlier = (F.col("a_n") == F.col("b_n")) & (F.col("b_value") < F.col("a_value"))
+    pairs = materialise(pairs.withColumn("earlier", earlier), "fuzzy-pairs")
+    left, decided, chosen = pairs, None, []
+    while True:
+        open_values = left.select("column", F.col("a_value").alias("b_value")).distinct().withColumn("waits", F.lit(True))
+        seen = left.join(open_values, ["column", "b_value"], "left")
+        if decided is not None:
+            gone = decided.where("replaced").select("column", F.col("value").alias("b_value")).distinct().withColumn("gone", F.lit(True))
+            seen = seen.join(gone, ["column", "b_value"], "left")
+        else:
+            seen = seen.withColumn("gone", F.lit(None).cast("boolean"))
+        blocked = seen.where("earlier and waits").select("column", "a_value").distinct()
+        ready = seen.join(blocked, ["column", "a_value"], "left_anti")
+        order = Window.partitionBy("column", "a_value").orderBy(F.desc("score"), "b_value")
+        two = ready.where("not (earlier and gone is not null)").withColumn("place", F.row_number().over(order)).where("place <= 2")
+        top = two.groupBy("column", "a_value").agg(F.min_by(F.struct("b_value", "score", "a_key"), "place").alias("t"), F.min("score").alias("second"), F.count("*").alias("n"))
+        strong = (F.col("t.score") >= SCORE) | ((F.length("t.a_key") >= LONG) & (F.length("t.b_value") >= LONG) & (F.col("t.score") >= LONG_SCORE))
+        clear = (F.col("n") == 1) | (F.col("t.score") - F.col("second") >= LEAD)
+        outcome = ready.select("column", "a_value").distinct().join(top, ["column", "a_value"], "left")
+        now = materialise(outcome.select("column", F.col("a_value").alias("value"), F.coalesce(strong & clear, F.lit(False)).alias("replaced"), F.col("t.b_value").alias("replacement")), "fuzzy-round")
+        if now.isEmpty():
+            break
+        chosen.append(now)
+        decided = now if decided is None else decided.unionByName(now)
+        left = pairs.join(decided.select("column", F.col("value").alias("a_value")), ["column", "a_value"], "left_anti")
+    out = pairs.sparkSession.createDataFrame([], "column string, value string, replacement string")
+    for c in chosen:
+        out = out.unionByName(c.where("replaced").select("column", "value", "replacement"))
+    return out
 
 
 def fuzzy_replacements(counts: DataFrame, fixed: DataFrame, many: int | None = MANY) -> DataFrame:
     """Near-duplicates among the values that `fixed` does not replace, rarest first: the
     best target is more frequent (or as frequent and at least as long), similar enough,
-    and well ahead of the runner-up; a replaced value is no target for later ones.
-
-    Pairs and their similarities come from a join; only the order-dependent choice runs
-    for each column by itself, over the scored pairs of at most MANY values."""
+    and well ahead of the runner-up; a replaced value is no target for later ones."""
     keyed = few_values(counts, many).withColumn("key", compact_key(unicode_form(F.col("value"), "NFKD"))).where(F.length("key") >= SHORTEST)
     done = fixed.select("column", "value")
     free = materialise(keyed.join(done, ["column", "value"], "left_anti").select("column", "value", "n", "key"), "free")
+    met = close_pairs(free, LONG_SCORE - LEAD)
+    sides = lambda a, b: met.select("column", *[F.col(f"{p}_{c}").alias(f"{q}_{c}") for p, q in ((a, "a"), (b, "b")) for c in ("value", "n", "key")], "score")
     better = (F.col("b_n") > F.col("a_n")) | ((F.col("b_n") == F.col("a_n")) & (F.length("b_key") >= F.length("a_key")))
-    scored = pairs_by_length(free, 0.2).where(better).withColumn("score", similarity(F.col("a_key"), F.col("b_key"))).where(F.col("score") >= LONG_SCORE - LEAD)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for (_, value), own in pdf.sort_values(["a_n", "a_value"]).groupby(["a_n", "a_value"], sort=True):
-            ranked = own[~own.b_value.isin(gone)].sort_values(["score", "b_value"], ascending=[False, True])
-            if ranked.empty:
-                continue
-            top = ranked.iloc[0]
-            good = top.score >= SCORE or (len(top.a_key) >= LONG and len(top.b_value) >= LONG and top.score >= LONG_SCORE)
-            if good and (len(ranked) == 1 or top.score - ranked.iloc[1].score >= LEAD):
-                gone.add(value)
-                out.append((top["column"], value, top.b_value))
-        return pd.DataFrame(out, columns=["column", "value", "replacement"])
-
-    chosen = scored.groupBy("column").applyInPandas(choose, "column string, value string, replacement string")
-    return chosen.withColumn("reason", F.lit(FUZZY))
+    scored = sides("x", "y").unionByName(sides("y", "x")).where(better)
+    return choose_targets(scored).withColumn("reason", F.lit(FUZZY))
 
 
 def replacements(rows: DataFrame, columns: Sequence[str], fuzzy: bool = True, many: int | None = MANY) -> DataFrame:

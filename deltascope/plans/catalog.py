@@ -465,11 +465,34 @@ def category_reconcile(spark, sf_dir):
     return categories.reconcile(_dirty_types(spark, sf_dir), ["type"], fuzzy=False).select("row_number", "type")
 
 
-@query()
+#: The sequential rule as a recursion over the values in their order: `gone` holds those that
+#: were replaced, and a value's targets are ranked without them.
+@query("""with recursive cells as (
+ select 'type' as "column", case when p_partkey % 10 = 3 then lower(p_type) when p_partkey % 10 = 6 then p_type || '.' else p_type end as value from part
+ union all select 'brand', p_brand || case when p_partkey % 40 = 1 then 'x manufacturing company' else ' manufacturing company' end from part
+ union all select 'product', p_name || case when p_partkey % 5 = 2 then 's' when p_partkey % 5 = 4 then 'zz' else '' end from part),
+v as (select "column", value, count(*) as n, rtrim(value, '.') as display, lower(rtrim(value, '.')) as same, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') as key from cells group by 1, 2),
+format as (select "column", same, arg_min(display, {'a': -n, 'b': value <> display, 'c': NOT regexp_matches(display, '^[A-Z]'), 'd': display}) as replacement from v group by 1, 2 having count(*) > 1),
+fixed as (select "column", value, replacement from v join format using ("column", same) where value <> replacement),
+open as (select *, row_number() over (order by "column", n, value) as i from v anti join fixed using ("column", value) where length(key) >= 4),
+pairs as (select a.i, b.value as b, b.n = a.n and b.value < a.value as earlier, length(a.key) >= 8 and length(b.value) >= 8 as long, 1 - levenshtein(a.key, b.key) / greatest(length(a.key), length(b.key)) as score
+ from open a join open b on a."column" = b."column" and a.value <> b.value and (b.n > a.n or b.n = a.n and length(b.key) >= length(a.key)) and abs(length(a.key) - length(b.key)) <= 0.2 * length(b.key)),
+near as (select i, list({'s': -score, 'b': b, 'long': long, 'earlier': earlier} order by score desc, b) as l from pairs where score >= 0.88 - 0.04 group by i),
+asked as (select row_number() over (order by i) as k, i, "column", value, l from near join open using (i)),
+steps as (select 0 as k, [] ::varchar[] as gone, null::varchar as "column", null::varchar as value, null::varchar as replacement
+ union all select k, case when hit then list_append(gone, id) else gone end, "column", value, case when hit then free[1].b end
+ from (select *, len(free) > 0 and (-free[1].s >= 0.93 or free[1].long and -free[1].s >= 0.88) and (len(free) = 1 or free[2].s - free[1].s >= 0.04) as hit
+  from (select asked.k, gone, asked."column", asked.value, asked."column" || '|' || asked.value as id, list_filter(l, lambda x: not (x.earlier and list_contains(gone, asked."column" || '|' || x.b))) as free
+   from steps join asked on asked.k = steps.k + 1)))
+select "column", value, replacement, 'Standardised equivalent category formatting' as reason from fixed
+union all select "column", value, replacement, 'Merged a high-confidence near-duplicate category' from steps where replacement is not null""")
 def fuzzy_merge(spark, sf_dir):
+    """Equal formatting and near-duplicates in three columns, one of them with many values."""
     from ..operators import categories
 
-    return categories.replacements(_dirty_types(spark, sf_dir), ["type", "brand"])
+    rows, k = _dirty_types(spark, sf_dir), F.col("row_number")
+    product = F.concat("product", F.when(k % 5 == 2, "s").when(k % 5 == 4, "zz").otherwise(""))
+    return categories.replacements(rows.withColumn("product", product), ["type", "brand", "product"], many=None)
 
 
 @query("""with v as (select 'product' as "column", p_name as value, count(*) as n from part group by p_name union all select 'word', split_part(p_name, ' ', 2), count(*) from part group by 2),
