@@ -13,6 +13,7 @@ from ..operators import explain as ex
 from ..operators import questions as ask
 from ..sources import payload, readers, store
 from ..sources.scratch import materialise, scratch_path, spread
+from ..sources.versioned import StoredImport
 from .catalog import BASE_SQL, BY_CHANGE, FACTOR, INSIDE, SPIKED, _dirty_orders, _doubled, _explained, _profiles, _side, _spiked, query
 from .star import DATE, DIMS, METRIC, ROWS_SQL, factors_sql, long_sql, revenue_rows, table
 
@@ -330,6 +331,47 @@ def recalculated(spark, sf_dir):
     return head.select("current_period", F.round("current_total", 2).alias("current_total"), F.round("previous_total", 2).alias("previous_total"))
 
 
+REVIEWED = """with r as (select strftime(o_orderdate, '%Y-%m') as period, cast(case when o_orderkey % 20 = 3 then 1000 else o_totalprice end as decimal(18,2)) as amount,
+ case when o_orderkey % 50 = 7 then 'Urgent' else o_orderpriority end as priority, o_orderstatus as status from orders where o_orderkey % 20 <> 5 or o_orderkey % 50 = 15),
+long as (select period, amount, 'Segment' as dimension, priority as segment from r union all select period, amount, 'Status', status from r),
+span as (select max(period) as c, min(period) as p from (select distinct period from r order by period desc limit 2)),
+f as (select dimension, segment, sum(case when period = c then amount else -amount end) as impact from long join span on period in (p, c) group by 1, 2)"""
+
+
+@query(f"""{REVIEWED}, h as (select sum(case when period = c then amount else -amount end) as change from r join span on period in (p, c))
+select dimension, segment, cast(impact as double) as impact from f, h where impact <> 0 and sign(impact) = sign(change) order by abs(impact) desc, dimension, segment limit 5""")
+def recalculated_causes(spark, sf_dir):
+    """Causes after two rounds of edits to a stored import, from kept totals: one row in twenty
+    edited, one in twenty left out (some of these taken in again), one in fifty moved."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    rows = o.select(
+        k.alias("row_number"), F.to_date("o_orderdate").alias("Order Date"), F.col("o_totalprice").cast("double").alias("Sales"), F.col("o_orderpriority").alias("Segment"), F.col("o_orderstatus").alias("Status"),
+        *[F.lit(False).alias(c) for c in ("excluded", "exact_duplicate", "possible_duplicate", "is_outlier")], none("string").alias("outlier_columns"), none(review.CHANGE).alias("changes"), none(review.ISSUE).alias("issues"),
+    )
+    columns = [profile.Column("Order Date", "date", 99), profile.Column("Sales", "number", 99, candidate="yes", selected=True), profile.Column("Segment", "category", 90), profile.Column("Status", "category", 90)]
+    stored = StoredImport(spark, scratch_path(spark, "import"), "orders")
+    stored.write(rows)
+    edit = lambda where, action, column, value: o.where(where).select(k.alias("row_number"), F.lit(action).alias("action"), F.lit(column).cast("string").alias("column"), F.lit(value).cast("string").alias("value"))
+    kept = recalculate.kept_totals(rows, "Sales", "Order Date", ["Segment", "Status"])
+    first = edit(k % 20 == 3, "edit", "Sales", "$1,000.00").unionByName(edit(k % 20 == 5, "exclude", None, None))
+    kept = recalculate.recalculate_edits(stored, kept, first, columns)["kept"]
+    second = edit(k % 50 == 7, "edit", "Segment", "Urgent").unionByName(edit((k % 20 == 5) & (k % 50 == 15), "restore", None, None))
+    return recalculate.recalculate_edits(stored, kept, second, columns)["causes"].select("dimension", "segment", F.col("impact").cast("double").alias("impact"))
+
+
+@query("""with r as (select o_orderkey as row_number, case when o_orderkey % 3 = 1 then 'edited' else o_orderpriority end as label from orders union all select -1 - c_custkey, 'added' from customer)
+select row_number, label, (select count(*) from r) as total_rows from r order by row_number limit 50 offset 2000""")
+def stored_page(spark, sf_dir):
+    """A page of a stored import after upserts that change rows and add some before the first."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    stored = StoredImport(spark, scratch_path(spark, "import"), "orders")
+    stored.write(o.select(k.cast("long").alias("row_number"), F.col("o_orderpriority").alias("label")), 6)
+    stored.upsert(o.where(k % 3 == 1).select(k.cast("long").alias("row_number"), F.lit("edited").alias("label")))
+    stored.upsert(table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).cast("long").alias("row_number"), F.lit("added").alias("label")))
+    return stored.page(40, 50)
+
+
 # questions and history ------------------------------------------------------------
 
 

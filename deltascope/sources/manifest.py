@@ -1,6 +1,6 @@
 """Versioned manifests: small JSON files that say which data files a stored table consists of.
 
-A commit writes `manifest-<version>.json` under a name that must not exist yet, by renaming
+A commit writes `_manifest-<version>.json` under a name that must not exist yet, by renaming
 a finished file. Readers take the highest version, so they see a commit whole or not at
 all; of two writers that start from the same version the second gets a Conflict and may
 try again from what the first has left. Data files of a writer that died before its
@@ -35,14 +35,14 @@ class Manifest:
 
     def version(self) -> int:
         """The highest committed version; 0 where nothing was ever committed."""
-        found = self._fs.globStatus(self._at("manifest-*.json")) or []
-        return max([0, *(int(f.getPath().getName()[9 : 9 + DIGITS]) for f in found)])
+        found = self._fs.globStatus(self._at("_manifest-*.json")) or []
+        return max([0, *(int(f.getPath().getName()[10 : 10 + DIGITS]) for f in found)])
 
     def read(self) -> tuple[int, dict]:
         version = self.version()
         if not version:
             return 0, {}
-        stream = self._fs.open(self._at(f"manifest-{version:0{DIGITS}d}.json"))
+        stream = self._fs.open(self._at(f"_manifest-{version:0{DIGITS}d}.json"))
         try:
             return version, json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
@@ -50,7 +50,7 @@ class Manifest:
 
     def commit(self, version: int, content: dict) -> None:
         """Make `content` version `version`, which must be one above the version it was made from."""
-        staged, final = self._at(f"_staged-{uuid.uuid4().hex}"), self._at(f"manifest-{version:0{DIGITS}d}.json")
+        staged, final = self._at(f"_staged-{uuid.uuid4().hex}"), self._at(f"_manifest-{version:0{DIGITS}d}.json")
         out = self._fs.create(staged, True)
         out.write(json.dumps(content, sort_keys=True).encode())
         out.close()
@@ -68,9 +68,14 @@ class Manifest:
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
+    def files(self, pattern: str) -> list[str]:
+        """Paths below the folder that match a pattern."""
+        root = self._fs.makeQualified(self._at("")).toString().rstrip("/") + "/"
+        return [f.getPath().toString().removeprefix(root) for f in self._fs.globStatus(self._at(pattern)) or []]
+
     def drop_versions(self, keep: int = 2) -> None:
         """Delete all but the last manifests."""
         last = self.version()
-        for f in self._fs.globStatus(self._at("manifest-*.json")) or []:
-            if int(f.getPath().getName()[9 : 9 + DIGITS]) <= last - keep:
+        for f in self._fs.globStatus(self._at("_manifest-*.json")) or []:
+            if int(f.getPath().getName()[10 : 10 + DIGITS]) <= last - keep:
                 self._fs.delete(f.getPath(), False)

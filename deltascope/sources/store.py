@@ -6,38 +6,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import KEYS, merge_totals
-from .scratch import materialise
+from .versioned import StoredImport
 
 
 def _overwrite(df: DataFrame, path: str, *keys: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_rows(rows: DataFrame, path: str, import_id: str) -> None:
+def write_rows(rows: DataFrame, path: str, import_id: str, files: int | None = None) -> None:
     """Write the review rows of an import; another write of the same import replaces it."""
-    _overwrite(rows.withColumn("import_id", F.lit(import_id)), path, "import_id")
+    StoredImport(rows.sparkSession, path, import_id).write(rows, files)
 
 
 def upsert_rows(spark: SparkSession, rows: DataFrame, path: str, import_id: str) -> None:
-    """Replace the stored rows of the same row numbers and add the others. The result is
-    written beside the stored rows first, as Spark must not read what it overwrites."""
-    old = read_rows(spark, path, import_id, ordered=False).join(rows.select("row_number"), "row_number", "left_anti")
-    write_rows(materialise(old.unionByName(rows), "staged"), path, import_id)
+    """Replace the stored rows of the same row numbers and add the others: one delta, no
+    stored row is written again."""
+    StoredImport(spark, path, import_id).upsert(rows)
 
 
 def read_rows(spark: SparkSession, path: str, import_id: str, ordered: bool = True) -> DataFrame:
-    """The rows of one import (only its partition is read), in row order."""
-    out = spark.read.parquet(path).where(F.col("import_id") == import_id).drop("import_id")
+    """The rows of one import (only its folder is read), in row order."""
+    out = StoredImport(spark, path, import_id).rows()
     return out.orderBy("row_number") if ordered else out
 
 
 def get_row(spark: SparkSession, path: str, import_id: str, row_number: int) -> DataFrame:
-    return read_rows(spark, path, import_id, ordered=False).where(F.col("row_number") == row_number)
+    """One row; the zone map names the files that can hold it."""
+    return StoredImport(spark, path, import_id).rows(row_number, row_number)
+
+
+def stored_page(spark: SparkSession, path: str, import_id: str, page: int = 0, size: int = 100) -> DataFrame:
+    """A page of a stored import, from the files that it lies in."""
+    return StoredImport(spark, path, import_id).page(page, size)
 
 
 def preview(rows: DataFrame, page: int = 0, size: int = 100) -> DataFrame:
-    """A page of the rows with the number of all rows (total_rows); a page is at least 0,
-    its size between 1 and 200."""
+    """A page of rows that are not stored, with the number of all rows (total_rows); a page is
+    at least 0, its size between 1 and 200. Stored rows have `stored_page`."""
     page, size = max(0, int(page)), max(1, min(int(size), 200))
     total = rows.agg(F.count("*").alias("total_rows"))
     return rows.orderBy("row_number").offset(page * size).limit(size).join(F.broadcast(total))

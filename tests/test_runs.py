@@ -21,7 +21,7 @@ def test_manifest_versions_and_conflicts(spark, tmp_path):
     assert other.read() == (2, {"a": 2}) and not [p for p in (tmp_path / "m").iterdir() if p.name.startswith("_staged")]
     m.commit(3, {})
     m.drop_versions(1)
-    assert [p.name for p in (tmp_path / "m").glob("manifest-*")] == ["manifest-0000000003.json"]
+    assert [p.name for p in (tmp_path / "m").glob("_manifest-*.json")] == ["_manifest-0000000003.json"]
 
 
 def bytes_read(spark):
