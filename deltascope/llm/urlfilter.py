@@ -4,8 +4,9 @@ A url's path becomes a template: its segments, in which hexadecimal names and di
 wildcards already. The tree is built level by level, as deep as the paths are: below a node,
 segments that are many and rare, or that have no labelled url, become the branch `*`. Then
 statistically similar branches are merged: they are put in the order of their share of
-blocked urls, and neighbours whose shares do not differ significantly are one branch, whose
-subtrees grow on together. A branch's purity is its share of blocked among labelled urls,
+blocked urls, and each joins the set before it if its share does not differ significantly
+from that of the whole set, so that no chain of small steps ties unlike branches together. A
+set is one branch, whose subtrees grow on together. A branch's purity is its share of blocked among labelled urls,
 smoothed towards its parent's, up to the prior of all hosts. A branch is not divided further
 if it has fewer than LEAST labelled urls or only one kind of label, as nothing below it can
 then differ significantly. A template is rejected if the purity of its last branch reaches
@@ -77,13 +78,30 @@ def divisible(blocked: Column, labelled: Column) -> Column:
     return (labelled >= LEAST) & (blocked > 0) & (blocked < labelled)
 
 
-def differ(x: str, y: str) -> Column:
-    """Whether the shares of two branches differ significantly (two proportions, pooled)."""
-    b1, l1, b2, l2 = (F.col(f"{p}_{c}") for p in (x, y) for c in ("blocked", "labelled"))
+def differ(b1: Column, l1: Column, b2: Column, l2: Column) -> Column:
+    """Whether two shares b / l differ significantly (two proportions, pooled)."""
     p = (b1 + b2) / (l1 + l2)
     return F.abs(b1 / l1 - b2 / l2) > DEVIATE * F.sqrt(p * (1 - p) * (1 / l1 + 1 / l2))
 
 
+def similar_sets(branches: DataFrame) -> DataFrame:
+    """host, node, branch and the number of the set that the branch is merged into: a fold
+    over a node's branches in the order of their shares, which keeps the running set's sums.
+    A node has at most MANY or RARE branches and *, so its list is short."""
+    order = F.struct((F.col("labelled") == 0).alias("none"), F.try_divide("blocked", "labelled").alias("share"), "branch", "labelled", "blocked")
+    nodes = branches.groupBy("host", "node").agg(F.array_sort(F.collect_list(order)).alias("list"))
+    start = F.struct(F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("set"), F.array().cast("array<int>").alias("sets"))
+
+    def step(held: Column, x: Column) -> Column:
+        apart = (held["l"] == 0) | (x["labelled"] == 0) | F.coalesce(differ(held["b"], held["l"], x["blocked"], x["labelled"]), F.lit(False))
+        number = held["set"] + apart.cast("int")
+        keep = lambda c: F.when(apart, F.lit(0)).otherwise(held[c])
+        return F.struct((keep("l") + x["labelled"]).alias("l"), (keep("b") + x["blocked"]).alias("b"), number.alias("set"), F.array_append(held["sets"], number).alias("sets"))
+
+    folded = nodes.withColumn("sets", F.aggregate("list", start, step, lambda held: held["sets"]))
+    return folded.select("host", "node", F.explode(F.zip_with("list", "sets", lambda x, n: F.struct(x["branch"].alias("branch"), n.alias("set")))).alias("x")).select("host", "node", "x.branch", "x.set")
+
+
 def level(tree: DataFrame, k: int) -> DataFrame:
     """The templates whose node has been divided by their k-th segment (from 0): node,
     purity and whether to go on are those of the new branch."""
@@ -94,14 +112,9 @@ def level(tree: DataFrame, k: int) -> DataFrame:
     all_ = children.groupBy("host", "node").agg(F.count("*").alias("kids"), F.sum("n").alias("all_n"))
     variable = (F.col("kids") > MANY) & (F.col("n") * RARE < F.col("all_n"))
     named = children.join(all_, ["host", "node"]).withColumn("branch", F.when(variable | (F.col("labelled") == 0), "*").otherwise(F.col("seg")))
-    named = cut(named.select("host", "node", "seg", "branch", "labelled", "blocked", "parent"), "url-children")
+    named = named.select("host", "node", "seg", "branch", "labelled", "blocked", "parent")
     branches = named.groupBy("host", "node", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"), F.first("parent").alias("parent"))
-    # a node has at most MANY or RARE branches and *, so its window is small
-    w = Window.partitionBy("host", "node").orderBy("none", "share", "branch")
-    ranked = branches.withColumns({"none": F.col("labelled") == 0, "share": F.try_divide("blocked", "labelled")})
-    ranked = ranked.withColumns({f"before_{c}": F.lag(c).over(w) for c in ("labelled", "blocked")} | {"own_labelled": F.col("labelled"), "own_blocked": F.col("blocked")})
-    fresh = F.when(F.col("before_labelled").isNull() | F.col("none") | F.coalesce(differ("own", "before"), F.lit(False)), 1).otherwise(0)
-    ranked = ranked.withColumn("fresh", fresh).withColumn("set", F.sum("fresh").over(w))
+    ranked = branches.join(similar_sets(branches), ["host", "node", "branch"])
     sets = Window.partitionBy("host", "node", "set")
     merged = ranked.select("host", "node", "branch", F.min("branch").over(sets).alias("name"), F.sum("labelled").over(sets).alias("labelled"), F.sum("blocked").over(sets).alias("blocked"), "parent")
     merged = merged.select("host", "node", "branch", "name", smooth(F.col("blocked"), F.col("labelled"), F.col("parent")).alias("pure"), divisible(F.col("blocked"), F.col("labelled")).alias("more"))
@@ -169,9 +182,12 @@ o{k} as (select *, coalesce(string_split(template, '/')[{k + 1}], '') as seg fro
 c{k} as (select host, node, seg, sum(n) as n, sum(labelled) as l, sum(blocked) as b, any_value(purity) as parent from o{k} group by all),
 n{k} as (select *, case when (count(*) over w > {MANY} and n * {RARE} < sum(n) over w) or l = 0 then '*' else seg end as branch from c{k} window w as (partition by host, node)),
 b{k} as (select host, node, branch, sum(l) as l, sum(b) as b, any_value(parent) as parent from n{k} group by all),
-r{k} as (select *, lag(l) over w as l0, lag(b) over w as b0 from b{k} window w as (partition by host, node order by l = 0, b / l nulls first, branch)),
-f{k} as (select *, case when l0 is null or l = 0 or abs(b / l - b0 / l0) > {DEVIATE} * sqrt((b + b0) / (l + l0) * (1 - (b + b0) / (l + l0)) * (1 / l + 1 / l0)) then 1 else 0 end as fresh from r{k}),
-s{k} as (select *, sum(fresh) over (partition by host, node order by l = 0, b / l nulls first, branch rows unbounded preceding) as set_ from f{k}),
+r{k} as (select host, node, list(branch order by l = 0, b / l nulls first, branch) as branches,
+  list({{'l': l::bigint, 'b': b::bigint, 'set_': 0, 'sets': [0]}} order by l = 0, b / l nulls first, branch) as held from b{k} group by all),
+f{k} as (select host, node, branches, list_reduce(held, lambda a, x: case
+  when x.l = 0 or abs(a.b / a.l - x.b / x.l) > {DEVIATE} * sqrt((a.b + x.b) / (a.l + x.l) * (1 - (a.b + x.b) / (a.l + x.l)) * (1 / a.l + 1 / x.l))
+  then {{'l': x.l, 'b': x.b, 'set_': a.set_ + 1, 'sets': list_append(a.sets, a.set_ + 1)}} else {{'l': a.l + x.l, 'b': a.b + x.b, 'set_': a.set_, 'sets': list_append(a.sets, a.set_)}} end).sets as sets from r{k}),
+s{k} as (select b{k}.*, set_ from b{k} join (select host, node, unnest(branches) as branch, unnest(sets) as set_ from f{k}) using (host, node, branch)),
 m{k} as (select host, node, branch, min(branch) over w as name, sum(l) over w as l, sum(b) over w as b, parent from s{k} window w as (partition by host, node, set_)),
 t{k + 1} as (select host, template, node || '/' || name as node, o{k}.n, labelled, blocked, (m{k}.b + {WEIGHT} * m{k}.parent) / (m{k}.l + {WEIGHT}) as purity,
   m{k}.l >= {LEAST} and m{k}.b > 0 and m{k}.b < m{k}.l and len(string_split(template, '/')) > {k + 1} as open

@@ -66,6 +66,17 @@ def test_similar_branches_are_one(spark):
     assert all(r.open for r in first.collect())
 
 
+def test_small_steps_do_not_chain_unlike_branches(spark):
+    """Of 20 labelled urls each 0, 20, .. 100 % are blocked: neighbours are similar, 20 % and
+    80 % are not."""
+    rows = [("h", f"s{share}/z{k}", 1, 1, int(k < share // 5)) for share in range(0, 101, 20) for k in range(20)]
+    schema = "host string, template string, n long, labelled long, blocked long, node string, purity double, open boolean"
+    first = urlfilter.level(spark.createDataFrame([(*r, "", 0.5, True) for r in rows], schema), 0)
+    nodes = {r.template.split("/")[0]: r.node for r in first.collect()}
+    assert nodes["s20"] != nodes["s80"] and nodes["s20"] == nodes["s40"] and nodes["s60"] == nodes["s80"] and nodes["s0"] not in (nodes["s20"], nodes["s100"])
+    assert len(set(nodes.values())) == 4
+
+
 def test_a_long_path_stops_early(spark):
     long = "/x" * 3000
     rows = [(f"http://bad.com/de{long}/{i}", i) for i in range(30)] + [(f"http://bad.com/it{long}", 99)]
