@@ -63,10 +63,10 @@ def check_source(df: DataFrame, most: int | None = None) -> DataFrame:
     return df
 
 
-def profile_sample(rows: DataFrame, n: int | None = 5000, order: str = "row_number") -> DataFrame:
-    """The first n rows, whose values tell the columns' kinds and the order of days and
-    months; with None all rows (one aggregation), as a table that is sorted by source or
-    date has other notations further on."""
+def profile_sample(rows: DataFrame, n: int | None = None, order: str = "row_number") -> DataFrame:
+    """The rows whose values tell the columns' kinds and the order of days and months: all of
+    them, as a table that is sorted by source or date has other notations further on. With
+    a number, the first n rows."""
     return rows if n is None else rows.where(F.col(order) <= n)
 
 
