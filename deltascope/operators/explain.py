@@ -29,6 +29,11 @@ def headline(totals: DataFrame) -> DataFrame:
     return sums.withColumn("change_percent", percent)
 
 
+def headline_of(rows: DataFrame, metric: str, date: str) -> DataFrame:
+    """The headline of rows from the sums of whole periods alone, for those who need no causes."""
+    return headline(materialise(segment_totals(rows, metric, date, []), "periods"))
+
+
 def dimension_rank(dims: Sequence[str]) -> Column:
     """Place of a dimension in the given order: the tie-break of equal impacts."""
     out = F.lit(len(dims))

@@ -277,7 +277,7 @@ cast(sum(case when period = current_period then revenue else 0 end) as double) a
 from rows_ join span on period in (previous_period, current_period) where region = 'ASIA' group by 1 order by abs(cast(sum(case when period = current_period then revenue else -revenue end) as double)) desc, 1 limit 5""")
 def date_movement(spark, sf_dir):
     rows = revenue_rows(spark, sf_dir)
-    return ask.date_movement(rows, METRIC, DATE, _explained(spark, sf_dir)["headline"], "region", "ASIA")
+    return ask.date_movement(rows, METRIC, DATE, ex.headline_of(rows, METRIC, DATE), "region", "ASIA")
 
 
 INSIDE = "inside as (select * from rows_ where region = 'ASIA')"
@@ -286,19 +286,19 @@ INSIDE = "inside as (select * from rows_ where region = 'ASIA')"
 @query(f"{BASE_SQL}, {INSIDE}, {factors_sql(long_sql('inside', [d for d in DIMS if d != 'region']), 'f2')} select {FACTOR} from f2 where impact <> 0 order by {BY_CHANGE} limit 5")
 def overlap(spark, sf_dir):
     rows = revenue_rows(spark, sf_dir)
-    return ask.overlap(rows, METRIC, DATE, DIMS, _explained(spark, sf_dir)["headline"], "region", "ASIA")
+    return ask.overlap(rows, METRIC, DATE, DIMS, ex.headline_of(rows, METRIC, DATE), "region", "ASIA")
 
 
 @query(f"{BASE_SQL}, {INSIDE}, {factors_sql(long_sql('inside', ['customer_name']), 'f2')} select {FACTOR} from f2 where impact <> 0 order by {BY_CHANGE} limit 3")
 def drilldown(spark, sf_dir):
     rows = revenue_rows(spark, sf_dir)
-    return ask.drilldown(rows, METRIC, DATE, _explained(spark, sf_dir)["headline"], "customer_name", "region", "ASIA")
+    return ask.drilldown(rows, METRIC, DATE, ex.headline_of(rows, METRIC, DATE), "customer_name", "region", "ASIA")
 
 
 @query(f"{BASE_SQL}, {factors_sql(long_sql('rows_', ['customer_name']), 'f2')} select {FACTOR} from f2 where impact < 0 order by impact, segment limit 1")
 def top_decliner(spark, sf_dir):
     rows = revenue_rows(spark, sf_dir)
-    return ask.top_decliner(rows, METRIC, DATE, _explained(spark, sf_dir)["headline"], "customer_name")
+    return ask.top_decliner(rows, METRIC, DATE, ex.headline_of(rows, METRIC, DATE), "customer_name")
 
 
 @query(f"{BASE_SQL} select dimension, segment, impact, current_total, current_total - impact as if_flat, change - impact as change_if_flat from factors, head where dimension = 'region' and segment = 'ASIA'")

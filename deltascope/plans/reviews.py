@@ -385,7 +385,8 @@ def explained_segment(spark, sf_dir):
 @query(f"""{BASE_SQL}, {INSIDE}, {factors_sql(long_sql('inside', ['customer_name']), 'f2')}, {factors_sql(long_sql('inside', [d for d in DIMS if d != 'region']), 'f3')}
 select * from (select 'entity' as kind, segment as name, impact from f2 where impact <> 0 order by {BY_CHANGE} limit 2) union all select * from (select 'overlap', segment, impact from f3 where impact <> 0 order by {BY_CHANGE} limit 2)""")
 def evidence_of_segment(spark, sf_dir):
-    rows, head = revenue_rows(spark, sf_dir), _explained(spark, sf_dir)["headline"]
+    rows = revenue_rows(spark, sf_dir)
+    head = ex.headline_of(rows, METRIC, DATE)
     found = ask.evidence(rows, METRIC, DATE, DIMS, head, "customer_name", "region", "ASIA")
     part = lambda name, kind: found[name].select(F.lit(kind).alias("kind"), F.col("segment").alias("name"), "impact")
     return part("entities", "entity").unionByName(part("overlaps", "overlap"))
