@@ -111,6 +111,11 @@ def iqr_bounds(rows: DataFrame, columns: Sequence[str], approximate: bool = Fals
         b = long.groupBy("column").agg(F.count("*").alias("n"), q.alias("q")).select("column", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     else:
         b = exact_quartiles(long)
+    return bounds_of(b)
+
+
+def bounds_of(b: DataFrame) -> DataFrame:
+    """The ranges from quartiles (column, n, q1, q3), such as exact_quartiles or a RankStore give."""
     iqr = F.col("q3") - F.col("q1")
     return b.where((F.col("n") >= LEAST_NUMBERS) & (iqr > 0)).select("column", "n", "q1", "q3", (F.col("q1") - REACH * iqr).alias("low"), (F.col("q3") + REACH * iqr).alias("high"))
 

@@ -10,7 +10,8 @@ from ..operators import aggregate as agg
 from ..operators import categories, clean, profile, recalculate, review
 from ..operators import explain as ex
 from ..operators import questions as ask
-from ..sources.scratch import materialise
+from ..sources.ranks import RankStore
+from ..sources.scratch import materialise, scratch_path
 from .catalog import BASE_SQL, ORACLES, _explained, query
 from .reviews import _flagged
 from .star import table
@@ -102,3 +103,33 @@ def interactive_candidates(spark, sf_dir):
     chosen = profile.metric_of(columns)
     rows = [(c.name, c.kind, bool(c.candidate), chosen is not None and c.name == chosen.name) for c in columns]
     return spark.createDataFrame(rows, "name string, kind string, candidate boolean, selected boolean")
+
+
+@query("""with v as (select 'price' as "column", cast(o_totalprice as double) as value from orders union all select 'customer', o_custkey from orders),
+q as (select "column", count(*) as n, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from v group by 1)
+select "column", n, q1, q3, q1 - 1.5 * (q3 - q1) as low, q3 + 1.5 * (q3 - q1) as high from q""")
+def batch_quartiles(spark, sf_dir):
+    """Outlier bounds of orders that came in three batches, one of them twice."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    ranks = RankStore(spark, scratch_path(spark, "ranks"), 500)
+    for batch in (0, 1, 2, 1):
+        own = o.where(k % 3 == batch)
+        ranks.add(own.select(F.inline(F.array(*[F.struct(F.lit(n).alias("column"), F.col(c).cast("double").alias("value")) for n, c in (("price", "o_totalprice"), ("customer", "o_custkey"))]))), str(batch))
+    return review.bounds_of(ranks.quartiles())
+
+
+@query("""select event_type as segment, count(*) as n, cast(sum(cast(value as decimal(15,2))) as double) as total from events group by event_type""")
+def stream_running_totals(spark, sf_dir):
+    """Totals kept by a stateful stream that is stopped after some files and started again."""
+    from ..streaming import ingest
+
+    events = table(spark, sf_dir, "events")
+    shape = events.select("event_id", "event_type", F.col("value").cast("decimal(15,2)").alias("value"), F.col("ts").cast("date").alias("day"))
+    source, out, check = (scratch_path(spark, f"stream-{x}") for x in ("in", "totals", "check"))
+    own = spark.newSession()  # the state store is set for this stream alone
+    own.conf.set("spark.sql.shuffle.partitions", "4")
+    for part in (0, 1):
+        shape.where(F.col("event_id") % 2 == part).repartition(2, "event_id").write.mode("append").parquet(source)
+        ingest.keep_totals(ingest.file_stream(own, source, shape.schema), out, check, "value", "day", ["event_type"]).awaitTermination()
+    got = ingest.latest_totals(spark, out).where("dimension = 'event_type'")
+    return got.groupBy("segment").agg(F.sum("record_count").alias("n"), F.sum("metric_total").cast("double").alias("total"))
