@@ -14,6 +14,10 @@ documents in ascending doc_id order:
 
 Codes are canonical: shorter first, then by id. A reader needs only the checkpoint of
 a block to decode it, by one table look-up for each id.
+
+A null text is empty; null doc_ids come first; rows that share a doc_id lie in the order of
+their sizes, equal ones as they were read; a text of any length is encoded whole by one task. Columns
+besides doc_id and text are not read.
 """
 
 from __future__ import annotations

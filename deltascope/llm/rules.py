@@ -5,7 +5,9 @@ only over the texts that no earlier one rejected; their order is by rejections p
 second, both measured on a sample. The verdict does not depend on the order.
 
 Nulls count as empty texts; an empty text has no words and fails the base rules; an
-empty table gives no rows; repeated rows are judged alike, one result row each.
+empty table gives no rows; repeated rows are judged alike, one result row each. A text is
+judged whole by one task, whatever its length. Rules that reject equally fast are in the
+order of their names. Columns besides doc_id and text are not read.
 """
 
 from __future__ import annotations

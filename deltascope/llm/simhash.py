@@ -570,7 +570,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, k: int = 3) -> DataFrame:
     A null text is empty; texts without words have fingerprint zero, linked like any
     other; rows that share a doc_id are separate rows with their own fingerprint; null
     doc_ids never are a component's name unless it has no other; an empty table gives no
-    rows. Columns besides doc_id and text are not read.
+    rows. A text is fingerprinted whole by one task, whatever its length. Columns besides
+    doc_id and text are not read.
     """
     prints = cut(fingerprints(docs, shingle), "simhash")
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
