@@ -52,6 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, one after the other.
+
+    A null text is an empty one, which the classifier judges like any other; rows that share a
+    doc_id are told apart by their texts; of copies the smallest doc_id stays; texts are worked
+    on whole; columns besides doc_id, text and n_chars pass through untouched up to the last
+    stage, whatever their names; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
