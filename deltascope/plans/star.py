@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 METRIC, DATE = "revenue", "order_date"
 DIMS = ("region", "segment_name", "priority", "return_flag")
-NEW_PREFIX = "customer_name"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
