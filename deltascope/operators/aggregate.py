@@ -42,6 +42,23 @@ def segment_totals(rows: DataFrame, metric: str, date: str, dims: Sequence[str],
     return out.select(F.lit(metric).alias("metric_column"), *out.columns)
 
 
+#: The dimension under which days of the month are kept among pairs of segments.
+DAYS = "__day__"
+PAIR = ("metric_column", "period", "dimension", "segment", "other_dimension", "other_segment")
+
+
+def pair_totals(rows: DataFrame, metric: str, date: str, dims: Sequence[str]) -> DataFrame:
+    """Totals of every pair of segments of different dimensions (and days of the month) by
+    period, from one pass: each row is unfolded into its pairs and summed map-side. Each pair
+    stands once, in the order of the dimensions. Questions inside a segment are answered
+    from these without the rows, see questions.inside_totals."""
+    r = usable(rows, metric, date).select(period_of(date).alias("period"), F.col(metric).alias("_m"), F.dayofmonth(date).alias(DAYS), *dims)
+    named = [F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit(UNKNOWN)).alias("segment")) for d in (*dims, DAYS)]
+    pairs = [F.struct(a["dimension"].alias("dimension"), a["segment"].alias("segment"), b["dimension"].alias("other_dimension"), b["segment"].alias("other_segment")) for i, a in enumerate(named) for b in named[i + 1 :]]
+    sums = r.select("period", "_m", F.inline(F.array(*pairs))).groupBy(*PAIR[1:]).agg(F.sum("_m").alias("metric_total"), F.count("*").alias("record_count"))
+    return sums.select(F.lit(metric).alias("metric_column"), *sums.columns)
+
+
 def merge_totals(*parts: DataFrame) -> DataFrame:
     """Totals of several batches added up, as decimal(24,4)."""
     both = parts[0]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregate import UNKNOWN, in_periods, period_of, two_period_factors, usable
+from .aggregate import DAYS, UNKNOWN, factors_from_totals, in_periods, period_of, two_period_factors, usable
 
 #: Ranks that can be asked for.
 MOST = 20
@@ -129,6 +129,29 @@ def drilldown(rows: DataFrame, metric: str, date: str, head: DataFrame, entity:
     return f.where((F.col("impact") != 0) & ~is_unknown("segment")).orderBy(*by_change()).limit(clamp(n if dimension is None else min(n, 3)))
 
 
+def inside_totals(pairs: DataFrame, dimension: str, segment: str) -> DataFrame:
+    """Totals by period, dimension and segment of the rows inside a segment, from the totals
+    of pairs of segments (aggregate.pair_totals). Empty for a dimension that they do not have."""
+    keep = ["metric_column", "period", "metric_total", "record_count"]
+    first = pairs.where((F.col("dimension") == dimension) & (F.col("segment") == segment)).select(*keep, F.col("other_dimension").alias("dimension"), F.col("other_segment").alias("segment"))
+    second = pairs.where((F.col("other_dimension") == dimension) & (F.col("other_segment") == segment)).select(*keep, "dimension", "segment")
+    return first.unionByName(second)
+
+
+def evidence_of_pairs(pairs: DataFrame, dims: Sequence[str], head: DataFrame, entity: str, dimension: str, segment: str, n: int = 2) -> dict[str, DataFrame]:
+    """What `evidence` finds (entities, overlaps, dates; n each), from totals of pairs: no row
+    of the table is read. They must have been made with all of dims, the entity among them."""
+    inside = inside_totals(pairs, dimension, segment)
+    f = factors_from_totals(inside, head).where(F.col("impact") != 0)
+    top = lambda df: df.where(~is_unknown("segment")).orderBy(*by_change()).limit(clamp(n))
+    days = f.where(F.col("dimension") == DAYS).select(F.col("segment").cast("int").alias("day"), "previous", "current", "impact", "records")
+    return {
+        "entities": top(f.where(F.col("dimension") == entity)),
+        "overlaps": top(f.where(F.col("dimension").isin([d for d in dims if d not in (dimension, entity)]))),
+        "dates": days.orderBy(F.desc(F.abs("impact")), "day").limit(clamp(n)),
+    }
+
+
 def counterfactual(factors: DataFrame, head: DataFrame, dimension: str, segment: str, cards: DataFrame | None = None) -> DataFrame:
     """The current total if the segment had stayed flat; a displayed card's figures win."""
     f = factors if cards is None else with_cards(factors, cards)

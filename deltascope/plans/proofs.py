@@ -14,7 +14,7 @@ from ..sources.ranks import RankStore
 from ..sources.scratch import materialise, scratch_path
 from .catalog import BASE_SQL, ORACLES, _explained, query
 from .reviews import _flagged
-from .star import table
+from .star import DATE, DIMS, METRIC, revenue_rows, table
 
 
 @query("""with r as (select o_orderkey as row_number, cast(o_orderdate as date) as d, cast(case when o_orderkey % 7 = 3 then o_orderdate + interval 40 day else o_orderdate end as date) as parts from orders),
@@ -133,3 +133,14 @@ def stream_running_totals(spark, sf_dir):
         ingest.keep_totals(ingest.file_stream(own, source, shape.schema), out, check, "value", "day", ["event_type"]).awaitTermination()
     got = ingest.latest_totals(spark, out).where("dimension = 'event_type'")
     return got.groupBy("segment").agg(F.sum("record_count").alias("n"), F.sum("metric_total").cast("double").alias("total"))
+
+
+@query(f"""select * from ({ORACLES['evidence_of_segment']}) union all select * from (select 'date', cast(day as varchar), impact from ({ORACLES['date_movement']}) order by abs(impact) desc, day limit 2)""")
+def evidence_from_pairs(spark, sf_dir):
+    """Entities, overlaps and days of a segment from the totals of pairs, without the rows."""
+    rows = revenue_rows(spark, sf_dir)
+    pairs = materialise(agg.pair_totals(rows, METRIC, DATE, [*DIMS, "customer_name"]), "pairs")
+    head = materialise(ex.headline_of(rows, METRIC, DATE), "headline")
+    found = ask.evidence_of_pairs(pairs, [*DIMS, "customer_name"], head, "customer_name", "region", "ASIA")
+    part = lambda name, kind, c: found[name].select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"), "impact")
+    return part("entities", "entity", "segment").unionByName(part("overlaps", "overlap", "segment")).unionByName(part("dates", "date", "day"))

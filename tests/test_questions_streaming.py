@@ -53,6 +53,16 @@ def test_inside_a_segment(parts):
     assert {r.role for r in ask.explain_segment(rows, factors, "laid_off", "day", head, "company", "country", "United States").collect()} == {"segment", "entity"}
 
 
+def test_pairs_tell_the_same_without_the_rows(parts):
+    rows, head, _, _ = parts
+    pairs = agg.pair_totals(rows, "laid_off", "day", [*DIMS, "company"])
+    for dimension, segment in (("country", "United States"), ("industry", "Software"), ("country", "Unknown"), ("country", "nowhere")):
+        want = ask.evidence(rows, "laid_off", "day", DIMS, head, "company", dimension, segment)
+        got = ask.evidence_of_pairs(pairs, [*DIMS, "company"], head, "company", dimension, segment)
+        for name in want:
+            assert [tuple(r) for r in got[name].select(*want[name].columns).collect()] == [tuple(r) for r in want[name].collect()], (name, segment)
+
+
 def test_values_cards_history(parts):
     rows, head, factors, e = parts
     assert [(r.dimension, r.segment, r.ambiguous) for r in ask.resolve_value(factors, "Why did the united-states fall?").collect()] == [("country", "United States", False)]
