@@ -7,7 +7,7 @@ mean of its lines' forward-backward marginals, put on the scale of a probability
 logistic fit on the training documents.
 
 Training takes at most TRAIN_DOCS labelled documents (those whose ids hash lowest, one text
-for an id) of at most TRAIN_LINES lines, so that the driver's share is bounded; every text
+for an id) of at most TRAIN_LINES lines each and TRAIN_TOTAL together, so that the driver's share is bounded; every text
 is scored whole, however long. Nulls are empty texts;
 an empty text is one empty line and gets a score like any other; repeated rows are scored
 alike; of texts that share a doc_id the one of the lowest hash is learned from; equal scores
@@ -21,14 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, spans_of
+from .common import crc_mod, cut, drop_dir, spans_of
 from .textarrays import Texts, slices
 
-#: Bounds of the sample that is learned from: labelled documents, and lines of one of them.
-TRAIN_DOCS, TRAIN_LINES = 3000, 5000
+#: Bounds of the sample that is learned from: labelled documents, lines of one of them, and
+#: lines of all of them.
+TRAIN_DOCS, TRAIN_LINES, TRAIN_TOTAL = 3000, 5000, 200_000
 STEPS = 120
 #: How sure a line must look by itself to have another label than its document.
 SURE = 0.9
@@ -278,7 +279,13 @@ def training_lines(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS):
 
     picked = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # `limit` rows of ids
     picked = picked.groupBy("doc_id").agg(F.max("_label").cast("int").alias("_label"), F.min_by("text", F.xxhash64("text")).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, label int, features binary, sizes binary").toPandas().sort_values(["doc_id", "features"], kind="stable")
+    found = cut(picked.mapInArrow(run, "doc_id long, label int, features binary, sizes binary"), "crf-lines")
+    # of the documents in the order of their hashes as many as fit together: a row of two numbers each
+    upto = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    kept = found.select("doc_id", (F.length("sizes") / 8).cast("long").alias("lines")).withColumn("upto", upto).where(F.col("upto") <= TRAIN_TOTAL)
+    out = found.join(F.broadcast(kept.select("doc_id")), "doc_id").toPandas().sort_values(["doc_id", "features"], kind="stable")
+    drop_dir(found)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model | None:

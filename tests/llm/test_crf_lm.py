@@ -181,3 +181,12 @@ def test_features_of_odd_texts():
     for _, _, t in slices(pa.array(odd)):
         f, of, lengths = crf.line_features(t)
         assert np.isfinite(f).all() and len(of) == sum(x.count("\n") + 1 for x in odd) and (lengths >= 1).all()
+
+
+def test_training_lines_are_bounded_together(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i} {k}" for k in range(10))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    all_ = crf.training_lines(docs, labels)
+    monkeypatch.setattr(crf, "TRAIN_TOTAL", 55)
+    few = crf.training_lines(docs, labels)
+    assert len(all_) > 15 and len(few) == 5 and set(few["doc_id"]) < set(all_["doc_id"])
