@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import DatePolicy
+from ..functions.dates import DatePolicy, parse_date
 from ..operators import aggregate as agg
 from ..operators import categories, clean, profile, recalculate, review
 from ..operators import explain as ex
@@ -44,6 +44,17 @@ def comparison_decided(spark, sf_dir):
     return found.select(F.col("explanation_changed").alias("changed")).join(F.broadcast(used))  # one row each
 
 
+@query("""with r as (select o_orderkey as row_number, cast(o_orderdate as date) as d from orders)
+select row_number, case when row_number % 3 = 1 and day(d) <= 12 then make_date(year(d), day(d), month(d)) else d end as day from r""")
+def lenient_dates(spark, sf_dir):
+    """Dates as the interactive mode reads them: days first wherever both orders are possible."""
+    o, k, d = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.to_date("o_orderdate")
+    texts = F.when(k % 3 == 0, F.date_format(d, "d/M/yyyy")).when(k % 3 == 1, F.date_format(d, "M/d/yyyy")).otherwise(F.date_format(d, "dd.MM.yy HH:mm"))
+    rows = o.select(k.alias("row_number"), texts.alias("t"))
+    # written before the parse, so that the forms are data and not part of the plan
+    return materialise(rows, "dates").select("row_number", parse_date(F.col("t"), DatePolicy("contextual", fallback="day-first")).alias("day"))
+
+
 def _sold(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     none = lambda kind: F.array().cast(f"array<{kind}>")
