@@ -105,9 +105,9 @@ def recalculate_edits(stored: StoredImport, kept: DataFrame, edits: DataFrame, c
     low, high = edits.agg(F.min("row_number"), F.max("row_number")).first()
     if low is None:
         return {"rows": stored.rows(0, -1), "kept": kept} | explain_kept(kept, chosen.name, dims)
-    old = materialise(stored.rows(low, high).join(edits.select("row_number").distinct(), "row_number", "left_semi"), "edited-before")
+    old = materialise(stored.rows(low, high).join(edits.select("row_number").distinct().hint("merge"), "row_number", "left_semi"), "edited-before")
     kinds = {c.name: c.kind for c in columns if c.name in old.columns and not c.recipe and c.parts is None}
     new = materialise(apply_edits(old, edits, kinds), "edited")
-    stored.upsert(new)
+    stored.upsert(new, None)
     fresh = materialise(update_totals(kept, old, new, chosen.name, date.name, dims), "kept-totals")
     return {"rows": new, "kept": fresh} | explain_kept(fresh, chosen.name, dims)

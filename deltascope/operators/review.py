@@ -12,6 +12,8 @@ from ..sources.scratch import materialise
 
 ISSUE = "struct<type:string,column:string,message:string>"
 CHANGE = "struct<column:string,from:string,to:string,reason:string>"
+#: So many edits are sent to all tasks; more are joined by sorting, as they do not fit the driver.
+FEW_EDITS = 10_000
 #: An IQR range needs so many numbers and reaches so many IQRs.
 LEAST_NUMBERS, REACH = 5, 1.5
 ENTITY = "(?i)company|customer|client|employer|organi[sz]ation"
@@ -203,7 +205,8 @@ def apply_edits(rows: DataFrame, edits: DataFrame, kinds: dict[str, str], reason
         value = F.when(F.col("column").isin(*[c for c, k in kinds.items() if k == kind]), typed(kind)).otherwise(value)
     ready = edits.select("row_number", seq.alias("seq"), "action", "column", value.alias("value"), value.isNotNull().alias("readable"))
     per = ready.groupBy("row_number").agg(F.array_sort(F.collect_list(F.struct("seq", "action", "column", "value", "readable"))).alias("_edits"))
-    out = rows.join(per, "row_number", "left").withColumn("_edits", F.coalesce("_edits", F.array().cast(f"array<{EDIT}>")))
+    few = edits.limit(FEW_EDITS + 1).count() <= FEW_EDITS
+    out = rows.join(per.hint("broadcast" if few else "merge"), "row_number", "left").withColumn("_edits", F.coalesce("_edits", F.array().cast(f"array<{EDIT}>")))
 
     def has(action: str) -> Column:
         return F.exists("_edits", lambda e: e["action"] == action)

@@ -4,7 +4,9 @@ The rows of an import lie in base files, each with its own range of row numbers,
 files that upserts add. The manifest names them, with the range and the rows of each (a zone
 map) and the order of the deltas. An upsert writes its rows and commits; it reads nothing
 but the keys in its range and rewrites nothing. A reader takes, of base and deltas, the newest row
-of each number. `compact` folds deltas into those base files whose range they touch.
+of each number. `compact` folds deltas into those base files whose range they touch. Keys are
+joined by sorting, not broadcast: an upsert may be as large as a share of all rows, and its
+keys compress so well that Spark would take them for small.
 
 Two writers that meet are put in order by their commits: the later one tries again on the new
 version, so both sets of rows stay, and for a row that both bring the later commit counts.
@@ -54,7 +56,8 @@ class StoredImport:
 
     def upsert(self, rows: DataFrame, files: int | None = 1) -> None:
         """Replace the stored rows of these numbers and add the others; a number stands once in
-        `rows`. The files of an upsert are few unless `files` says otherwise."""
+        `rows`. The files of an upsert are few unless `files` says otherwise; None lets their
+        number follow the rows."""
         version, content = self.manifest.read()
         if not content:
             return self.write(rows, files)
@@ -74,7 +77,7 @@ class StoredImport:
             return {}
         low, high = min(f["low"] for f in files), max(f["high"] for f in files)
         keys = self._read(content, [f["file"] for f in files]).select(self.key)
-        new = keys.join(self._current(content, low, high).select(self.key), self.key, "left_anti")
+        new = keys.join(self._current(content, low, high).select(self.key).hint("merge"), self.key, "left_anti")
         found = new.groupBy(_owner(F.col(self.key), content).alias("owner")).agg(F.count("*").alias("n")).collect()  # a row a file at most
         return {str(r.owner): r.n for r in found}
 
@@ -100,7 +103,7 @@ class StoredImport:
         if deltas is None:
             return base
         newest = deltas.groupBy(self.key).agg(F.max_by("_new.row", "_new.seq").alias("_row"))
-        return base.join(newest.select(self.key), self.key, "left_anti").unionByName(newest.select("_row.*"))
+        return base.join(newest.select(self.key).hint("merge"), self.key, "left_anti").unionByName(newest.select("_row.*"))
 
     def rows(self, low: int = FIRST, high: int = LAST) -> DataFrame:
         version, content = self.manifest.read()

@@ -3,6 +3,7 @@ import threading
 
 from pyspark.sql import functions as F
 
+from deltascope.operators import review as rv
 from deltascope.sources import store
 from deltascope.sources.versioned import StoredImport
 
@@ -96,3 +97,18 @@ def test_compaction_keeps_what_comes_meanwhile(spark, tmp_path):
     assert len(s.manifest.read()[1]["deltas"]) == 1 and s.page(0, 100).first().total_rows == 32
     s.write(rows(spark, [1], "all"))
     assert found(s.rows()) == {1: "all"}
+
+
+def test_many_edits_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Their keys are small in a shuffle, but not as a table on the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    s = StoredImport(spark, f"file://{tmp_path}/store", "i")
+    s.write(rows(spark, range(200), "old"), files=4)
+    s.upsert(rows(spark, range(0, 200, 2), "new"), files=None)
+    assert "Broadcast" not in plan(s.rows()) and found(s.rows()) == {n: "old" if n % 2 else "new" for n in range(200)}
+    review = spark.range(300).selectExpr("id as row_number", "cast(id as double) as v", "false as excluded", f"cast(array() as array<{rv.CHANGE}>) as changes", f"cast(array() as array<{rv.ISSUE}>) as issues")
+    edits = spark.range(0, 300, 3).selectExpr("id as row_number", "'edit' as action", "'v' as column", "'7' as value")
+    for few, sent in ((1000, True), (50, False)):
+        monkeypatch.setattr(rv, "FEW_EDITS", few)
+        out = rv.apply_edits(review, edits, {"v": "number"})
+        assert ("Broadcast" in plan(out)) == sent and {r.row_number: r.v for r in out.collect()} == {n: float(n) if n % 3 else 7.0 for n in range(300)}
