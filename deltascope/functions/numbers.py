@@ -19,6 +19,16 @@ NEGATIVE = r"(?i)^\(.*\)$|^-|-$|\bDR$"
 FILLING = r"(?i)\b(?:CR|DR)$|^[-+](?=[^-+])|-$|[()\s%’']"
 #: Digits with their marks, an exponent and a scale.
 PARTS = r"^([0-9.,]*[0-9][0-9.,]*)([eE][-+]?[0-9]+)?([KMBkmb]?)$"
+#: Common notations, which need no taking apart: a currency mark before the digits, one sign
+#: of a negative, and digits that are grouped by commas or by dots. A text that begins with
+#: a letter of no currency mark is no number. All are ASCII and say the same as the steps below.
+_LEAD = rf"(?:\$|(?:{'|'.join(CODES)}) )?"
+_COMMAS, _DOTS = r"(?:\d{1,3}(?:,\d{3}){1,5}|\d{1,18})(?:\.\d{1,18})?", r"(?:\d{1,3}(?:\.\d{3}){1,5},\d{1,18}|\d{1,18},\d{1,2})"
+WORDS = rf"(?i)^(?!R\$|(?:{'|'.join(CODES)})\b)[a-z][\x20-\x7e]*\z"
+
+
+def _signed(body: str) -> str:
+    return rf"^'?(?:-?{_LEAD}{body}|\({_LEAD}{body}\)|{_LEAD}{body}(?:-| [CD]R))\z"
 
 
 def parse_number(c: Column) -> Column:
@@ -41,7 +51,7 @@ def parse_number(c: Column) -> Column:
         scale = F.upper(F.regexp_extract(core, PARTS, 3))
         times = F.when(scale == "K", 1e3).when(scale == "M", 1e6).when(scale == "B", 1e9).otherwise(1.0)
         value = F.concat(let(F.regexp_extract(core, PARTS, 1), digits), F.regexp_extract(core, PARTS, 2)).try_cast("double") * times
-        return F.when(F.abs(value) < float("inf"), value)
+        return F.when(core.rlike(PARTS), F.when(F.abs(value) < float("inf"), value))  # a cast of no digits is slow
 
     def digits(body: Column) -> Column:
         marks, plain = F.regexp_replace(body, "[0-9]", ""), F.regexp_replace(body, "[.,]", "")
@@ -52,6 +62,10 @@ def parse_number(c: Column) -> Column:
         cut = F.length(plain) - tail
         return F.when(decimal, F.concat(F.substring(plain, F.lit(1), cut), F.lit("."), F.substring(plain, cut + 1, tail))).when(grouped, plain)
 
+    def common(marks: str, to: str) -> Column:
+        value = F.translate(F.regexp_extract(c, "[0-9][0-9.,]*", 0), marks, to).try_cast("double")
+        return F.when(c.rlike(r"[-(]|DR\z"), -value).otherwise(value)
+
     # plain numbers, and those with a dollar sign and grouped by threes, are most: they
     # take one test and a cast
     c = c.cast("string")
@@ -59,6 +73,9 @@ def parse_number(c: Column) -> Column:
     return (
         F.when(c.rlike(r"^-?\d+(?:\.\d+)?$"), c.try_cast("double"))
         .when(grouped, F.regexp_replace(c, "[$,]", "").try_cast("double"))
+        .when(c.rlike(WORDS), None)
+        .when(c.rlike(_signed(_COMMAS)), common(",", ""))
+        .when(c.rlike(_signed(_DOTS)), common(",.", "."))
         .otherwise(let(F.regexp_replace(bare_text(c), "^'", ""), bare))
     )
 

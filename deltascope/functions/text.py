@@ -85,6 +85,8 @@ def unicode_form(c: Column, form: str) -> Column:
 
 #: Printable ASCII without space at either end: base text as it stands.
 PLAIN = r"^[\x21-\x7e](?:[\x20-\x7e]*[\x21-\x7e])?$"
+#: Printable ASCII that may have spaces at its ends: base text once these are cut off.
+SPACED = r"^[\x20-\x7e]+\z"
 
 
 def _trimmed(c: Column) -> Column:
@@ -96,14 +98,14 @@ def bare_text(c: Column) -> Column:
     """Base text that is not composed: enough where marked letters do not matter, as in
     numbers, dates and placeholders, and a smaller plan."""
     c = c.cast("string")
-    return F.when(c.rlike(PLAIN), c).otherwise(_trimmed(let(F.coalesce(c, F.lit("")), repair_mojibake)))
+    return F.when(c.rlike(PLAIN), c).when(c.rlike(SPACED), F.trim(c)).otherwise(_trimmed(let(F.coalesce(c, F.lit("")), repair_mojibake)))
 
 
 def base_text(c: Column) -> Column:
     """Repaired, without invisible format characters, composed, no-break spaces as spaces,
     trimmed; null as empty. Plain text takes one test."""
     c = c.cast("string")
-    return F.when(c.rlike(PLAIN), c).otherwise(let(_trimmed(let(F.coalesce(c, F.lit("")), repair_mojibake)), composed))
+    return F.when(c.rlike(PLAIN), c).when(c.rlike(SPACED), F.trim(c)).otherwise(let(_trimmed(let(F.coalesce(c, F.lit("")), repair_mojibake)), composed))
 
 
 def _plain_words(c: Column) -> Column:

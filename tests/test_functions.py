@@ -89,3 +89,20 @@ def test_adjustments(spark):
     assert [adjustment_mode(h, "amount") for h in ("VAT Amount", "VAT Rate", "Tax %", "Discount")] == ["amount", "percentage", "percentage", "amount"]
     row = spark.range(1).select(derived_amount(F.lit(2.0), F.lit(90.0), F.lit(None).cast("double"), "amount", F.lit(15.0), "amount").alias("a"), derived_amount(F.lit(2.0), F.lit(100.0), None, "amount", F.lit(7.5), "percentage").alias("b")).first()
     assert (row.a, row.b) == (195.0, 215.0)
+
+
+def test_common_notations_are_read_without_the_long_way(spark):
+    """A format character in front sends the same text the long way: same values."""
+    from deltascope.functions import dates, numbers
+
+    amounts = ["(1234.56)", "1.234,56", "912,34", "1234.56 DR", "EUR 1.234,56-", "'1234.56", "$1,234.50", "-$5.00", "(EUR 1,234)", "7 CR"]
+    days = ["13/02/2024", "2/13/2024", "03/04/2024", "31/02/2024", "20240229", "20230229", "5 Mar 2024", "5-Foo-2024"]
+    words, policies = ["ORD-123", "unclear", "N/A", "1-URGENT"], [DatePolicy(x) for x in ("ambiguous", "day-first", "month-first")]
+    rows = spark.createDataFrame([(x,) for x in amounts + days + words], "t string")
+    far = F.concat(F.lit("​"), F.col("t"))
+    read = lambda c: F.struct(parse_number(c).alias("n"), *[parse_date(c, p).alias(f"d{i}") for i, p in enumerate(policies)])
+    short = F.col("t").rlike(numbers._signed(numbers._COMMAS)) | F.col("t").rlike(numbers._signed(numbers._DOTS))
+    quick = F.col("t").rlike(dates.WHOLE_DMY) | F.col("t").rlike(dates.WHOLE_NAMED) | F.col("t").rlike(r"^\d{8}$")
+    got = {r.t: r for r in rows.select("t", read(F.col("t")).alias("a"), read(far).alias("b"), short.alias("short"), quick.alias("quick"), F.col("t").rlike(numbers.WORDS).alias("word")).collect()}
+    assert all(r.a == r.b for r in got.values())
+    assert all(got[x].short and got[x].a.n is not None for x in amounts) and all(got[x].quick for x in days) and got["ORD-123"].word and got["unclear"].word
