@@ -351,7 +351,15 @@ def _dirty_amount(key, price):
     text = F.format_number(price, 2)
     plain = F.regexp_replace(text, ",", "")
     euro = F.translate(text, ",.", ".,")
-    return F.element_at(F.array(F.concat(F.lit("$"), text), F.concat(F.lit("("), plain, F.lit(")")), euro, F.concat(plain, F.lit(" DR")), F.concat(F.lit("EUR "), euro, F.lit("-")), F.concat(F.lit("'"), plain)), (key % 6 + 1).cast("int"))
+    return _pick(key, F.concat(F.lit("$"), text), F.concat(F.lit("("), plain, F.lit(")")), euro, F.concat(plain, F.lit(" DR")), F.concat(F.lit("EUR "), euro, F.lit("-")), F.concat(F.lit("'"), plain))
+
+
+def _pick(key, *texts):
+    """One of the texts, by the remainder of the key; only that one is made."""
+    out = F.when(key % len(texts) == 0, texts[0])
+    for r, t in enumerate(texts[1:], 1):
+        out = out.when(key % len(texts) == r, t)
+    return out
 
 
 @query("select o_orderkey, case when o_orderkey % 6 in (1, 3, 4) then -o_totalprice else o_totalprice end as amount from orders")
@@ -392,7 +400,7 @@ def _dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spread(table(spark, sf_dir, "orders"))
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     amount = F.when(k % 50 == 7, "N/A").when(k % 50 == 9, "unclear").otherwise(_dirty_amount(k, F.col("o_totalprice")))
-    dates = F.element_at(F.array(F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d MMM yyyy"), F.date_format(d, "yyyyMMdd")), (k % 4 + 1).cast("int"))
+    dates = _pick(k, F.date_format(d, "yyyy-MM-dd"), F.date_format(d, "dd/MM/yyyy"), F.date_format(d, "d MMM yyyy"), F.date_format(d, "yyyyMMdd"))
     status = F.when(k % 3 == 0, F.concat(F.lit("  "), F.col("o_orderstatus"))).otherwise(F.col("o_orderstatus"))
     return o.select(k.alias("row_number"), F.concat(F.lit("ORD-"), k.cast("string")).alias("Order ID"), dates.alias("Order Date"), amount.alias("Net Sales"), status.alias("Type"), F.col("o_orderpriority").alias("Segment"))
 
