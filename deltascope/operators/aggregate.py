@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 #: Fixed labels of the grand-total rows and of missing category values.
 TOTAL, ALL, UNKNOWN = "__total__", "__all__", "Unknown"
@@ -47,16 +48,74 @@ DAYS = "__day__"
 PAIR = ("metric_column", "period", "dimension", "segment", "other_dimension", "other_segment")
 
 
+#: Rows that a task takes to sum pairs with a dimension of many values, and the most
+#: combinations of values of the others with the periods.
+PART_ROWS, FEW_SUMS = 250_000, 2_000_000
+
+
 def pair_totals(rows: DataFrame, metric: str, date: str, dims: Sequence[str]) -> DataFrame:
     """Totals of every pair of segments of different dimensions (and days of the month) by
-    period, from one pass: each row is unfolded into its pairs and summed map-side. Each pair
-    stands once, in the order of the dimensions. Questions inside a segment are answered
-    from these without the rows, see questions.inside_totals."""
-    r = usable(rows, metric, date).select(period_of(date).alias("period"), F.col(metric).alias("_m"), F.dayofmonth(date).alias(DAYS), *dims)
-    named = [F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit(UNKNOWN)).alias("segment")) for d in (*dims, DAYS)]
-    pairs = [F.struct(a["dimension"].alias("dimension"), a["segment"].alias("segment"), b["dimension"].alias("other_dimension"), b["segment"].alias("other_segment")) for i, a in enumerate(named) for b in named[i + 1 :]]
-    sums = r.select("period", "_m", F.inline(F.array(*pairs))).groupBy(*PAIR[1:]).agg(F.sum("_m").alias("metric_total"), F.count("*").alias("record_count"))
-    return sums.select(F.lit(metric).alias("metric_column"), *sums.columns)
+    period. Each pair stands once, in the order of the dimensions. Questions inside a segment
+    are answered from these without the rows, see questions.inside_totals.
+
+    Rows equal in all dimensions of few values are summed map-side, then unfolded into their
+    pairs. Pairs with a dimension of many values hardly repeat in a task, so rows are dealt by
+    it first, in parts whose number follows that of the rows, and each part sums its pairs to
+    the end: what a task holds does not grow with the table, and no pair is shuffled. Equal
+    rows are made one before, so that a segment with much of the table is no task's burden.
+    Which dimensions have few values is estimated; the totals do not depend on it. The rows are
+    read several times: pass a written table."""
+    names = [*dims, DAYS]
+    own = [f"_{k}" for k in range(len(names))]
+    segments = [F.coalesce(c.cast("string"), F.lit(UNKNOWN)) for c in (*map(F.col, dims), F.dayofmonth(date))]
+    r = usable(rows, metric, date)
+    at = F.col(date) if isinstance(r.select(date).schema[0].dataType, DateType) else F.col(date).cast("timestamp")
+    r = r.select(F.trunc(at, "month").alias("period"), F.col(metric).alias("_m"), F.lit(1).cast("long").alias("_n"), *[c.alias(o) for c, o in zip(segments, own)])
+    size = r.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(c).alias(c) for c in ("period", *own)]).first()  # one row
+    parts = max(1, -(-size["rows"] // PART_ROWS))
+    few = _few_values([size[c] for c in own], size["period"])
+    many = [k for k in range(len(names)) if k not in few]
+    sums = [F.sum("_m").alias("_m"), F.sum("_n").alias("_n")]
+    values = [own[k] for k in few]
+
+    def in_parts(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(parts, "period", *keys).groupBy("period", *keys).agg(*sums)
+
+    def named(df: DataFrame, i: Column, a: str, j: Column, b: str) -> DataFrame:
+        turned, name = i > j, lambda k: F.element_at(F.array(*map(F.lit, names)), k + 1)
+        first = lambda x, y: F.when(turned, y).otherwise(x)
+        pair = [first(name(i), name(j)), first(F.col(a), F.col(b)), first(name(j), name(i)), first(F.col(b), F.col(a))]
+        return df.select(F.lit(metric).alias("metric_column"), period_of("period").alias("period"), *[c.alias(n) for c, n in zip(pair, PAIR[2:])], "_m", "_n")
+
+    found = []
+    if len(few) > 1:
+        pairs = [F.struct(F.lit(i).alias("_i"), F.col(own[i]).alias("_a"), F.lit(j).alias("_j"), F.col(own[j]).alias("_b")) for n, i in enumerate(few) for j in few[n + 1 :]]
+        unfolded = r.groupBy("period", *values).agg(*sums).select("period", "_m", "_n", F.inline(F.array(*pairs)))
+        found.append(named(unfolded.groupBy("period", "_i", "_a", "_j", "_b").agg(*sums), F.col("_i"), "_a", F.col("_j"), "_b"))
+    for n, i in enumerate(many):
+        if few:
+            others = [F.struct(F.lit(j).alias("_j"), F.col(own[j]).alias("_b")) for j in few]
+            dealt = in_parts(r, own[i], *values).repartition(parts, "period", own[i])
+            unfolded = dealt.select("period", own[i], "_m", "_n", F.inline(F.array(*others)))
+            found.append(named(unfolded.groupBy("period", own[i], "_j", "_b").agg(*sums), F.lit(i), own[i], F.col("_j"), "_b"))
+        for j in many[n + 1 :]:
+            found.append(named(in_parts(in_parts(r, own[i], own[j], *values), own[i], own[j]), F.lit(i), own[i], F.lit(j), own[j]))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    kind = r.agg(F.sum("_m")).schema[0].dataType  # sums of sums may be wider
+    return out.select(*PAIR, F.col("_m").cast(kind).alias("metric_total"), F.col("_n").alias("record_count"))
+
+
+def _few_values(counts: Sequence[int], periods: int) -> list[int]:
+    """Places of the dimensions of fewest values, as many as have at most FEW_SUMS combinations."""
+    few, combinations = [], periods
+    for k in sorted(range(len(counts)), key=lambda k: counts[k]):
+        combinations *= counts[k]
+        if combinations > FEW_SUMS:
+            break
+        few.append(k)
+    return sorted(few)
 
 
 def merge_totals(*parts: DataFrame) -> DataFrame:

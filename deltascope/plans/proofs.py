@@ -149,7 +149,7 @@ def stream_running_totals(spark, sf_dir):
 @query(f"""select * from ({ORACLES['evidence_of_segment']}) union all select * from (select 'date', cast(day as varchar), impact from ({ORACLES['date_movement']}) order by abs(impact) desc, day limit 2)""")
 def evidence_from_pairs(spark, sf_dir):
     """Entities, overlaps and days of a segment from the totals of pairs, without the rows."""
-    rows = revenue_rows(spark, sf_dir)
+    rows = materialise(revenue_rows(spark, sf_dir).select(METRIC, DATE, *DIMS, "customer_name"), "rows")
     pairs = materialise(agg.pair_totals(rows, METRIC, DATE, [*DIMS, "customer_name"]), "pairs")
     head = materialise(ex.headline_of(rows, METRIC, DATE), "headline")
     found = ask.evidence_of_pairs(pairs, [*DIMS, "customer_name"], head, "customer_name", "region", "ASIA")

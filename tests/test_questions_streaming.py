@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from deltascope.operators import aggregate as agg
 from deltascope.operators import explain as ex
@@ -63,6 +64,50 @@ def test_pairs_tell_the_same_without_the_rows(parts):
             assert [tuple(r) for r in got[name].select(*want[name].columns).collect()] == [tuple(r) for r in want[name].collect()], (name, segment)
 
 
+def spread_rows(spark, n):
+    """Rows whose companies and items hardly repeat, a third of them without a company."""
+    k = F.col("id")
+    company = F.when(k % 3 > 0, F.concat(F.lit("c"), k % (n // 2 + 1)))
+    day = F.date_add(F.lit(dt.date(2023, 1, 30)), (k % 5).cast("int"))
+    rows = spark.range(n).select(day.alias("day"), (k % 97).cast("decimal(12,2)").alias("laid_off"), F.concat(F.lit("r"), k % 4).alias("country"), F.when(k % 5 > 0, F.concat(F.lit("i"), k % 5)).alias("industry"), company.alias("company"), F.concat(F.lit("t"), (k * 7) % (n // 3 + 1)).alias("item"))
+    return rows.unionByName(rows.limit(5).withColumn("laid_off", F.lit(None).cast("decimal(12,2)")))
+
+
+@pytest.mark.parametrize("few_sums", [2_000_000, 1000, 100, 0])
+def test_totals_of_pairs_whatever_dimensions_are_many(spark, monkeypatch, few_sums):
+    monkeypatch.setattr(agg, "FEW_SUMS", few_sums, raising=False)
+    monkeypatch.setattr(agg, "PART_ROWS", 40, raising=False)
+    dims = ["company", "country", "item", "industry"]
+    rows = spread_rows(spark, 200)
+    got = agg.pair_totals(rows, "laid_off", "day", dims)
+    want, names = {}, [*dims, agg.DAYS]
+    for r in rows.where("laid_off is not null").collect():
+        segments = [*("Unknown" if r[d] is None else r[d] for d in dims), str(r.day.day)]
+        for i, a in enumerate(names):
+            for j in range(i + 1, len(names)):
+                key = ("laid_off", f"{r.day:%Y-%m}", a, segments[i], names[j], segments[j])
+                total, n = want.get(key, (0, 0))
+                want[key] = (total + r.laid_off, n + 1)
+    found = [(tuple(r)[:6], tuple(r)[6:]) for r in got.collect()]
+    assert len(found) == len(want) and dict(found) == want
+    assert got.schema["metric_total"].dataType.simpleString() == "decimal(22,2)"
+
+
+def test_a_task_holds_no_more_pairs_of_a_larger_table(spark, monkeypatch):
+    monkeypatch.setattr(agg, "FEW_SUMS", 500, raising=False)
+    monkeypatch.setattr(agg, "PART_ROWS", 250, raising=False)
+
+    def most(n):
+        pairs = agg.pair_totals(spread_rows(spark, n), "laid_off", "day", ["country", "industry", "company"])
+        return pairs.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+    assert most(8000) < 2 * most(1000)
+
+
+def test_pairs_of_no_rows(spark):
+    assert agg.pair_totals(spread_rows(spark, 200).limit(0), "laid_off", "day", ["company", "country"]).count() == 0
+
+
 def test_values_cards_history(parts):
     rows, head, factors, e = parts
     assert [(r.dimension, r.segment, r.ambiguous) for r in ask.resolve_value(factors, "Why did the united-states fall?").collect()] == [("country", "United States", False)]
